@@ -205,12 +205,14 @@ def dense_panel(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "WIN-05 JOIN-02",
-    tb.with_(tb.HOURLY, tb.SMAP, tb.ENTITY_HOURS, tb.dense("entity_hours", extra=6)) + "SELECT * FROM panel",
+    tb.with_(tb.HOURLY, tb.SMAP, tb.ENTITY_HOURS, tb.dense("entity_hours", extra=6))
+    + "SELECT entity_id, hour_ts, departures, CAST(missing_run_length AS DOUBLE) AS missing_run_length FROM panel",
 )
 def dense_panel_with_future(spark: SparkSession, d: str) -> DataFrame:
     """Six hours past the newest observation come out with an unknown target."""
     last = tb.event_hours(spark, d).agg(F.max("hour_ts")).first()[0].replace(minute=0, second=0, microsecond=0)
-    return panel.complete_panel(tb.entity_hours(spark, d), tb.PARAMS, extra_hours=[last + timedelta(hours=6)])
+    grid = panel.complete_panel(tb.entity_hours(spark, d), tb.PARAMS, extra_hours=[last + timedelta(hours=6)])
+    return grid.withColumn("missing_run_length", F.col("missing_run_length").cast("double"))
 
 
 @query(
