@@ -13,13 +13,13 @@ from demandspark.sources.feeds import parse_station_status
 COUNTERS = "ingest"
 
 
-def snapshot_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """Status documents landing as files, parsed to snapshot rows as they arrive.
+def snapshot_stream(spark: SparkSession, landing: str, max_files: int | None = None, one_per_file: bool = True) -> DataFrame:
+    """Status documents landing as files (one per file, or one per line), parsed to snapshot rows as they arrive.
 
     The document is checked for its station list inside the plan, entries without id or count are
     skipped and counted, and neither ends the stream.
     """
-    reader = spark.readStream.schema(STATUS_FEED).option("multiLine", True)
+    reader = spark.readStream.schema(STATUS_FEED).option("multiLine", one_per_file)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     docs = reader.json(landing)
