@@ -9,17 +9,19 @@ slice totals added on top. Slice borders only decide where work is done, not the
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandspark.session import settle
+from demandspark.session import materialise, settle
 
 
 def value_counts(df: DataFrame, features: Sequence[str], weights: dict[str, Column]) -> DataFrame:
-    """``(feature, value, <weight sums>)`` for numeric columns; NULL and NaN are left out."""
+    """``(feature, value, <weight sums>)`` for numeric columns; NULL and NaN are left out.
+
+    Written out once, because borders, slice totals, ranks and bins all read it.
+    """
     tagged = df.select(
         *[F.col(c).cast("double").alias(c) for c in features],
         *[w.alias(name) for name, w in weights.items()],
@@ -28,66 +30,63 @@ def value_counts(df: DataFrame, features: Sequence[str], weights: dict[str, Colu
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     # 0.0 and -0.0 are one value.
     long = long.withColumn("value", F.col("value") + F.lit(0.0))
-    return long.groupBy("feature", "value").agg(*[F.sum(w).alias(w) for w in weights])
+    return materialise(long.groupBy("feature", "value").agg(*[F.sum(w).alias(w) for w in weights]), "values")
 
 
-def _slice_of(value: Column, cuts: Column, n_buckets: int) -> Column:
-    """Number of cuts below the value, by bisection over the sorted array."""
-    steps = max(1, math.ceil(math.log2(n_buckets + 1)))
+def _add_slice(df: DataFrame, value: str, cuts: str, n_buckets: int) -> DataFrame:
+    """Add ``_slice``: the number of cuts below the value, by an unrolled bisection that stays in generated code."""
+    out = df.withColumn("_slice", F.lit(0))
+    for step in (2**k for k in reversed(range(n_buckets.bit_length()))):
+        # get() is NULL past the end of the array, which counts as "not below".
+        below = F.get(F.col(cuts), F.col("_slice") + (step - 1)) < F.col(value)
+        out = out.withColumn("_slice", F.col("_slice") + F.when(below, step).otherwise(0))
+    return out.drop(cuts)
 
-    def halve(span: Column, _: Column) -> Column:
-        mid = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
-        right = F.element_at(cuts, F.least(mid + 1, F.size(cuts))) < value
-        moved = F.when(
-            right, F.struct((mid + 1).alias("lo"), span["hi"].alias("hi"))
-        ).otherwise(F.struct(span["lo"].alias("lo"), mid.alias("hi")))
-        return F.when(span["lo"] < span["hi"], moved).otherwise(span)
 
-    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
+def value_slices(counts: DataFrame, measures: Sequence[str], by: str, value: str, n_buckets: int) -> DataFrame:
+    """One row per feature: slice borders balanced by distinct values, and the total of every measure.
 
-
-def slices(counts: DataFrame, by: str, value: str, n_buckets: int) -> DataFrame:
-    """Add ``slice``: an order-preserving bucket of the value axis, balanced by distinct values."""
-    cuts = counts.groupBy(by).agg(
-        F.array_distinct(
-            F.percentile_approx(value, [i / n_buckets for i in range(1, n_buckets)], 20 * n_buckets)
-        ).alias("cuts")
+    Settled, because the sketch behind the borders is not the same on every recomputation.
+    """
+    borders = F.percentile_approx(value, [i / n_buckets for i in range(1, n_buckets)], 20 * n_buckets)
+    return settle(
+        counts.groupBy(by).agg(
+            F.array_distinct(borders).alias("_cuts"), *[F.sum(m).alias(f"all_{m}") for m in measures]
+        )
     )
-    # One row per feature and n_buckets numbers each: bounded by the schema, so broadcasting is safe.
-    # Settled, because the sketch behind the cuts is not the same on every recomputation.
-    joined = counts.join(F.broadcast(settle(cuts)), by)
-    return joined.withColumn("slice", _slice_of(F.col(value), F.col("cuts"), n_buckets)).drop("cuts")
 
 
 def running_totals(
     counts: DataFrame, measures: Sequence[str], by: str = "feature", value: str = "value", n_buckets: int = 256
 ) -> DataFrame:
-    """Add ``cum_<measure>`` (inclusive running sums in value order) and ``next_value``."""
-    sliced = slices(counts, by, value, n_buckets)
-    per_slice = sliced.groupBy(by, "slice").agg(
+    """Add ``all_<measure>`` (the feature's total), ``cum_<measure>`` (inclusive running sums in value
+    order) and ``next_value``."""
+    # One row per feature and n_buckets numbers each: bounded by the schema, so broadcasting is safe.
+    shape = F.broadcast(value_slices(counts, measures, by, value, n_buckets))
+    sliced = _add_slice(counts.join(shape, by), value, "_cuts", n_buckets)
+    per_slice = sliced.groupBy(by, "_slice").agg(
         F.min(value).alias("_first"), *[F.sum(m).alias(f"_sum_{m}") for m in measures]
     )
     # At most n_buckets rows per feature.
-    across = Window.partitionBy(by).orderBy("slice")
+    across = Window.partitionBy(by).orderBy("_slice")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
         by,
-        "slice",
+        "_slice",
         F.lead("_first").over(across).alias("_next_first"),
         *[F.coalesce(F.sum(f"_sum_{m}").over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
     )
-    inside = Window.partitionBy(by, "slice").orderBy(value)
+    inside = Window.partitionBy(by, "_slice").orderBy(value)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        sliced.join(F.broadcast(offsets), [by, "slice"])
+        sliced.join(F.broadcast(offsets), [by, "_slice"])
         .withColumns(
             {
                 **{f"cum_{m}": F.sum(m).over(upto) + F.col(f"_off_{m}") for m in measures},
                 "next_value": F.coalesce(F.lead(value).over(inside), F.col("_next_first")),
             }
         )
-        .drop("slice", "_next_first", *[f"_off_{m}" for m in measures])
+        .drop("_slice", "_next_first", *[f"_off_{m}" for m in measures])
     )
 
 
@@ -96,31 +95,33 @@ def quantiles_from_totals(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per feature: ``(by, n, quantiles array)``.
 
-    ``totals`` comes from :func:`running_totals`. Two order statistics are picked per
-    probability with conditional maxima, so this is one partially aggregated pass.
+    ``totals`` comes from :func:`running_totals`. A value is kept only if one of the wanted order
+    statistics falls on it, so at most two values per probability and feature are collected.
     """
-    sizes = totals.groupBy(by).agg(F.sum(measure).alias("n"))
-    placed = totals.where(F.col(measure) > 0).join(F.broadcast(sizes), by)  # one row per feature
-    last = F.col(f"cum_{measure}") - 1
-    first = F.col(f"cum_{measure}") - F.col(measure)
+    n = F.col(f"all_{measure}")
+    marks = F.array(*[F.lit(float(p)) for p in sorted(probabilities)])
+    lows = F.transform(marks, lambda p: F.floor(p * (n - 1)))
+    last, first = F.col(f"cum_{measure}") - 1, F.col(f"cum_{measure}") - F.col(measure)
+    wanted = F.exists(lows, lambda k: (first <= k + 1) & (k <= last))
+    hit = totals.where((F.col(measure) > 0) & wanted)
+    spans = F.sort_array(F.collect_list(F.struct(last.alias("last"), F.col(value).alias("v"))))
+    found = hit.groupBy(by, n.alias("n")).agg(spans.alias("spans"))
 
     def at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position <= last), F.col(value)))
+        return F.element_at(F.filter("spans", lambda s: s["last"] >= position), 1)["v"]
 
-    picks = []
-    for i, p in enumerate(probabilities):
-        position = F.lit(float(p)) * (F.col("n") - 1)
+    def blend(p: Column) -> Column:
+        position = p * (F.col("n") - 1)
         low = F.floor(position)
-        picks += [at(low).alias(f"_lo{i}"), at(F.least(low + 1, F.col("n") - 1)).alias(f"_hi{i}")]
-    found = placed.groupBy(by, "n").agg(*picks)
+        part = position - low
+        return F.struct(at(low).alias("a"), at(F.least(low + 1, F.col("n") - 1)).alias("b"), part.alias("t"))
 
-    def blend(i: int, p: float) -> Column:
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        part = position - F.floor(position)
-        low, gap = F.col(f"_lo{i}"), F.col(f"_hi{i}") - F.col(f"_lo{i}")
-        return F.when(part >= 0.5, F.col(f"_hi{i}") - gap * (1 - part)).otherwise(low + gap * part)
+    def value_of(x: Column) -> Column:
+        gap = x["b"] - x["a"]
+        return F.when(x["t"] >= 0.5, x["b"] - gap * (1 - x["t"])).otherwise(x["a"] + gap * x["t"])
 
-    return found.select(by, "n", F.array(*[blend(i, p) for i, p in enumerate(probabilities)]).alias("quantiles"))
+    asked = F.array(*[F.lit(float(p)) for p in probabilities])
+    return found.select(by, "n", F.transform(F.transform(asked, blend), value_of).alias("quantiles"))
 
 
 def exact_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float], n_buckets: int = 256) -> DataFrame:

@@ -33,55 +33,54 @@ def shared_features(ref: DataFrame, cur: DataFrame, exclude: Sequence[str] = ())
     return [f for f in numeric_features(ref) if f in cur.columns and f not in set(exclude)]
 
 
-def two_sample_totals(ref: DataFrame, cur: DataFrame, features: Sequence[str], n_buckets: int) -> DataFrame:
-    """Distinct values with counts on both sides and inclusive running totals of each."""
+def two_sample_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``(feature, value, n_ref, n_cur)``: distinct values with their counts on both sides."""
     tag = [F.col(f).cast("double").alias(f) for f in features]
     both = ref.select(*tag, F.lit(1).alias("_r"), F.lit(0).alias("_c")).unionByName(
         cur.select(*tag, F.lit(0).alias("_r"), F.lit(1).alias("_c"))
     )
-    counts = value_counts(both, features, {"n_ref": F.col("_r"), "n_cur": F.col("_c")})
-    return running_totals(counts, ["n_ref", "n_cur"], n_buckets=n_buckets)
+    return value_counts(both, features, {"n_ref": F.col("_r"), "n_cur": F.col("_c")})
 
 
-def psi_from_totals(totals: DataFrame, features: Sequence[str], bins: int) -> DataFrame:
+def psi_from_counts(counts: DataFrame, features: Sequence[str], bins: int, n_buckets: int) -> DataFrame:
     """``(feature, psi)``.
 
     Edges are the distinct reference quantiles with open ends; bins are closed on the left. Shares
     are smoothed by half a row, over the number of edges. Fewer than two rows on a side or fewer
     than three edges give 0.
     """
-    spark = totals.sparkSession
+    spark = counts.sparkSession
+    totals = running_totals(counts, ["n_ref"], n_buckets=n_buckets)
     edges = quantiles_from_totals(totals, "n_ref", [i / bins for i in range(bins + 1)]).select(
         "feature", F.array_distinct("quantiles").alias("edges")
     )
-    edges = edges.where(F.size("edges") >= 3)
     # One short array per feature: bounded by the schema.
-    binned = totals.select("feature", "value", "n_ref", "n_cur").join(F.broadcast(edges), "feature")
-    inner = F.slice("edges", F.lit(2), F.size("edges") - 2)
+    binned = counts.join(F.broadcast(edges), "feature")
+    inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     bin_no = F.size(F.filter(inner, lambda e: e <= F.col("value")))
-    filled = binned.groupBy("feature", F.size("edges").alias("n_edges"), bin_no.alias("bin")).agg(
-        F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur")
+    cells = binned.withColumns({"bin": bin_no, "n_edges": F.size("edges")}).groupBy("feature", "n_edges", "bin").agg(
+        F.sum("n_ref").alias("r"), F.sum("n_cur").alias("c")
+    )
+    # At most `bins` cells per feature are gathered; a bin without rows still has its smoothed share.
+    gathered = cells.groupBy("feature", "n_edges").agg(
+        F.collect_list(F.struct("r", "c")).alias("cells"), F.sum("r").alias("all_n_ref"), F.sum("c").alias("all_n_cur")
     )
-    grid = edges.select("feature", F.size("edges").alias("n_edges"), F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    cells = grid.join(filled, ["feature", "n_edges", "bin"], "left").fillna(0, ["n_ref", "n_cur"])
-    sizes = cells.groupBy("feature").agg(F.sum("n_ref").alias("all_ref"), F.sum("n_cur").alias("all_cur"))
 
-    def share(count: str, total: str) -> Column:
-        return (F.col(count) + 0.5) / (F.col(total) + F.col("n_edges") * 0.5)
+    def term(r: Column, c: Column) -> Column:
+        ref_share = (r + 0.5) / (F.col("all_n_ref") + F.col("n_edges") * 0.5)
+        cur_share = (c + 0.5) / (F.col("all_n_cur") + F.col("n_edges") * 0.5)
+        return (cur_share - ref_share) * F.log(cur_share / ref_share)
 
-    ref_share, cur_share = share("n_ref", "all_ref"), share("n_cur", "all_cur")
-    scored = cells.join(F.broadcast(sizes), "feature").groupBy("feature", "all_ref", "all_cur").agg(
-        F.sum((cur_share - ref_share) * F.log(cur_share / ref_share)).alias("psi")
-    )
-    enough = (F.col("all_ref") >= 2) & (F.col("all_cur") >= 2)
+    filled = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + term(x["r"], x["c"]))
+    empty = (F.col("n_edges") - 1 - F.size("cells")) * term(F.lit(0), F.lit(0))
+    enough = (F.col("all_n_ref") >= 2) & (F.col("all_n_cur") >= 2) & (F.col("n_edges") >= 3)
+    scored = gathered.select("feature", F.when(enough, filled + empty).alias("psi"))
     names = spark.createDataFrame([(f,) for f in features], "feature string")
-    return names.join(scored, "feature", "left").select(
-        "feature", F.coalesce(F.when(enough, F.col("psi")), F.lit(0.0)).alias("psi")
-    )
+    return names.join(scored, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
 def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10, n_buckets: int = 256) -> DataFrame:
-    return psi_from_totals(two_sample_totals(ref, cur, features, n_buckets), features, bins)
+    return psi_from_counts(two_sample_counts(ref, cur, features), features, bins, n_buckets)
 
 
 def kolmogorov_p(distance: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -96,23 +95,20 @@ def kolmogorov_p(distance: Column, n: Column, m: Column, terms: int = 100) -> Co
     return F.when(lam < 0.2, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
-def two_sample_from_totals(totals: DataFrame) -> DataFrame:
+def two_sample(ref: DataFrame, cur: DataFrame, features: Sequence[str], n_buckets: int = 256) -> DataFrame:
     """``(feature, n_ref, n_cur, ks, p_value, wasserstein, ref_std)``."""
-    sizes = totals.groupBy("feature").agg(
-        F.sum("n_ref").alias("all_ref"),
-        F.sum("n_cur").alias("all_cur"),
-        F.sum(F.col("n_ref") * F.col("value")).alias("sum_ref"),
-    )
-    joined = totals.join(F.broadcast(sizes), "feature")  # one row per feature
-    gap = F.abs(F.try_divide("cum_ref_", "all_ref") - F.try_divide("cum_cur_", "all_cur"))
-    centred = F.col("value") - F.try_divide("sum_ref", "all_ref")
-    measured = joined.withColumnsRenamed({"cum_n_ref": "cum_ref_", "cum_n_cur": "cum_cur_"}).groupBy(
-        "feature", "all_ref", "all_cur"
-    ).agg(
+    totals = running_totals(two_sample_counts(ref, cur, features), ["n_ref", "n_cur"], n_buckets=n_buckets)
+    gap = F.abs(F.try_divide("cum_n_ref", "all_n_ref") - F.try_divide("cum_n_cur", "all_n_cur"))
+    weight, value = F.col("n_ref"), F.col("value")
+    step = F.coalesce(F.col("next_value") - value, F.lit(0.0))
+    measured = totals.groupBy("feature", F.col("all_n_ref").alias("all_ref"), F.col("all_n_cur").alias("all_cur")).agg(
         F.max(gap).alias("ks"),
-        F.sum(gap * F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))).alias("wasserstein"),
-        F.sqrt(F.try_divide(F.sum(F.col("n_ref") * centred * centred), F.max("all_ref"))).alias("ref_std"),
+        F.sum(gap * step).alias("wasserstein"),
+        F.sum(weight * value).alias("s1"),
+        F.sum(weight * value * value).alias("s2"),
     )
+    mean = F.try_divide("s1", "all_ref")
+    measured = measured.withColumn("ref_std", F.sqrt(F.greatest(F.try_divide("s2", "all_ref") - mean * mean, F.lit(0.0))))
     n, m = F.col("all_ref").cast("double"), F.col("all_cur").cast("double")
     return measured.select(
         "feature", F.col("all_ref").alias("n_ref"), F.col("all_cur").alias("n_cur"), "ks",
@@ -120,10 +116,6 @@ def two_sample_from_totals(totals: DataFrame) -> DataFrame:
     )
 
 
-def two_sample(ref: DataFrame, cur: DataFrame, features: Sequence[str], n_buckets: int = 256) -> DataFrame:
-    return two_sample_from_totals(two_sample_totals(ref, cur, features, n_buckets))
-
-
 def test_verdicts(tests: DataFrame) -> DataFrame:
     """Per-feature verdict: small references by p-value (drift below the threshold), large ones by
     distance in reference deviations (drift above it)."""

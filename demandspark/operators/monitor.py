@@ -96,7 +96,7 @@ def retrain_decision(
         F.col("_d.evaluated") & F.col("_d.dataset_drift"),
         F.concat(
             F.format_string(
-                f"drift: %.0f%% of features drifted (threshold {params.drift_share_threshold:.0%}); worst: ",
+                f"drift: %.0f%% of features drifted (threshold {params.drift_share_threshold * 100:.0f}%%); worst: ",
                 F.col("_d.drift_share") * 100,
             ),
             worst,

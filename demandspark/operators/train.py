@@ -184,10 +184,19 @@ def sequence_summary(seq: DataFrame) -> DataFrame:
     )
 
 
+SEQUENCE_INPUTS = ("seq_mean", "seq_last", "seq_day_ago", "seq_first", "seq_max", "seq_min")
+
+
+def fit_sequence_forest(train: DataFrame, params: Params, trees: int = 10, depth: int = 6) -> PipelineModel:
+    """Forest over :func:`sequence_summary`; sequences are complete, so nothing is imputed."""
+    forest = RandomForestRegressor(
+        featuresCol="inputs", labelCol="departures", predictionCol="raw", numTrees=trees, maxDepth=depth, seed=params.seed
+    )
+    return _fit([VectorAssembler(inputCols=list(SEQUENCE_INPUTS), outputCol="inputs"), forest], train)
+
+
 def inputs_as_array(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """The assembled model input as ``array<double>``, for models kept outside Spark ML."""
     return PipelineModel(stages=model.stages[:-1]).transform(rows).select(
         "entity_id", "hour_ts", vector_to_array("inputs").alias("inputs")
     )
-
-

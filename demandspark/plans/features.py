@@ -21,7 +21,7 @@ _STATION_PANEL = (tb.HOURLY, tb.dense("hourly", key="station_short_name"))
 _BY_ENTITY = "OVER (PARTITION BY entity_id ORDER BY hour_ts)"
 
 
-def _lagged(spark: SparkSession, d: str) -> DataFrame:
+def lagged_panel(spark: SparkSession, d: str) -> DataFrame:
     return pn.add_lags(tb.entity_panel(spark, d).drop("missing_run_length"), P)
 
 
@@ -165,7 +165,7 @@ SELECT entity_id, hour_ts, departures, lag_168h, CASE WHEN hour_ts >= m - INTERV
 FROM warm, (SELECT max(hour_ts) AS m FROM warm)""",
 )
 def chronological_split(spark: SparkSession, d: str) -> DataFrame:
-    return ev.chronological_split(pn.known_target(pn.drop_warmup(_lagged(spark, d), P)), P).select(
+    return ev.chronological_split(pn.known_target(pn.drop_warmup(lagged_panel(spark, d), P)), P).select(
         "entity_id", "hour_ts", "departures", "lag_168h", "split"
     )
 
@@ -176,7 +176,7 @@ FROM warm, (SELECT max(hour_ts) AS m FROM warm))"""
 
 
 def split_panel(spark: SparkSession, d: str) -> DataFrame:
-    return ev.chronological_split(pn.known_target(pn.drop_warmup(_lagged(spark, d), P)), P)
+    return ev.chronological_split(pn.known_target(pn.drop_warmup(lagged_panel(spark, d), P)), P)
 
 
 @query(
@@ -216,7 +216,7 @@ _B = "baseline_"
     + f"SELECT {tb.metrics_sql('departures', 'lag_168h', prefix=_B)} FROM lagged WHERE departures IS NOT NULL AND lag_168h IS NOT NULL",
 )
 def naive_baseline_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return tb.rounded(ev.naive_baseline(_lagged(spark, d)), 6, *[_B + m for m in METRICS])
+    return tb.rounded(ev.naive_baseline(lagged_panel(spark, d)), 6, *[_B + m for m in METRICS])
 
 
 @query(
@@ -402,6 +402,6 @@ def comparison(spark: SparkSession, d: str) -> DataFrame:
     + "SELECT entity_id, hour_ts, departures, lag_1h FROM lagged ORDER BY entity_id, hour_ts",
 )
 def ordered_panel(spark: SparkSession, d: str) -> DataFrame:
-    return pn.ordered(_lagged(spark, d).select("entity_id", "hour_ts", "departures", "lag_1h"))
+    return pn.ordered(lagged_panel(spark, d).select("entity_id", "hour_ts", "departures", "lag_1h"))
 
 

@@ -33,6 +33,6 @@ def query(covers: str, sql: str | None = None, name: str | None = None) -> Calla
 
 
 def load_all() -> dict[str, Query]:
-    from demandspark.plans import demand, features, proxying  # noqa: F401
+    from demandspark.plans import demand, features, modelling, monitoring, proxying, storage  # noqa: F401
 
     return REGISTRY

@@ -47,3 +47,11 @@ def settle(df: DataFrame) -> DataFrame:
     executor cannot change it under a plan that uses it twice."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: for results that several later
+    steps scan, cheaper than computing them each time and safe when executors are lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

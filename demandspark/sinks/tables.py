@@ -23,8 +23,8 @@ def upsert(
     repeated many times never meets the stored row more than once.
     """
     supplied = [c for c in incoming.columns if c in existing.columns]
-    batch = incoming.select(*supplied)
-    batch = latest_per_key(batch, keys, order or [c for c in supplied if c not in keys] or keys)
+    batch = incoming.select(*dict.fromkeys([*supplied, *order]))
+    batch = latest_per_key(batch, keys, order or [c for c in supplied if c not in keys] or keys).select(*supplied)
     if not update:
         return existing.unionByName(batch.join(existing.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
     new = batch.withColumn("_hit", F.lit(True)).withColumnsRenamed({c: f"_new_{c}" for c in supplied if c not in keys})
