@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +13,13 @@ from pyspark.sql import functions as F
 from demandspark.functions.times import utc_offset_hours
 from demandspark.params import Params
 
-# United States federal holidays.
+# United States federal holidays, each with the first year this rule is used for.
 FIXED_HOLIDAYS = (
-    (1, 1, 1776, "New Year's Day"),
+    (1, 1, 1938, "New Year's Day"),
     (6, 19, 2021, "Juneteenth National Independence Day"),
-    (7, 4, 1776, "Independence Day"),
+    (7, 4, 1938, "Independence Day"),
     (11, 11, 1938, "Veterans Day"),
-    (12, 25, 1776, "Christmas Day"),
+    (12, 25, 1938, "Christmas Day"),
 )
 # month, weekday (0 = Monday), which occurrence (-1 = last), first year, name
 FLOATING_HOLIDAYS = (
@@ -34,30 +36,51 @@ AXIAL_TILT = 23.44
 SUNRISE_ALTITUDE = -0.833
 
 
-def _fixed_name(day: Column, suffix: str = "") -> Column:
-    name = F.lit(None).cast("string")
-    for month, dom, since, label in FIXED_HOLIDAYS:
-        hit = (F.month(day) == month) & (F.dayofmonth(day) == dom) & (F.year(day) >= since)
-        name = F.when(hit, label + suffix).otherwise(name)
-    return name
+def _occurs(day: Column, month: int, dow: int, nth: int) -> Column:
+    """The nth given weekday of a month, -1 for the last one."""
+    dom = F.dayofmonth(day)
+    week = dom.between(7 * nth - 6, 7 * nth) if nth > 0 else F.month(F.date_add(day, 7)) != month
+    return (F.month(day) == month) & (F.weekday(day) == dow) & week
+
+
+def _shifted(month: int, dom: int, days: int) -> int:
+    """Month and day of a neighbouring date as one number; none of the fixed dates is near a leap day."""
+    moved = date(2001, month, dom) + timedelta(days=days)
+    return moved.month * 100 + moved.day
+
+
+def _rules(day: Column) -> list[tuple[Column, str]]:
+    """Conditions and names. A fixed date on Saturday is also observed the Friday before, one on Sunday the Monday after."""
+    key, dow, year = F.month(day) * 100 + F.dayofmonth(day), F.weekday(day), F.year(day)
+    rules = []
+    for suffix, shift, when in (("", 0, F.lit(True)), (" (observed)", -1, dow == 4), (" (observed)", 1, dow == 0)):
+        for month, dom, since, label in FIXED_HOLIDAYS:
+            rules.append(((key == _shifted(month, dom, shift)) & when & (year >= since), label + suffix))
+    for month, weekday, nth, since, label in FLOATING_HOLIDAYS:
+        rules.append((_occurs(day, month, weekday, nth) & (year >= since), label))
+    return rules
 
 
 def holiday_name(day: Column, country: str = "US") -> Column:
     """Name of the public holiday on a date, including weekend substitutes, or NULL."""
     if country != "US":
         return F.lit(None).cast("string")
-    names = [_fixed_name(day)]
-    for month, dow, nth, since, label in FLOATING_HOLIDAYS:
-        if nth > 0:
-            week = (F.floor((F.dayofmonth(day) - 1) / 7) + 1) == nth
-        else:
-            week = F.month(F.date_add(day, 7)) != F.month(day)
-        hit = (F.month(day) == month) & (F.weekday(day) == dow) & week & (F.year(day) >= since)
-        names.append(F.when(hit, label))
-    # A fixed date on Saturday is also observed the Friday before, one on Sunday the Monday after.
-    names.append(F.when(F.weekday(day) == 4, _fixed_name(F.date_add(day, 1), " (observed)")))
-    names.append(F.when(F.weekday(day) == 0, _fixed_name(F.date_sub(day, 1), " (observed)")))
-    return F.coalesce(*names)
+    return F.coalesce(*[F.when(rule, label) for rule, label in _rules(day)])
+
+
+def is_holiday(day: Column, country: str = "US") -> Column:
+    """The same test without names: fixed dates are looked up together, which keeps the generated code small."""
+    if country != "US":
+        return F.lit(False)
+    key, dow = F.month(day) * 100 + F.dayofmonth(day), F.weekday(day)
+    hits = []
+    for since in sorted({s for _, _, s, _ in FIXED_HOLIDAYS}):
+        dates = [(m, d) for m, d, s, _ in FIXED_HOLIDAYS if s == since]
+        on, before, after = ([_shifted(m, d, k) for m, d in dates] for k in (0, -1, 1))
+        hits.append((key.isin(on) | ((dow == 4) & key.isin(before)) | ((dow == 0) & key.isin(after))) & (F.year(day) >= since))
+    for month, weekday, nth, since, _ in FLOATING_HOLIDAYS:
+        hits.append(_occurs(day, month, weekday, nth) & (F.year(day) >= since))
+    return reduce(Column.__or__, hits)
 
 
 def holiday_dim(spark: SparkSession, years: Iterable[int], country: str = "US") -> DataFrame:
@@ -76,12 +99,12 @@ def _wave(fn, value: Column, period: float) -> Column:
 
 def calendar_columns(ts: Column, params: Params) -> dict[str, Column]:
     hour, dow, month = F.hour(ts), F.weekday(ts), F.month(ts)
-    holiday = holiday_name(F.to_date(ts), params.holiday_country)
+    holiday = is_holiday(F.to_date(ts), params.holiday_country)
     return {
         "hour": hour,
         "day_of_week": dow,
         "is_weekend": (dow >= 5).cast("int"),
-        "is_holiday": holiday.isNotNull().cast("int"),
+        "is_holiday": holiday.cast("int"),
         "month": month,
         "season": F.floor(month % 12 / 3).cast("int"),
         "hour_sin": _wave(F.sin, hour, 24.0),

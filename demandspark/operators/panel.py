@@ -123,9 +123,7 @@ def add_rolling(panel: DataFrame, params: Params, method: str = "prefix") -> Dat
             "_q": F.coalesce(F.sum(y * y).over(past), F.lit(0.0)),
         }
     )
-    older = {
-        f"_{c}{size}": F.lag(f"_{c}", size, 0).over(w) for size in params.rolling_windows_hours for c in "nsq"
-    }
+    older = {f"_{c}{size}": F.lag(f"_{c}", size, 0).over(w) for size in params.rolling_windows_hours for c in "nsq"}
     sums = sums.withColumns(older)
     columns = {}
     for size in params.rolling_windows_hours:

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandspark.functions.coerce import clip0
-from demandspark.functions.ordered import exact_quantiles
 from demandspark.functions.times import floor_hour, local_hour, micros, minutes_between, utc_wall
 from demandspark.params import Params
 
@@ -154,15 +153,15 @@ def rederive(snaps: DataFrame, info: DataFrame, now: datetime, params: Params) -
     return drop_open_hour(hourly_proxy(intervals, info, params), newest_snapshot_hour(recent, params))
 
 
-def proxy_quality(intervals: DataFrame, params: Params) -> DataFrame:
+def proxy_quality(intervals: DataFrame) -> DataFrame:
     """One row: ``(n_intervals, zero_share, mean_proxy_departures, p99_proxy_departures, n_stations)``."""
-    p99 = exact_quantiles(intervals, ["proxy_departures"], [0.99], params.rank_buckets)
-    return intervals.agg(
-        F.count("*").alias("n_intervals"),
-        F.avg((F.col("proxy_departures") == 0).cast("double")).alias("zero_share"),
-        F.avg("proxy_departures").alias("mean_proxy_departures"),
+    n, v = F.col("n"), F.col("proxy_departures")
+    # Bike counts are whole and capped, so there are at most cap + 1 values per station, and in all.
+    counted = intervals.groupBy("station_id", "proxy_departures").agg(F.count("*").alias("n"))
+    return counted.agg(
+        F.sum(n).alias("n_intervals"),
+        F.try_divide(F.sum(F.when(v == 0, n).otherwise(0)), F.sum(n)).alias("zero_share"),
+        F.try_divide(F.sum(v * n), F.sum(n)).alias("mean_proxy_departures"),
+        F.percentile(v, 0.99, n).alias("p99_proxy_departures"),
         F.count_distinct("station_id").alias("n_stations"),
-    ).select(
-        "n_intervals", "zero_share", "mean_proxy_departures",
-        p99.select(F.col("quantiles")[0]).scalar().alias("p99_proxy_departures"), "n_stations",
     )

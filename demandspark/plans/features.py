@@ -151,10 +151,8 @@ FROM (SELECT entity_id, hour_ts, departures, {tb.lags_sql()}, {tb.rolling_sql()}
 LEFT JOIN entities e USING (entity_id) LEFT JOIN weather w USING (hour_ts)""",
 )
 def feature_panel(spark: SparkSession, d: str) -> DataFrame:
-    out = _full_panel(spark, d)
-    for name, digits in _PANEL_ROUND.items():
-        out = tb.rounded(out, digits, name)
-    return out
+    four = [n for n, digits in _PANEL_ROUND.items() if digits == 4]
+    return tb.rounded(tb.rounded(_full_panel(spark, d), 4, *four), 6, "lat", "lon")
 
 
 @query(

@@ -98,7 +98,7 @@ round(avg(proxy_departures), 6) AS mean_proxy_departures, round(quantile_cont(pr
 count(DISTINCT station_id) AS n_stations FROM intervals""",
 )
 def proxy_quality(spark: SparkSession, d: str) -> DataFrame:
-    out = px.proxy_quality(px.interval_departures(tb.snapshots(spark, d), P), P)
+    out = px.proxy_quality(px.interval_departures(tb.snapshots(spark, d), P))
     return tb.rounded(out, 6, "zero_share", "mean_proxy_departures", "p99_proxy_departures")
 
 
