@@ -33,13 +33,15 @@ def value_counts(df: DataFrame, features: Sequence[str], weights: dict[str, Colu
     return materialise(long.groupBy("feature", "value").agg(*[F.sum(w).alias(w) for w in weights]), "values")
 
 
-def _add_slice(df: DataFrame, value: str, cuts: str, n_buckets: int) -> DataFrame:
-    """Add ``_slice``: the number of cuts below the value, by an unrolled bisection that stays in generated code."""
-    out = df.withColumn("_slice", F.lit(0))
-    for step in (2**k for k in reversed(range(n_buckets.bit_length()))):
+def add_rank(df: DataFrame, name: str, value: str, cuts: str, max_cuts: int, inclusive: bool = False) -> DataFrame:
+    """Add the number of sorted cuts below the value (or not above it, when inclusive), by an unrolled
+    bisection that stays in generated code."""
+    out = df.withColumn(name, F.lit(0))
+    for step in (2**k for k in reversed(range(max_cuts.bit_length()))):
         # get() is NULL past the end of the array, which counts as "not below".
-        below = F.get(F.col(cuts), F.col("_slice") + (step - 1)) < F.col(value)
-        out = out.withColumn("_slice", F.col("_slice") + F.when(below, step).otherwise(0))
+        cut = F.get(F.col(cuts), F.col(name) + (step - 1))
+        below = cut <= F.col(value) if inclusive else cut < F.col(value)
+        out = out.withColumn(name, F.col(name) + F.when(below, step).otherwise(0))
     return out.drop(cuts)
 
 
@@ -56,16 +58,18 @@ def value_slices(counts: DataFrame, measures: Sequence[str], by: str, value: str
     )
 
 
-def running_totals(
-    counts: DataFrame, measures: Sequence[str], by: str = "feature", value: str = "value", n_buckets: int = 256
-) -> DataFrame:
-    """Add ``all_<measure>`` (the feature's total), ``cum_<measure>`` (inclusive running sums in value
-    order) and ``next_value``."""
+def _slice_offsets(
+    counts: DataFrame, measures: Sequence[str], by: str, value: str, n_buckets: int
+) -> tuple[DataFrame, DataFrame]:
+    """Counts with their slice and the feature's totals ``all_<measure>``; and per slice the sum of
+    every measure in it and before it, and where the next slice starts."""
     # One row per feature and n_buckets numbers each: bounded by the schema, so broadcasting is safe.
     shape = F.broadcast(value_slices(counts, measures, by, value, n_buckets))
-    sliced = _add_slice(counts.join(shape, by), value, "_cuts", n_buckets)
+    sliced = add_rank(counts.join(shape, by), "_slice", value, "_cuts", n_buckets)
     per_slice = sliced.groupBy(by, "_slice").agg(
-        F.min(value).alias("_first"), *[F.sum(m).alias(f"_sum_{m}") for m in measures]
+        F.min(value).alias("_first"),
+        *[F.sum(m).alias(f"_sum_{m}") for m in measures],
+        *[F.max(f"all_{m}").alias(f"_all_{m}") for m in measures],
     )
     # At most n_buckets rows per feature.
     across = Window.partitionBy(by).orderBy("_slice")
@@ -74,8 +78,18 @@ def running_totals(
         by,
         "_slice",
         F.lead("_first").over(across).alias("_next_first"),
+        *[F.col(f"_{k}_{m}") for m in measures for k in ("sum", "all")],
         *[F.coalesce(F.sum(f"_sum_{m}").over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
     )
+    return sliced, offsets
+
+
+def running_totals(
+    counts: DataFrame, measures: Sequence[str], by: str = "feature", value: str = "value", n_buckets: int = 256
+) -> DataFrame:
+    """Add ``all_<measure>`` (the feature's total), ``cum_<measure>`` (inclusive running sums in value
+    order) and ``next_value``."""
+    sliced, offsets = _slice_offsets(counts, measures, by, value, n_buckets)
     inside = Window.partitionBy(by, "_slice").orderBy(value)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
@@ -86,26 +100,35 @@ def running_totals(
                 "next_value": F.coalesce(F.lead(value).over(inside), F.col("_next_first")),
             }
         )
-        .drop("_slice", "_next_first", *[f"_off_{m}" for m in measures])
+        .drop("_slice", "_next_first", *[f"_{k}_{m}" for m in measures for k in ("sum", "all", "off")])
     )
 
 
-def quantiles_from_totals(
-    totals: DataFrame, measure: str, probabilities: Sequence[float], by: str = "feature", value: str = "value"
+def quantiles_of_counts(
+    counts: DataFrame, measure: str, probabilities: Sequence[float], by: str = "feature", value: str = "value",
+    n_buckets: int = 256,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per feature: ``(by, n, quantiles array)``.
 
-    ``totals`` comes from :func:`running_totals`. A value is kept only if one of the wanted order
-    statistics falls on it, so at most two values per probability and feature are collected.
+    Only the slices that hold a wanted rank are sorted, two per probability at most; of their rows only
+    the values on a wanted rank are collected.
     """
-    n = F.col(f"all_{measure}")
+    sliced, offsets = _slice_offsets(counts, [measure], by, value, n_buckets)
     marks = F.array(*[F.lit(float(p)) for p in sorted(probabilities)])
-    lows = F.transform(marks, lambda p: F.floor(p * (n - 1)))
-    last, first = F.col(f"cum_{measure}") - 1, F.col(f"cum_{measure}") - F.col(measure)
-    wanted = F.exists(lows, lambda k: (first <= k + 1) & (k <= last))
-    hit = totals.where((F.col(measure) > 0) & wanted)
-    spans = F.sort_array(F.collect_list(F.struct(last.alias("last"), F.col(value).alias("v"))))
-    found = hit.groupBy(by, n.alias("n")).agg(spans.alias("spans"))
+
+    def holds_rank(total: Column, first: Column, last: Column) -> Column:
+        lows = F.transform(marks, lambda p: F.floor(p * (total - 1)))
+        return F.exists(lows, lambda k: (first <= k + 1) & (k <= last))
+
+    size = F.col(f"all_{measure}")
+    off, held = F.col(f"_off_{measure}"), F.col(f"_sum_{measure}")
+    needed = offsets.where(holds_rank(F.col(f"_all_{measure}"), off, off + held - 1)).select(by, "_slice", off)
+    near = sliced.join(F.broadcast(needed), [by, "_slice"])
+    upto = Window.partitionBy(by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = near.withColumn("_last", F.sum(measure).over(upto) + off - 1)
+    hit = ranked.where((F.col(measure) > 0) & holds_rank(size, F.col("_last") - F.col(measure) + 1, F.col("_last")))
+    spans = F.sort_array(F.collect_list(F.struct(F.col("_last").alias("last"), F.col(value).alias("v"))))
+    found = hit.groupBy(by, size.alias("n")).agg(spans.alias("spans"))
 
     def at(position: Column) -> Column:
         return F.element_at(F.filter("spans", lambda s: s["last"] >= position), 1)["v"]
@@ -127,7 +150,7 @@ def quantiles_from_totals(
 def exact_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float], n_buckets: int = 256) -> DataFrame:
     """``(feature, n, quantiles)`` for numeric columns of any size."""
     counts = value_counts(df, features, {"n_rows": F.lit(1)})
-    return quantiles_from_totals(running_totals(counts, ["n_rows"], n_buckets=n_buckets), "n_rows", probabilities)
+    return quantiles_of_counts(counts, "n_rows", probabilities, n_buckets=n_buckets)
 
 
 def describe(df: DataFrame, features: Sequence[str], n_buckets: int = 256) -> DataFrame:

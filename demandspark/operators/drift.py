@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.functions.ordered import quantiles_from_totals, running_totals, value_counts
+from demandspark.functions.ordered import add_rank, quantiles_of_counts, running_totals, value_counts
 from demandspark.functions.times import hours_before
 from demandspark.params import Params
 
@@ -50,15 +50,13 @@ def psi_from_counts(counts: DataFrame, features: Sequence[str], bins: int, n_buc
     than three edges give 0.
     """
     spark = counts.sparkSession
-    totals = running_totals(counts, ["n_ref"], n_buckets=n_buckets)
-    edges = quantiles_from_totals(totals, "n_ref", [i / bins for i in range(bins + 1)]).select(
-        "feature", F.array_distinct("quantiles").alias("edges")
-    )
+    quantiles = quantiles_of_counts(counts, "n_ref", [i / bins for i in range(bins + 1)], n_buckets=n_buckets)
+    edges = quantiles.select("feature", F.array_distinct("quantiles").alias("edges"))
     # One short array per feature: bounded by the schema.
-    binned = counts.join(F.broadcast(edges), "feature")
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    bin_no = F.size(F.filter(inner, lambda e: e <= F.col("value")))
-    cells = binned.withColumns({"bin": bin_no, "n_edges": F.size("edges")}).groupBy("feature", "n_edges", "bin").agg(
+    edges = edges.select("feature", F.size("edges").alias("n_edges"), inner.alias("_inner"))
+    binned = add_rank(counts.join(F.broadcast(edges), "feature"), "bin", "value", "_inner", bins, inclusive=True)
+    cells = binned.groupBy("feature", "n_edges", "bin").agg(
         F.sum("n_ref").alias("r"), F.sum("n_cur").alias("c")
     )
     # At most `bins` cells per feature are gathered; a bin without rows still has its smoothed share.
