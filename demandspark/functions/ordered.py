@@ -63,6 +63,8 @@ def _slice_offsets(
 ) -> tuple[DataFrame, DataFrame]:
     """Counts with their slice and the feature's totals ``all_<measure>``; and per slice the sum of
     every measure in it and before it, and where the next slice starts."""
+    # Enough slices for every task of a wide cluster; their number never changes the result.
+    n_buckets = max(n_buckets, min(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8192))
     # One row per feature and n_buckets numbers each: bounded by the schema, so broadcasting is safe.
     shape = F.broadcast(value_slices(counts, measures, by, value, n_buckets))
     sliced = add_rank(counts.join(shape, by), "_slice", value, "_cuts", n_buckets)

@@ -19,7 +19,7 @@ from demandspark.functions.coerce import clip0
 from demandspark.functions.times import floor_hour, local_hour, micros, minutes_between, utc_wall
 from demandspark.params import Params
 
-CARRIED = ["snapshot_ts", "num_bikes_available", "is_renting", "is_installed"]
+CARRIED = ["snapshot_ts", "num_bikes_available", "is_renting", "is_installed", "last_reported"]
 
 
 def clean_snapshots(snaps: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def clean_snapshots(snaps: DataFrame) -> DataFrame:
             columns.append(F.when(~F.isnan(value), value).alias(name))
         else:
             columns.append(F.col(name))
-    return snaps.select(*columns).dropna(subset=["station_id", "snapshot_ts", "num_bikes_available"])
+    return snaps.select(*columns).where("station_id is not null and snapshot_ts is not null and num_bikes_available is not null")
 
 
 def _reject_reason(params: Params, columns: list[str]) -> Column:
@@ -61,21 +61,24 @@ def interval_pairs(snaps: DataFrame, params: Params) -> DataFrame:
     """
     snaps = clean_snapshots(snaps)
     carried = [c for c in CARRIED if c in snaps.columns]
-    state = F.struct(*carried)
-    order = F.struct("snapshot_ts", "num_bikes_available")
     width = params.slice_minutes * 60_000_000
-    sliced = snaps.withColumn("_slice", F.floor(micros(utc_wall(snaps, "snapshot_ts")) / F.lit(width)))
-
-    # One row per station and slice after partial aggregation; a station has at most as many as the range has slices.
-    last_of_slice = sliced.groupBy("station_id", "_slice").agg(F.max_by(state, order).alias("_last"))
+    slice_no = F.floor(micros(utc_wall(snaps, "snapshot_ts")) / F.lit(width))
+    # The row travels as one struct, so that both windows below need the same columns and share one shuffle.
+    sliced = snaps.select(
+        "station_id", slice_no.alias("_slice"), F.col("snapshot_ts").alias("_ts"),
+        F.col("num_bikes_available").alias("_bikes"), F.struct(*carried).alias("_now"),
+    )
+    inside = Window.partitionBy("station_id", "_slice").orderBy("_ts", "_bikes")
+    linked = sliced.withColumns(
+        {"_before": F.lag("_now").over(inside), "_is_last": F.lead(F.lit(True)).over(inside).isNull()}
+    )
+    # The last row of every slice, passed on to the station's next slice. A station has at most as many of
+    # them as the time range has slices.
     slices = Window.partitionBy("station_id").orderBy("_slice")
-    carry = last_of_slice.select("station_id", "_slice", F.lag("_last").over(slices).alias("_carry"))
-
-    inside = Window.partitionBy("station_id", "_slice").orderBy("snapshot_ts", "num_bikes_available")
-    linked = sliced.withColumn("_before", F.lag(state).over(inside)).join(carry, ["station_id", "_slice"])
-    pairs = linked.withColumn("_prev", F.coalesce("_before", "_carry")).where("_prev is not null")
-
-    return judge_pairs(pairs, params, snaps.columns)
+    carry = linked.where("_is_last").select("station_id", "_slice", F.lag("_now").over(slices).alias("_carry"))
+    joined = linked.drop("_is_last").join(carry, ["station_id", "_slice"], "left")
+    pairs = joined.select("station_id", "_now.*", F.coalesce("_before", "_carry").alias("_prev")).where("_prev is not null")
+    return judge_pairs(pairs, params, carried)
 
 
 def judge_pairs(pairs: DataFrame, params: Params, columns: list[str]) -> DataFrame:
