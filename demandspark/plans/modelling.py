@@ -44,7 +44,7 @@ def kmeans_entities(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "ML-01",
     tb.with_(tb.STATIONS)
-    + "SELECT short_name AS entity_id, lat, lon, CAST(capacity AS DOUBLE) AS capacity, 1 AS n_stations FROM stations "
+    + "SELECT short_name AS entity_id, lat, lon, CAST(capacity AS DOUBLE) AS capacity, CAST(1 AS BIGINT) AS n_stations FROM stations "
     "WHERE short_name IN (SELECT DISTINCT CAST(user_id AS VARCHAR) FROM events)",
 )
 def station_entities(spark: SparkSession, d: str) -> DataFrame:

@@ -146,7 +146,7 @@ def _landed(spark: SparkSession, d: str, name: str, closing: bool = True, copies
     ).otherwise(2)
     for _ in range(copies):
         for step in range(3):
-            part = snaps.where(steps == step).repartition("station_id")
+            part = snaps.where(steps == step).repartition("snapshot_ts")
             part.write.mode("append").parquet(path)
     if closing:
         last = snaps.agg(F.max("snapshot_ts").alias("t")).select(

@@ -29,7 +29,11 @@ def main() -> int:
             if q.sql is None:
                 print(f"rows  {name}: {len(got)} rows {took:.1f}s", flush=True)
                 continue
-            problems = differences(got, con.execute(q.sql).df())
+            want = con.execute(q.sql).df()
+            problems = differences(got, want)
+            widths = [f"{c}: {got[c].dtype} / {want[c].dtype}" for c in sorted(got) if c in want and got[c].dtype.kind != "M" and got[c].dtype != want[c].dtype]
+            if widths:
+                print(f"note  {name}: {widths}", flush=True)
         except Exception as e:  # noqa: BLE001
             took, problems, got = time.time() - began, [f"{type(e).__name__}: {str(e)[:1500]}"], []
             if os.environ.get("TRACE"):
