@@ -66,9 +66,11 @@ def local_hour(utc: Column, timezone: str) -> Column:
 
 
 def utc_offset_hours(local: Column, timezone: str) -> Column:
-    """UTC offset in force at a local wall-clock time (the earlier of two repeated readings)."""
+    """UTC offset in force at a local wall-clock time: of two repeated readings that of the earlier, in the hour that a
+    spring change skips that after the change (the reading is shifted forward)."""
     as_utc = F.convert_timezone(F.lit(timezone), F.lit("UTC"), local)
-    return F.timestamp_diff("SECOND", as_utc, local) / F.lit(3600.0)
+    shown = F.convert_timezone(F.lit("UTC"), F.lit(timezone), as_utc)
+    return F.timestamp_diff("SECOND", as_utc, shown) / F.lit(3600.0)
 
 
 def parse_trip_time(text: Column) -> Column:

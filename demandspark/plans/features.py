@@ -16,7 +16,7 @@ from demandspark.plans import testbed as tb
 from demandspark.plans.registry import query
 
 P = tb.PARAMS
-_ENTITY_PANEL = (tb.HOURLY, tb.SMAP, tb.ENTITY_HOURS, tb.dense("entity_hours"))
+ENTITY_PANEL = (tb.HOURLY, tb.SMAP, tb.ENTITY_HOURS, tb.dense("entity_hours"))
 _STATION_PANEL = (tb.HOURLY, tb.dense("hourly", key="station_short_name"))
 _BY_ENTITY = "OVER (PARTITION BY entity_id ORDER BY hour_ts)"
 
@@ -25,7 +25,7 @@ def lagged_panel(spark: SparkSession, d: str) -> DataFrame:
     return pn.add_lags(tb.entity_panel(spark, d).drop("missing_run_length"), P)
 
 
-_LAGGED = f"lagged AS (SELECT entity_id, hour_ts, departures, {tb.lags_sql()} FROM panel)"
+LAGGED = f"lagged AS (SELECT entity_id, hour_ts, departures, {tb.lags_sql()} FROM panel)"
 
 
 @query("WIN-02", tb.with_(*_STATION_PANEL) + f"SELECT entity_id, hour_ts, departures, {tb.lags_sql()} FROM panel")
@@ -90,12 +90,13 @@ _TZ = "America/New_York"
 _SOLAR = f"""geo AS (
   SELECT o_orderkey, t, dayofyear(t) AS doy, hour(t) + 0.5::DOUBLE AS mid, radians(40.7306::DOUBLE) AS lat,
          radians(23.44::DOUBLE) * sin(2 * pi() * (dayofyear(t) - 81) / 365.0::DOUBLE) AS decl,
-         epoch(t - ((t AT TIME ZONE '{_TZ}') AT TIME ZONE 'UTC')) / 3600.0::DOUBLE AS off
-  FROM (SELECT o_orderkey, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS t FROM orders)),
+         epoch(r - ((r AT TIME ZONE '{_TZ}') AT TIME ZONE 'UTC')) / 3600.0::DOUBLE AS off
+  FROM (SELECT *, CASE WHEN ((t AT TIME ZONE '{_TZ}') AT TIME ZONE 'UTC') AT TIME ZONE 'UTC' AT TIME ZONE '{_TZ}' = t THEN t
+          ELSE t + INTERVAL 1 HOUR END AS r  -- a skipped reading has the offset of the hour after it
+        FROM (SELECT o_orderkey, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS t FROM orders))),
 sun AS (
   SELECT *, 2 * degrees(acos(greatest(-1, least(1, (sin(radians(-0.833::DOUBLE)) - sin(lat) * sin(decl)) / (cos(lat) * cos(decl)))))) / 15 AS dl,
-         12 + 73.9866::DOUBLE / 15 + off AS noon FROM geo
-  WHERE NOT (month(t) = 3 AND isodow(t) = 7 AND hour(t) = 2))"""
+         12 + 73.9866::DOUBLE / 15 + off AS noon FROM geo)"""
 
 
 @query(
@@ -106,10 +107,9 @@ CAST(weekofyear(t) AS INTEGER) AS week_of_year, round(dl, 4) AS daylight_hours,
 CAST(mid >= noon - dl / 2 AND mid <= noon + dl / 2 AS INTEGER) AS is_daylight, round(abs(mid - noon), 4) AS hours_from_solar_noon FROM sun""",
 )
 def solar_features(spark: SparkSession, d: str) -> DataFrame:
-    """The hour that a spring clock change skips has no defined offset and is left out."""
+    """Every order hour, those that a spring clock change skips included."""
     hour = F.timestamp_add("HOUR", (F.col("o_orderkey") % 24).cast("int"), F.col("o_orderdate"))
     rows = tb.load(spark, d, "orders").select("o_orderkey", hour.alias("hour_ts"))
-    rows = rows.where(~((F.month("hour_ts") == 3) & (F.weekday("hour_ts") == 6) & (F.hour("hour_ts") == 2)))
     out = add_seasonal(rows, P.but(timezone=_TZ))
     names = [n for g in SEASONAL_GROUPS.values() for n in g]
     return tb.rounded(out, 4, "day_of_year_sin", "day_of_year_cos", "daylight_hours", "hours_from_solar_noon").select("o_orderkey", *names)
@@ -144,7 +144,7 @@ def _as_double(sql: str) -> str:
 
 @query(
     "ML-03 JOIN-07 JOIN-08 FLT-18 WIN-02 WIN-03 WIN-09",
-    tb.with_(*_ENTITY_PANEL, tb.STATIONS, tb.ENTITIES, tb.WEATHER, _HOLIDAYS)
+    tb.with_(*ENTITY_PANEL, tb.STATIONS, tb.ENTITIES, tb.WEATHER, _HOLIDAYS)
     + f"""SELECT p.entity_id, p.hour_ts, p.departures, {_as_double(_calendar_sql('p.hour_ts'))}, {", ".join("p." + c for c in P.lag_features + P.rolling_features)},
 e.capacity, CAST(e.n_stations AS DOUBLE) AS n_stations, round(e.lat, 6) AS lat, round(e.lon, 6) AS lon, w.temperature_c, w.precipitation_mm, w.wind_speed_kmh
 FROM (SELECT entity_id, hour_ts, departures, {tb.lags_sql()}, {tb.rolling_sql()} FROM panel) p
@@ -157,7 +157,7 @@ def feature_panel(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "FLT-13 WIN-12 FLT-14 ML-04",
-    tb.with_(*_ENTITY_PANEL, _LAGGED)
+    tb.with_(*ENTITY_PANEL, LAGGED)
     + """, warm AS (SELECT * FROM lagged WHERE hour_ts >= (SELECT min(hour_ts) + INTERVAL 168 HOUR FROM lagged) AND departures IS NOT NULL)
 SELECT entity_id, hour_ts, departures, lag_168h, CASE WHEN hour_ts >= m - INTERVAL 336 HOUR THEN 'test' WHEN hour_ts >= m - INTERVAL 504 HOUR THEN 'validation' ELSE 'train' END AS split
 FROM warm, (SELECT max(hour_ts) AS m FROM warm)""",
@@ -168,7 +168,7 @@ def chronological_split(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_SPLIT = """warm AS (SELECT * FROM lagged WHERE hour_ts >= (SELECT min(hour_ts) + INTERVAL 168 HOUR FROM lagged) AND departures IS NOT NULL),
+SPLIT = """warm AS (SELECT * FROM lagged WHERE hour_ts >= (SELECT min(hour_ts) + INTERVAL 168 HOUR FROM lagged) AND departures IS NOT NULL),
 split AS (SELECT warm.*, CASE WHEN hour_ts >= m - INTERVAL 336 HOUR THEN 'test' WHEN hour_ts >= m - INTERVAL 504 HOUR THEN 'validation' ELSE 'train' END AS split
 FROM warm, (SELECT max(hour_ts) AS m FROM warm))"""
 
@@ -198,7 +198,7 @@ def training_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "AGG-10",
-    tb.with_(*_ENTITY_PANEL, _LAGGED, _SPLIT)
+    tb.with_(*ENTITY_PANEL, LAGGED, SPLIT)
     + "SELECT split, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities, min(hour_ts) AS first_hour, max(hour_ts) AS last_hour FROM split GROUP BY 1",
 )
 def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +210,7 @@ _B = "baseline_"
 
 @query(
     "AGG-07 AGG-08",
-    tb.with_(*_ENTITY_PANEL, _LAGGED)
+    tb.with_(*ENTITY_PANEL, LAGGED)
     + f"SELECT {tb.metrics_sql('departures', 'lag_168h', prefix=_B)} FROM lagged WHERE departures IS NOT NULL AND lag_168h IS NOT NULL",
 )
 def naive_baseline_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +219,7 @@ def naive_baseline_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "AGG-07 AGG-08 ML-07",
-    tb.with_(*_ENTITY_PANEL, _LAGGED, _SPLIT)
+    tb.with_(*ENTITY_PANEL, LAGGED, SPLIT)
     + f"SELECT split, {tb.metrics_sql('departures', 'lag_24h')} FROM split WHERE lag_24h IS NOT NULL GROUP BY 1",
 )
 def metrics_by_split(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +239,7 @@ def naive_baseline_by_station(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "AGG-20",
-    tb.with_(*_ENTITY_PANEL, _LAGGED, _SPLIT)
+    tb.with_(*ENTITY_PANEL, LAGGED, SPLIT)
     + " UNION ALL ".join(
         f"SELECT '{c}' AS col, round(avg({c}), 6) AS mean, round(CASE WHEN stddev_pop({c}) < 1e-6 THEN 1 ELSE stddev_pop({c}) END, 4) AS std, "
         f"round(greatest(avg(departures), 1), 6) AS target_scale FROM split WHERE split = 'train'"
@@ -255,7 +255,7 @@ def standardise_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "JOIN-11 AGG-21",
-    tb.with_(*_ENTITY_PANEL, _LAGGED, _SPLIT)
+    tb.with_(*ENTITY_PANEL, LAGGED, SPLIT)
     + """SELECT split, round(avg(CASE WHEN lag_24h >= 1 AND hour(hour_ts) >= 6 THEN 1.0 ELSE 0.0 END), 6) AS coverage, count(*) AS n_rows FROM split GROUP BY 1""",
 )
 def prediction_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -265,12 +265,12 @@ def prediction_coverage(spark: SparkSession, d: str) -> DataFrame:
     return tb.rounded(ev.coverage(ev.align_predictions(split, some), by=["split"]), 6, "coverage")
 
 
-_SEQ = 48
+_SEQ = P.sequence_length
 
 
 @query(
     "WIN-10",
-    tb.with_(*_ENTITY_PANEL)
+    tb.with_(*ENTITY_PANEL)
     + f""", s AS (SELECT entity_id, hour_ts, departures, list(departures) FILTER (WHERE departures IS NOT NULL) OVER w AS seq
 FROM panel WINDOW w AS (PARTITION BY entity_id ORDER BY hour_ts ROWS BETWEEN {_SEQ} PRECEDING AND 1 PRECEDING))
 SELECT entity_id, hour_ts, md5(array_to_string(list_transform(seq, lambda x: CAST(x AS BIGINT)), ',')) AS seq_hash, CAST(len(seq) AS INTEGER) AS seq_len, departures AS target
@@ -284,7 +284,7 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "WIN-06 WIN-11",
-    tb.with_(*_ENTITY_PANEL, _LAGGED, _SPLIT)
+    tb.with_(*ENTITY_PANEL, LAGGED, SPLIT)
     + f"""SELECT entity_id, hour_ts, departures, split = 'test' AS is_split_row FROM (
   SELECT *, row_number() OVER (PARTITION BY entity_id, split ORDER BY hour_ts DESC) AS rn FROM split WHERE split IN ('validation', 'test'))
 WHERE split = 'test' OR rn <= {_SEQ}""",
@@ -297,7 +297,7 @@ def context_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "WIN-10 WIN-11",
-    tb.with_(*_ENTITY_PANEL, _LAGGED, _SPLIT)
+    tb.with_(*ENTITY_PANEL, LAGGED, SPLIT)
     + f""", ctx AS (SELECT entity_id, hour_ts, departures, split FROM (
   SELECT *, row_number() OVER (PARTITION BY entity_id, split ORDER BY hour_ts DESC) AS rn FROM split WHERE split IN ('validation', 'test'))
 WHERE split = 'test' OR rn <= {_SEQ}),
@@ -315,7 +315,7 @@ def context_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 # --- predictions against what happened ----------------------------------------------------------
 
-_MATCHED = (*_ENTITY_PANEL, tb.PREDICTIONS)
+_MATCHED = (*ENTITY_PANEL, tb.PREDICTIONS)
 
 
 def matched(spark: SparkSession, d: str) -> DataFrame:
@@ -396,7 +396,7 @@ def comparison(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "TOP-01",
-    tb.with_(*_ENTITY_PANEL, _LAGGED)
+    tb.with_(*ENTITY_PANEL, LAGGED)
     + "SELECT entity_id, hour_ts, departures, lag_1h FROM lagged ORDER BY entity_id, hour_ts",
 )
 def ordered_panel(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,11 +28,18 @@ def build_session(master: str | None = None, app: str = "demandspark", **conf) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only where the session names none (tests)."""
+    """Folder named by ``spark.checkpoint.dir``.
+
+    A session that names none gets a temporary one, but only where driver and executors are one process: on a
+    cluster each machine would write to a disk of its own, so there a missing setting is an error.
+    """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    base = base or context.getCheckpointDir()
     if not base:
-        base = context.getCheckpointDir() or tempfile.mkdtemp(prefix="demandspark-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="demandspark-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base

@@ -17,10 +17,17 @@ from demandspark.schemas import TABLES
 
 def table(
     spark: SparkSession, path: str, name: str, columns: Sequence[str] | None = None, ts_col: str | None = None,
-    start: datetime | str | None = None, end: datetime | str | None = None,
+    start: datetime | str | None = None, end: datetime | str | None = None, day: bool = False,
 ) -> DataFrame:
-    """A stored table with its declared schema, optionally projected and cut to ``[start, end)``."""
-    df = spark.read.schema(TABLES[name]).parquet(path)
+    """A stored table with its declared schema, optionally projected and cut to ``[start, end)``.
+
+    ``day`` says that it is partitioned by the calendar day of ``ts_col``: the range then prunes partitions.
+    """
+    df = spark.read.schema(f"{TABLES[name]}, day date" if day else TABLES[name]).parquet(path)
+    if day and start is not None:
+        df = df.where(F.col("day") >= F.lit(str(start)).cast("timestamp_ntz").cast("date"))
+    if day and end is not None:
+        df = df.where(F.col("day") <= F.lit(str(end)).cast("timestamp_ntz").cast("date"))
     df = half_open(df, ts_col, start, end) if ts_col else df
     return df.select(*columns) if columns else df
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,31 +23,46 @@ REJECTS_SCHEMA = "file string, header string, reason string"
 _COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
-def normalise(header: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", header.strip().lower()).strip("_")
+def _words(name: str) -> tuple[str, ...]:
+    """A column name by its words alone, so that case, spaces and underscores do not tell names apart."""
+    return tuple(re.findall("[a-z0-9]+", name.lower()))
 
 
 def resolve_columns(columns: Sequence[str]) -> dict[str, int | None]:
     """Field to column position; raises when a required field has no known name."""
-    at = {normalise(c): i for i, c in enumerate(columns)}
-    found = {field: next((at[n] for n in names if n in at), None) for field, names in ALIASES.items()}
+    at = {_words(c): i for i, c in enumerate(columns)}
+    found = {field: next((at[n] for n in map(_words, names) if n in at), None) for field, names in ALIASES.items()}
     lacking = [f for f in REQUIRED if found[f] is None]
     if lacking:
         raise ValueError(f"unrecognised trip header, no column for {lacking} among {sorted(columns)}")
     return found
 
 
-def list_files(spark: SparkSession, paths: Sequence[str], pattern: str = "*.csv*") -> list[str]:
-    """File names under the paths; only names are read, not contents."""
+def list_files(spark: SparkSession, paths: Sequence[str], pattern: str = "*.csv*") -> DataFrame:
+    """``(path, file)`` of the files under the paths, as given to a reader and as shown by its metadata; contents are
+    not read."""
     listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    return sorted(r["path"] for r in listing.load(list(paths)).select("path").collect())
+    return listing.load(list(paths)).select("path", F.col("_metadata.file_path").alias("file"))
 
 
-def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """First line of one file; Spark reads no further than that."""
-    first = spark.read.text(file).first()
-    line = first["value"].lstrip("﻿") if first else ""
-    return tuple(c.strip().strip('"') for c in re.split(_COMMA_OUTSIDE_QUOTES, line))
+def headers(spark: SparkSession, paths: Sequence[str], pattern: str = "*.csv*") -> dict[tuple[str, ...], list[str]]:
+    """Files by their first line, in one job for any number of files; empty files have none and are left out.
+
+    Only the block that begins a file can hold its first line, and of each file one row is left in every task. What
+    comes to the driver is the file names, which a scan of them keeps there anyway.
+    """
+    text = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(list(paths))
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    # Ids rise in the order of the lines within a task.
+    opening = lines.where("start = 0").withColumn("nth", F.monotonically_increasing_id())
+    first = opening.groupBy("file").agg(F.min_by("value", "nth").alias("header"))
+    found = list_files(spark, paths, pattern).join(first, "file", "left")
+    by_header = found.groupBy(F.coalesce("header", F.lit("")).alias("header")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in by_header.orderBy("header").toLocalIterator():
+        names = re.split(_COMMA_OUTSIDE_QUOTES, row.header.lstrip("\ufeff"))
+        groups.setdefault(tuple(c.strip().strip('"') for c in names), []).extend(row.paths)
+    return groups
 
 
 def _read_group(spark: SparkSession, header: Sequence[str], files: list[str], fields: dict[str, int | None]) -> DataFrame:
@@ -76,13 +90,7 @@ def read_trips(spark: SparkSession, paths: Sequence[str], pattern: str = "*.csv*
 
     Station ids stay text: ``5506.10`` and ``5506.1`` are different stations.
     """
-    files = list_files(spark, paths, pattern)
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        headers = list(pool.map(lambda f: _header(spark, f), files))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, header in zip(files, headers, strict=True):
-        groups.setdefault(header, []).append(file)
-
+    groups = headers(spark, paths, pattern)
     parts, rejects = [], []
     for header, members in groups.items():
         try:

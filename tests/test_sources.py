@@ -40,6 +40,16 @@ def test_csv_files_of_several_generations(spark, tmp_path):
     assert [r["file"].rsplit("/", 1)[1] for r in rejects.collect()] == ["c.csv"]
 
 
+def test_headers_take_one_job_for_any_number_of_files(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"{i}.csv").write_text(("started_at,start_station_id\n" if i % 2 else "starttime,start station id\n") + "2026-06-01 08:00:00,x\n" * i)
+    (tmp_path / "mark.csv").write_text("\ufeffstarted_at,start_station_id\n")
+    groups = trips.headers(spark, [str(tmp_path)])
+    assert {k: len(v) for k, v in groups.items()} == {("started_at", "start_station_id"): 7, ("starttime", "start station id"): 6}
+    found, rejects = trips.read_trips(spark, [str(tmp_path)])
+    assert len(found.collect()) == sum(range(12)) and rejects.count() == 0
+
+
 def test_coercions(spark):
     ints = spark.createDataFrame([("5",), ("7",), ("3.0",), (None,), ("abc",), ("[]",)], "x string").select(to_int(F.col("x")).alias("v"))
     assert [r["v"] for r in ints.collect()] == [5, 7, 3, None, None, None]
