@@ -11,6 +11,7 @@ from demandspark.params import Params
 from demandspark.plans import testbed as tb
 from demandspark.plans.registry import query
 from demandspark.session import scratch
+from demandspark.sinks.tables import write_table
 from demandspark.streaming import intervals as si
 from demandspark.streaming import rederive as sr
 from demandspark.streaming import snapshots as ss
@@ -136,17 +137,16 @@ def _instants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, d: str, name: str, closing: bool = True, copies: int = 1) -> str:
-    """Snapshots landed as files in three steps in time, unordered within each; then, to let the last
-    hours close, one far later snapshot."""
+    """Snapshots landed as files week by week, unordered within a week, so that no row is more than a week late however
+    long the table is; then, to let the last hours close, one far later snapshot."""
     path = scratch(spark, name)
     snaps = _instants(spark, d)
-    borders = ["2024-01-11", "2024-01-21"]
-    steps = F.when(utc_wall(snaps, "snapshot_ts") < F.lit(borders[0]).cast("timestamp_ntz"), 0).when(
-        utc_wall(snaps, "snapshot_ts") < F.lit(borders[1]).cast("timestamp_ntz"), 1
-    ).otherwise(2)
-    for _ in range(copies):
-        for step in range(3):
-            part = snaps.where(steps == step).repartition("snapshot_ts")
+    day = F.to_date(utc_wall(snaps, "snapshot_ts"))
+    first = snaps.agg(F.min(day)).scalar()
+    weeks = snaps.withColumn("week", F.floor(F.datediff(day, first) / 7))
+    for week in range((weeks.agg(F.max("week")).first()[0] or 0) + 1):
+        part = weeks.where(F.col("week") == week).drop("week").repartition("snapshot_ts")
+        for _ in range(copies):
             part.write.mode("append").parquet(path)
     if closing:
         last = snaps.agg(F.max("snapshot_ts").alias("t")).select(
@@ -165,10 +165,12 @@ def _stream(spark: SparkSession, path: str, max_files: int = 16) -> DataFrame:
 @query(
     "STR-01 STR-09 STR-10",
     """SELECT 'id-' || CAST(user_id AS VARCHAR) AS station_id, CAST(floor(value) AS INTEGER) AS num_bikes_available,
-epoch_ms(CAST(1704067200000 + event_id * 1000 AS BIGINT)) AS snapshot_ts FROM events WHERE event_type NOT IN ('error', 'view')""",
+epoch_ms(CAST(1704067200000 + event_id * 1000 AS BIGINT)) AS snapshot_ts, (SELECT count(*) FROM events) AS documents,
+(SELECT count(*) FROM events WHERE event_type = 'view') AS empty_documents, (SELECT count(*) FROM events WHERE event_type = 'error') AS rejected_entries
+FROM events WHERE event_type NOT IN ('error', 'view')""",
 )
 def stream_feed(spark: SparkSession, d: str) -> DataFrame:
-    """Status documents as a stream: broken entries and empty documents are skipped, not fatal."""
+    """Status documents as a stream: broken entries and empty documents are skipped and counted, not fatal."""
     entry = F.struct(
         F.concat(F.lit("id-"), F.col("user_id").cast("string")).alias("station_id"),
         F.when(F.col("event_type") == "error", F.lit("broken")).otherwise(F.floor("value").cast("string")).alias("num_bikes_available"),
@@ -177,9 +179,10 @@ def stream_feed(spark: SparkSession, d: str) -> DataFrame:
     docs = tb.load(spark, d, "events").select((F.lit(1704067200) + F.col("event_id")).alias("last_updated"), listed.alias("data"))
     landing, out = scratch(spark, "feed"), scratch(spark, "feed-out")
     docs.write.json(landing)
-    ss.run_available(ss.snapshot_stream(spark, landing, one_per_file=False), out, f"{out}-state")
+    tally = ss.counters(ss.run_available(ss.snapshot_stream(spark, landing, one_per_file=False), out, f"{out}-state"))
     rows = spark.read.parquet(out)
-    return rows.select("station_id", "num_bikes_available", utc_wall(rows, "snapshot_ts").alias("snapshot_ts"))
+    counts = [F.lit(tally[c]).cast("bigint").alias(c) for c in ("documents", "empty_documents", "rejected_entries")]
+    return rows.select("station_id", "num_bikes_available", utc_wall(rows, "snapshot_ts").alias("snapshot_ts"), *counts)
 
 
 @query(
@@ -187,9 +190,9 @@ def stream_feed(spark: SparkSession, d: str) -> DataFrame:
     tb.with_(tb.SNAPSHOTS) + "SELECT station_id, snapshot_ts, num_bikes_available FROM snapshots",
 )
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Everything lands twice and is stored once."""
+    """Every week lands twice and is stored once."""
     path, out = _landed(spark, d, "dedupe", closing=False, copies=2), scratch(spark, "dedupe-out")
-    ss.run_available(ss.dedupe(_stream(spark, path), STREAM.but(late_snapshot_delay="40 days")), out, f"{out}-state")
+    ss.require_complete(ss.run_available(ss.dedupe(_stream(spark, path), STREAM), out, f"{out}-state"))
     rows = spark.read.parquet(out)
     return rows.select("station_id", utc_wall(rows, "snapshot_ts").alias("snapshot_ts"), "num_bikes_available")
 
@@ -197,7 +200,7 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 @query("STR-03", tb.with_(tb.SNAPSHOTS, _pairs_sql(60)) + _INTERVAL_OUT)
 def stream_interval_diff(spark: SparkSession, d: str) -> DataFrame:
     path, out = _landed(spark, d, "diff"), scratch(spark, "diff-out")
-    ss.run_available(si.stream_intervals(_stream(spark, path), STREAM), out, f"{out}-state")
+    ss.require_complete(ss.run_available(si.stream_intervals(_stream(spark, path), STREAM), out, f"{out}-state"))
     rows = spark.read.parquet(out)
     rows = rows.withColumn("interval_end", utc_wall(rows, "interval_end"))
     return tb.rounded(rows, 4, "interval_minutes")
@@ -216,10 +219,31 @@ def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     started.awaitTermination()
+    ss.require_complete(started)
     return si.finish_hourly(spark.read.parquet(out), _info(spark, d), STREAM)
 
 
-@query("STR-06 STR-07 STR-08 SNK-03", tb.with_(tb.SNAPSHOTS, _pairs_sql(60), _INFO, _hours_sql(1.0)) + _CLOSED)
+@query(
+    "STR-07 SNK-08",
+    tb.with_(tb.SNAPSHOTS)
+    + f"""SELECT date_trunc('day', snapshot_ts)::TIMESTAMP AS day, count(*) FILTER (WHERE snapshot_ts >= TIMESTAMP '{tb.NOW}' - INTERVAL 30 HOUR) AS kept_rows,
+count(*) FILTER (WHERE snapshot_ts < TIMESTAMP '{tb.NOW}' - INTERVAL 30 HOUR) AS removed_rows,
+count(*) FILTER (WHERE snapshot_ts >= TIMESTAMP '{tb.NOW}' - INTERVAL 30 HOUR) AS stored_rows FROM snapshots GROUP BY 1""",
+)
+def stored_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Retention of the stored snapshot log: old days are dropped as partitions, the day of the cutoff is rewritten, and
+    what the table holds afterwards is what was to be kept."""
+    path = scratch(spark, "snapshots")
+    snaps = _instants(spark, d)
+    stored = snaps.withColumns({"day": F.to_date(utc_wall(snaps, "snapshot_ts")), "batch": F.lit(0)})
+    write_table(stored, path, ["day", "batch"], ["station_id"])
+    report = sr.expire_snapshots(spark, path, tb.NOW, STREAM.but(snapshot_retention_hours=30.0))
+    left = spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("stored_rows"))
+    out = report.join(left, "day", "left").withColumn("stored_rows", F.coalesce("stored_rows", F.lit(0)))
+    return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@query("STR-06 STR-08 SNK-03", tb.with_(tb.SNAPSHOTS, _pairs_sql(60), _INFO, _hours_sql(1.0)) + _CLOSED)
 def stream_rederive(spark: SparkSession, d: str) -> DataFrame:
     """Disordered micro-batches, each deriving the hours it touches again: the log's newest versions equal the batch result."""
     path, base = _landed(spark, d, "late", closing=False), scratch(spark, "late-out")

@@ -63,6 +63,26 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return _doubled(sk.upsert(_stored(spark, d), _incoming(spark, d), keys, order=["seq"]))
 
 
+@query(
+    "SNK-01 SNK-03 SNK-04",
+    tb.with_(tb.HOURLY, _STORED, _INCOMING)
+    + """SELECT coalesce(s.station_short_name, i.station_short_name) AS station_short_name, coalesce(s.hour_ts, i.hour_ts) AS hour_ts,
+coalesce(i.departures, s.departures) AS departures, coalesce(i.label_source, s.label_source) AS label_source, s.n_intervals AS n_intervals
+FROM stored s FULL OUTER JOIN incoming i ON s.station_short_name = i.station_short_name AND s.hour_ts = i.hour_ts AND s.label_source = i.label_source""",
+)
+def upsert_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same merge into a table stored by label and day: created by a first batch, then merged twice, where only the
+    days of the batch are read and written."""
+    path = scratch(spark, "stored-hourly")
+    keys, by = ["station_short_name", "hour_ts", "label_source", "day"], ["label_source", "day"]
+    day = F.to_date("hour_ts")
+    sk.upsert_table(spark, path, _stored(spark, d).withColumn("day", day), keys, by)
+    for _ in range(2):
+        sk.upsert_table(spark, path, _incoming(spark, d).withColumn("day", day), keys, by, order=["seq"])
+    names = ["station_short_name", "hour_ts", "departures", "label_source", "n_intervals"]
+    return _doubled(spark.read.parquet(path).select(names))
+
+
 @query(
     "SNK-01",
     tb.with_(tb.HOURLY, _STORED, _INCOMING)
@@ -181,13 +201,13 @@ def hourly_table_by_label(spark: SparkSession, d: str) -> DataFrame:
     + f"SELECT entity_id, target_hour_ts, predicted, model_version FROM predictions WHERE target_hour_ts >= TIMESTAMP '{_CUT}' AND target_hour_ts < TIMESTAMP '2024-01-20'",
 )
 def prediction_log_range(spark: SparkSession, d: str) -> DataFrame:
-    """Two batches of predictions appended, a half-open range read."""
+    """Two batches of predictions appended to a log stored by day, a half-open range read: other days are not opened."""
     path = scratch(spark, "predictions")
     log = tb.predictions(spark, d).withColumns({"model_name": F.lit("naive"), "predicted_at": F.col("predicted_at").cast("timestamp")})
     for version in ("v1", "v2"):
-        sk.append(log.where(F.col("model_version") == version), path)
+        sk.append(log.where(F.col("model_version") == version), path, "target_hour_ts")
     return tbl.table(
-        spark, path, "predictions", ["entity_id", "target_hour_ts", "predicted", "model_version"], "target_hour_ts", _CUT, "2024-01-20 00:00:00"
+        spark, path, "predictions", ["entity_id", "target_hour_ts", "predicted", "model_version"], "target_hour_ts", _CUT, "2024-01-20 00:00:00", day=True
     )
 
 
@@ -216,6 +236,7 @@ def retention(spark: SparkSession, d: str) -> DataFrame:
 count(*) FILTER (WHERE snapshot_ts < TIMESTAMP '{tb.NOW}' - INTERVAL 30 HOUR) AS removed_rows FROM snapshots GROUP BY 1""",
 )
 def retention_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """What retention keeps and removes per day, on the table as it stands."""
     out = sk.prune_partitions(tb.snapshots(spark, d), "snapshot_ts", tb.NOW, 30)
     return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from demandspark.functions.times import hours_before
 from demandspark.operators.keys import latest_per_key
 from demandspark.operators.monitor import utc_now
+from demandspark.session import materialise
 
 
 def upsert(
@@ -18,13 +22,19 @@ def upsert(
     """Existing rows with incoming ones merged in.
 
     On a key conflict only the columns that ``incoming`` supplies are overwritten; with
-    ``update=False`` the stored row is kept. Keys repeated within the batch are reduced to the
-    last one by ``order`` (all supplied columns when none is given), before the join, so a key
-    repeated many times never meets the stored row more than once.
+    ``update=False`` the stored row is kept. Keys repeated within the batch are reduced to the last one by ``order``,
+    before the join, so a key repeated many times never meets the stored row more than once. Rows have no order of
+    their own: without ``order`` the keys of the batch must be distinct, and the job fails if they are not.
     """
     supplied = [c for c in incoming.columns if c in existing.columns]
     batch = incoming.select(*dict.fromkeys([*supplied, *order]))
-    batch = latest_per_key(batch, keys, order or [c for c in supplied if c not in keys] or keys).select(*supplied)
+    if order:
+        batch = latest_per_key(batch, keys, order).select(*supplied)
+    else:
+        rest = [c for c in supplied if c not in keys]
+        once = F.when(F.count("*") > 1, F.raise_error(F.lit(f"keys {list(keys)} repeat in the batch and no order is given")))
+        picked = batch.groupBy(*keys).agg(once.alias("_once"), *[F.first(c).alias(c) for c in rest])
+        batch = picked.where(F.col("_once").isNull()).select(*supplied)
     if not update:
         return existing.unionByName(batch.join(existing.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
     new = batch.withColumn("_hit", F.lit(True)).withColumnsRenamed({c: f"_new_{c}" for c in supplied if c not in keys})
@@ -50,8 +60,51 @@ def write_table(df: DataFrame, path: str, partition: Sequence[str] = (), sort: S
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append(df: DataFrame, path: str, day: str | None = None) -> None:
+    """Append to a log; with ``day``, the name of its time column, partitioned by the calendar day of it."""
+    if day is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.withColumn("day", F.to_date(day)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def drop_partitions(spark: SparkSession, path: str, column: str, values: DataFrame) -> None:
+    """Delete whole partitions of a stored table; ``values`` has one row per partition in its first column."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in values.distinct().toLocalIterator():
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{column}={row[0]}"), True)
+
+
+def upsert_table(
+    spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], partition: Sequence[str], order: Sequence[str] = (),
+    update: bool = True,
+) -> None:
+    """Merge a batch into a stored table that is partitioned by some of its keys.
+
+    Only the partitions that the batch touches are read, merged and written back; all others keep their files. The
+    merged rows go to the shared folder first, since a table cannot be overwritten while it is read and an executor
+    lost in between must not cost stored rows. A table that does not exist yet is created.
+    """
+    batch = materialise(incoming, "batch")
+    hit = batch.select(*partition).distinct()
+    try:
+        shown = spark.read.parquet(path).schema
+        # Partition values are read as what the batch says they are, not as what they look like.
+        known = [StructField(f.name, batch.schema[f.name].dataType) if f.name in partition else f for f in shown]
+        stored = spark.read.schema(StructType(known)).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], batch.schema)
+    # One row per touched partition: its values become literals, so that the scan prunes by them.
+    touched = reduce(
+        lambda a, b: a | b,
+        [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in partition]) for r in hit.toLocalIterator()],
+        F.lit(False),
+    )
+    merged = materialise(upsert(stored.where(touched), batch, keys, update, order), "merged")
+    write_table(merged, path, partition, [k for k in keys if k not in partition])
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -1,59 +1,94 @@
 """Late data: every micro-batch stores its snapshots and derives the hours they touch again.
 
-Both tables are append-only logs partitioned by batch, so a replayed batch overwrites only itself,
-nothing is read and overwritten in one job, and a lost executor costs a task retry. The current value
-of an hour is its newest version.
+Both tables are append-only logs partitioned by batch, so a replayed batch overwrites only itself, and a lost executor
+costs a task retry. The current value of an hour is its newest version. A batch reads only what it needs of the log: its
+own partition for its bounds, one number that the batch before it left (the newest snapshot so far), and the days from
+the lead-in on. All times are UTC wall clocks or those of the hour buckets, so neither the driver's zone nor the
+session's matters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandspark.functions.times import hours_before
+from demandspark.functions.times import floor_hour, hours_before, ntz, utc_wall
 from demandspark.operators.keys import latest_per_key
 from demandspark.operators.monitor import utc_now
 from demandspark.operators.proxy import hourly_proxy, interval_departures, newest_snapshot_hour
 from demandspark.params import PROXY_LABEL, Params
-from demandspark.sinks.tables import retain, write_table
+from demandspark.session import materialise
+from demandspark.sinks.tables import drop_partitions, write_table
 
 KEY = ["station_short_name", "hour_ts"]
+SNAPSHOT_KEY = ["station_id", "snapshot_ts"]
 
 
 def _replace_own(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def _newest_before(spark: SparkSession, marks: str, batch_id: int):
+    """Newest snapshot of all batches before this one, as UTC wall clock; None for the first."""
+    try:
+        return spark.read.parquet(f"{marks}/batch={batch_id - 1}").agg(F.max("newest")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _bucket_start(utc: Column, timezone: str) -> Column:
+    """Where the hour bucket that holds a UTC wall clock begins, in UTC again: in zones with half hours not at :00."""
+    local = floor_hour(F.convert_timezone(F.lit("UTC"), F.lit(timezone), utc))
+    return F.convert_timezone(F.lit(timezone), F.lit("UTC"), local)
+
+
 def rederive_batch(
     snapshots_path: str, hourly_path: str, read_info: Callable[[SparkSession], DataFrame], params: Params
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function. ``read_info`` is called per batch, so station changes are picked up."""
+    """``foreachBatch`` function. ``read_info`` is called per batch, so station changes are picked up.
+
+    A snapshot that arrives again replaces the earlier one: of several batches the last counts, within a batch the one
+    with the latest ``last_reported`` and then the largest values.
+    """
+    marks = f"{snapshots_path}_marks"
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(["station_id", "snapshot_ts"]).withColumns(
-            {"day": F.to_date("snapshot_ts"), "batch": F.lit(batch_id)}
+        rest = [c for c in batch.columns if c not in SNAPSHOT_KEY]
+        order = sorted(rest, key=lambda c: c != "last_reported")
+        rows = latest_per_key(batch, SNAPSHOT_KEY, order).withColumns(
+            {"day": F.to_date(utc_wall(batch, "snapshot_ts")), "batch": F.lit(batch_id)}
         )
         _replace_own(rows, snapshots_path, ["day", "batch"])
-        stored = spark.read.parquet(snapshots_path).where(F.col("batch") <= batch_id)
-
-        # Four scalars; the stored table only gives its newest day.
-        seen = stored.where(F.col("batch") == batch_id).agg(F.min("snapshot_ts").alias("lo"), F.max("snapshot_ts").alias("hi")).first()
-        if seen["lo"] is None:
+        stored = spark.read.parquet(snapshots_path)
+        clock = utc_wall(stored, "snapshot_ts")
+
+        before = _newest_before(spark, marks, batch_id)
+        earlier = F.lit(None).cast("timestamp_ntz") if before is None else ntz(before)
+        own = stored.where(F.col("batch") == batch_id).agg(F.min(clock).alias("lo"), F.max(clock).alias("hi"))
+        newest = F.greatest("hi", earlier)
+        first = F.least("lo", hours_before(newest, params.derive_lookback_hours), earlier)
+        start = _bucket_start(first, params.timezone)
+        # One row of wall clocks, which no zone changes on the way to the driver.
+        seen = own.select("lo", newest.alias("newest"), start.alias("start"), hours_before(start, params.max_gap_minutes / 60).alias("lead_in")).first()
+        _replace_own(
+            spark.range(1).select((earlier if seen.newest is None else ntz(seen.newest)).alias("newest"), F.lit(batch_id).alias("batch")),
+            marks, ["batch"],
+        )
+        if seen.lo is None:
             return
-        before = stored.where(F.col("batch") < batch_id).agg(F.max("snapshot_ts").alias("hi")).first()["hi"]
-        newest = max(seen["hi"], before or seen["hi"])
-        start = min(seen["lo"], newest - timedelta(hours=params.derive_lookback_hours), before or seen["lo"])
-        start = start.replace(minute=0, second=0, microsecond=0)
-        lead_in = start - timedelta(minutes=params.max_gap_minutes)
 
         window = stored.where(
-            (F.col("day") >= F.lit(lead_in.date())) & (F.col("snapshot_ts") >= F.lit(lead_in))
-        ).dropDuplicates(["station_id", "snapshot_ts"])
-        intervals = interval_departures(window.drop("day", "batch"), params).where(F.col("interval_end") >= F.lit(start))
+            (F.col("batch") <= batch_id) & (F.col("day") >= F.to_date(ntz(seen.lead_in))) & (clock >= ntz(seen.lead_in))
+        )
+        window = latest_per_key(window, SNAPSHOT_KEY, ["batch"]).drop("day", "batch")
+        intervals = interval_departures(window, params)
+        intervals = intervals.where(utc_wall(intervals, "interval_end") >= ntz(seen.start))
         hourly = hourly_proxy(intervals, read_info(spark), params)
         closed = hourly.where(F.col("hour_ts") < newest_snapshot_hour(window, params))
         # A batch without closed hours still gets its (empty) say: nothing is written for it.
@@ -73,10 +108,23 @@ def compact(log: DataFrame, target: str) -> None:
     write_table(tagged, target, ["month"], KEY, mode="errorifexists")
 
 
-def expire_snapshots(snapshots: DataFrame, target: str, now, params: Params) -> None:
-    """Copy the snapshots still inside the retention time to a fresh location; whole days are pruned by partition."""
+def expire_snapshots(spark: SparkSession, path: str, now, params: Params) -> DataFrame:
+    """Remove the snapshots beyond the retention time from the stored log; ``(day, kept_rows, removed_rows)``.
+
+    Days before the cutoff go as whole partitions, unread but for the count; only the cutoff's own day is rewritten,
+    from a copy in the shared folder. Later days keep their files.
+    """
     hours = params.snapshot_retention_hours
     limit = hours if hours is not None else params.snapshot_retention_days * 24
-    if limit > 0:
-        snapshots = snapshots.where(F.col("day") >= F.to_date(hours_before(utc_now(now), limit)))
-    write_table(retain(snapshots, "snapshot_ts", now, hours=limit), target, ["day"], ["station_id", "snapshot_ts"], mode="errorifexists")
+    stored = spark.read.parquet(path)
+    cutoff = hours_before(utc_now(now), limit) if limit > 0 else F.lit("0001-01-01").cast("timestamp_ntz")
+    old = utc_wall(stored, "snapshot_ts") < cutoff
+    report = materialise(stored.groupBy("day").agg(F.count_if(~old).alias("kept_rows"), F.count_if(old).alias("removed_rows")), "expired")
+    edge = F.to_date(cutoff)
+    on_edge = materialise(stored.where((F.col("day") == edge) & ~old), "edge")
+    rewritten = not report.where((F.col("day") == edge) & (F.col("removed_rows") > 0)).isEmpty()
+    last = edge if rewritten else F.date_sub(edge, 1)
+    drop_partitions(spark, path, "day", report.where(F.col("day") <= last).select(F.col("day").cast("string").alias("v")))
+    if rewritten:
+        on_edge.write.mode("append").partitionBy("day", "batch").parquet(path)
+    return report

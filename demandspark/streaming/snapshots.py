@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from demandspark.params import Params
+from demandspark.functions.coerce import to_int
 from demandspark.schemas import STATUS_FEED
 from demandspark.sources.feeds import parse_station_status
 
@@ -24,8 +25,10 @@ def snapshot_stream(spark: SparkSession, landing: str, max_files: int | None = N
         reader = reader.option("maxFilesPerTrigger", max_files)
     docs = reader.json(landing)
     offered = F.coalesce(F.size("data.stations"), F.lit(0))
+    broken = F.size(F.filter("data.stations", lambda s: s["station_id"].isNull() | to_int(s["num_bikes_available"]).isNull()))
     counted = docs.observe(
-        COUNTERS, F.count("*").alias("documents"), F.count_if(offered <= 0).alias("empty_documents"), F.sum(offered).alias("entries")
+        COUNTERS, F.count("*").alias("documents"), F.count_if(offered <= 0).alias("empty_documents"), F.sum(offered).alias("entries"),
+        F.sum(F.when(offered > 0, broken).otherwise(0)).alias("rejected_entries"),
     )
     return parse_station_status(counted.where(offered > 0))
 
@@ -56,22 +59,26 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return query
 
 
-def run_continuous(stream: DataFrame, path: str, checkpoint: str, seconds: int = 60) -> StreamingQuery:
-    """Keep running on a fixed cadence; missed ticks are skipped by the trigger."""
-    return (
-        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-        .trigger(processingTime=f"{seconds} seconds").start(path)
-    )
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them and were dropped, over the recorded progress."""
+    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
+
+
+def require_complete(query: StreamingQuery) -> StreamingQuery:
+    """The query, if it dropped no late row; results that lack rows are an error where they must equal a batch."""
+    if dropped := late_rows(query):
+        raise RuntimeError(f"{dropped} rows came after the watermark; allow a longer late_snapshot_delay")
+    return query
 
 
 def counters(query: StreamingQuery) -> dict[str, int]:
     """Totals over the recorded progress: micro-batches, input rows and the observed document counts."""
-    totals = {"batches": 0, "rows": 0, "documents": 0, "empty_documents": 0, "entries": 0}
+    totals = {"batches": 0, "rows": 0, "documents": 0, "empty_documents": 0, "entries": 0, "rejected_entries": 0}
     for progress in query.recentProgress:
         totals["batches"] += 1
         totals["rows"] += progress["numInputRows"]
         seen = progress["observedMetrics"].get(COUNTERS) if "observedMetrics" in progress else None
         if seen is not None:
-            for name in ("documents", "empty_documents", "entries"):
+            for name in ("documents", "empty_documents", "entries", "rejected_entries"):
                 totals[name] += seen[name] or 0
     return totals

@@ -30,6 +30,32 @@ def test_upsert(spark):
     assert as_set(sk.upsert(old, new.limit(0), KEYS)) == as_set(old)
 
 
+def test_repeated_keys_need_an_order(spark):
+    batch = rows(spark, ("a", "x", 3.0, 1), ("a", "x", 2.0, 3))
+    with pytest.raises(Exception, match="no order is given"):
+        sk.upsert(rows(spark), batch, KEYS).collect()
+
+
+def test_upsert_into_a_stored_table(spark, tmp_path):
+    path = str(tmp_path / "hourly")
+    by = ["label_source"]
+    sk.upsert_table(spark, path, rows(spark, ("a", "trip_csv", 1.0, 60), ("a", "gbfs_proxy", 2.0, 9)), KEYS, by)
+    kept = sorted(p.name for p in (tmp_path / "hourly" / "label_source=trip_csv").glob("*.parquet"))
+    sk.upsert_table(spark, path, rows(spark, ("a", "gbfs_proxy", 3.0, 8), ("b", "gbfs_proxy", 4.0, 7)), KEYS, by)
+    sk.upsert_table(spark, path, rows(spark, ("b", "gbfs_proxy", 5.0, 1), ("b", "gbfs_proxy", 6.0, 2)), KEYS, by, order=["n_intervals"])
+    sk.upsert_table(spark, path, rows(spark, ("b", "gbfs_proxy", 0.0, 0), ("c", "gbfs_proxy", 1.0, 1)), KEYS, by, update=False)
+    want = {("a", "trip_csv", 1.0, 60), ("a", "gbfs_proxy", 3.0, 8), ("b", "gbfs_proxy", 6.0, 2), ("c", "gbfs_proxy", 1.0, 1)}
+    assert as_set(spark.read.parquet(path)) == want
+    assert sorted(p.name for p in (tmp_path / "hourly" / "label_source=trip_csv").glob("*.parquet")) == kept
+
+
+def test_logs_are_stored_by_day(spark, tmp_path):
+    path = str(tmp_path / "log")
+    sk.append(rows(spark, ("a", "x", 1.0, 1)), path, "hour_ts")
+    sk.append(rows(spark, ("a", "x", 1.0, 1)), path, "hour_ts")
+    assert spark.read.parquet(path).count() == 2 and (tmp_path / "log" / "day=2026-08-01").is_dir()
+
+
 def test_upsert_last_of_a_batch_wins(spark):
     batch = rows(spark, ("a", "x", 3.0, 1), ("a", "x", 2.0, 3), ("a", "x", 9.0, 2))
     assert as_set(sk.upsert(rows(spark), batch, KEYS, order=["n_intervals"])) == {("a", "x", 2.0, 3)}
