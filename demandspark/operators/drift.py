@@ -22,7 +22,6 @@ NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 # Verdict thresholds of the two-sample tests.
 P_VALUE_THRESHOLD = 0.05
 DISTANCE_THRESHOLD = 0.1
-SMALL_SAMPLE = 1000
 
 
 def numeric_features(df: DataFrame) -> list[str]:
@@ -114,19 +113,20 @@ def two_sample(ref: DataFrame, cur: DataFrame, features: Sequence[str], n_bucket
     )
 
 
-def test_verdicts(tests: DataFrame) -> DataFrame:
-    """Per-feature verdict: small references by p-value (drift below the threshold), large ones by
-    distance in reference deviations (drift above it)."""
-    small = F.col("n_ref") <= SMALL_SAMPLE
-    spread = F.greatest(F.col("ref_std"), F.abs(F.try_divide(F.col("wasserstein"), F.lit(1e6))), F.lit(math.ulp(1.0)))
-    value = F.when(small, F.col("p_value")).otherwise(F.col("wasserstein") / spread)
-    verdict = F.when(small, F.col("p_value") < P_VALUE_THRESHOLD).otherwise(value > DISTANCE_THRESHOLD)
+def test_verdicts(tests: DataFrame, method: str = "distance") -> DataFrame:
+    """Per-feature verdict by one method at every size: ``p_value`` drifts below its threshold, ``distance`` (in
+    reference deviations) above it. On large tables any small difference is significant, so distance is the default."""
+    if method == "p_value":
+        value, threshold = F.col("p_value"), P_VALUE_THRESHOLD
+        verdict = value < threshold
+    elif method == "distance":
+        spread = F.greatest(F.col("ref_std"), F.abs(F.try_divide(F.col("wasserstein"), F.lit(1e6))), F.lit(math.ulp(1.0)))
+        value, threshold = F.col("wasserstein") / spread, DISTANCE_THRESHOLD
+        verdict = value > threshold
+    else:
+        raise ValueError(f"method must be 'p_value' or 'distance', not {method!r}")
     return tests.select(
-        "feature",
-        F.when(small, "p_value").otherwise("distance").alias("method"),
-        value.alias("value"),
-        F.when(small, P_VALUE_THRESHOLD).otherwise(DISTANCE_THRESHOLD).alias("threshold"),
-        verdict.alias("drifted"),
+        "feature", F.lit(method).alias("method"), value.alias("value"), F.lit(threshold).alias("threshold"), verdict.alias("drifted")
     )
 
 
@@ -145,21 +145,22 @@ def drift_report(ref: DataFrame, cur: DataFrame, params: Params) -> DataFrame:
 def summarise_drift(report: DataFrame, ref: DataFrame, cur: DataFrame, params: Params) -> DataFrame:
     """One row: share of drifted features and the dataset verdict; not evaluated on too few rows.
 
-    ``report`` is ``(feature, drifted)`` from :func:`drift_report` or :func:`test_verdicts`.
+    ``report`` is ``(feature, drifted)`` and a size of the drift, ``psi`` from :func:`drift_report` or ``value`` from
+    :func:`test_verdicts`; drifted features are named by falling size.
     """
+    size = F.col("psi") if "psi" in report.columns else F.col("value")
     n_ref, n_cur = ref.agg(F.count("*")).scalar(), cur.agg(F.count("*")).scalar()
     row = report.agg(
         F.count("*").alias("n_all"),
         F.count_if("drifted").alias("n_drift"),
-        F.sort_array(F.collect_list(F.when(F.col("drifted"), F.col("feature")))).alias("names"),  # schema-bounded
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("drifted"), F.struct((-size).alias("s"), F.col("feature").alias("f"))))), lambda x: x["f"]
+        ).alias("names"),  # schema-bounded
     ).withColumns({"reference_rows": n_ref, "current_rows": n_cur})
     reason = (
-        F.when((F.col("reference_rows") == 0) | (F.col("current_rows") == 0), F.lit("empty reference or current"))
-        .when(
-            F.col("current_rows") < params.min_samples,
-            F.format_string(f"insufficient current rows (%d < {params.min_samples})", "current_rows"),
-        )
-        .when(F.col("n_all") == 0, F.lit("no shared numeric features"))
+        F.when((F.col("reference_rows") == 0) | (F.col("current_rows") == 0), "empty_side")
+        .when(F.col("current_rows") < params.min_samples, "too_few_rows")
+        .when(F.col("n_all") == 0, "no_shared_features")
     )
     ok = F.col("reason").isNull()
     share = F.when(ok, F.try_divide(F.col("n_drift").cast("double"), F.col("n_all"))).otherwise(0.0)

@@ -12,6 +12,7 @@ from demandspark.operators.entities import to_entities
 from demandspark.operators.keys import latest_per_key
 from demandspark.operators.panel import largest_gap
 from demandspark.params import Params
+from demandspark.session import materialise
 
 SPLITS = ("train", "validation", "test")
 
@@ -130,7 +131,9 @@ def relative_error(by_entity: DataFrame) -> DataFrame:
 
 
 def top_errors(matched: DataFrame, k: int = 15) -> DataFrame:
-    """The k largest absolute errors at the newest matched hour."""
+    """The k largest absolute errors at the newest matched hour. The match is written once and read twice, instead of
+    being computed for its newest hour and again for its rows."""
+    matched = materialise(matched, "matched")
     newest = matched.agg(F.max("target_hour_ts")).scalar()
     current = with_errors(matched.where(F.col("target_hour_ts") == newest))
     return current.orderBy(F.col("abs_error").desc(), "entity_id").limit(k)

@@ -36,9 +36,7 @@ def rolling_accuracy(matched: DataFrame, now: datetime | str | None, params: Par
     wanted = [a for a in regression_aggregates("actual", "predicted")]
     row = recent.agg(*wanted)
     enough = F.col("n") >= params.min_samples
-    reason = F.when(F.col("n") == 0, F.lit("no matched predictions")).when(
-        ~enough, F.format_string(f"insufficient samples (%d < {params.min_samples})", "n")
-    )
+    reason = F.when(F.col("n") == 0, "none_matched").when(~enough, "too_few_pairs")
     return row.select(
         start.alias("window_start"),
         end.alias("window_end"),
@@ -51,23 +49,18 @@ def rolling_accuracy(matched: DataFrame, now: datetime | str | None, params: Par
 
 
 def judge(mae: Column, reference_mae: Column, params: Params) -> Column:
-    """Reason for a breach or NULL: over the ceiling, or too far above the holdout error. Both strict."""
-    limit = reference_mae * params.mae_degradation_ratio
-    return F.when(
-        mae > params.mae_threshold,
-        F.format_string(f"rolling MAE %.3f exceeds the ceiling {params.mae_threshold:.3f}", mae),
-    ).when(
-        (reference_mae > 0) & (mae > limit),
-        F.format_string(
-            f"rolling MAE %.3f is more than {params.mae_degradation_ratio:.2f}x the holdout MAE %.3f (limit %.3f)",
-            mae, reference_mae, limit,
-        ),
+    """Code of a breach or NULL: over the ceiling, or too far above the holdout error. Both strict."""
+    return F.when(mae > params.mae_threshold, "above_ceiling").when(
+        (reference_mae > 0) & (mae > reference_mae * params.mae_degradation_ratio), "above_holdout"
     )
 
 
 def with_breach(accuracy: DataFrame, reference_mae: Column | float | None, params: Params) -> DataFrame:
+    """Adds the holdout error, the code of a breach and whether there is one. Without a holdout error (no model) only
+    the ceiling is judged."""
     ref = reference_mae if isinstance(reference_mae, Column) else F.lit(reference_mae).cast("double")
-    judged = accuracy.withColumn("breach_reason", judge(F.col("rolling_mae"), ref, params))
+    judged = accuracy.withColumn("holdout_mae", ref)
+    judged = judged.withColumn("breach_reason", judge(F.col("rolling_mae"), F.col("holdout_mae"), params))
     return judged.withColumn("breached", F.col("breach_reason").isNotNull())
 
 
@@ -82,37 +75,38 @@ def cooldown_left(history: DataFrame, now: datetime | str | None, params: Params
 
 
 def retrain_decision(
-    accuracy: DataFrame, drift: DataFrame, cooldown: DataFrame, params: Params, now: datetime | str | None = None
+    accuracy: DataFrame, drift: DataFrame, cooldown: DataFrame, params: Params, now: datetime | str | None = None,
+    model: tuple[Column, Column] | None = None,
 ) -> DataFrame:
-    """One ``model_metrics`` row. ``breached`` is the decision to retrain; a retrain held back by the
-    cooldown is stored as not breached and marked, so it does not prolong its own cooldown."""
+    """One ``model_metrics`` row with the drifted features beside it. ``breached`` is the decision to retrain; a retrain
+    held back by the cooldown is stored as not breached and marked, so it does not prolong its own cooldown.
+
+    ``model`` is the name and version of the live model; ``breach_reason`` lists what fired as ``trigger:code``.
+    """
     d = drift.select(F.struct("drift_share", "dataset_drift", "evaluated", "drifted_features")).scalar()
+    name, version = model or (F.lit(None), F.lit(None))
     row = accuracy.withColumns({"_d": d, "_cool": cooldown.select("cooldown_hours").scalar()})
-    from_error = F.when(
-        F.col("evaluated") & F.col("breached"), F.concat(F.lit("accuracy: "), F.col("breach_reason"))
-    )
-    worst = F.array_join(F.slice("_d.drifted_features", 1, 5), ", ")
-    from_drift = F.when(
-        F.col("_d.evaluated") & F.col("_d.dataset_drift"),
-        F.concat(
-            F.format_string(
-                f"drift: %.0f%% of features drifted (threshold {params.drift_share_threshold * 100:.0f}%%); worst: ",
-                F.col("_d.drift_share") * 100,
-            ),
-            worst,
-        ),
-    )
+    by_error = F.when(F.col("evaluated") & F.col("breached"), F.concat(F.lit("accuracy:"), F.col("breach_reason")))
+    by_drift = F.when(F.col("_d.evaluated") & F.col("_d.dataset_drift"), "drift:share_above_limit")
     fired = F.col("_error").isNotNull() | F.col("_drift").isNotNull()
     held = fired & F.coalesce(F.col("_cool") > 0, F.lit(False))
-    note = F.when(held, F.format_string(f"{SUPPRESSED} %.1fh of cooldown remaining", "_cool"))
-    reason = F.when(fired, F.concat_ws("; ", "_error", "_drift", note)).otherwise("no retraining trigger fired")
-    return row.withColumns({"_error": from_error, "_drift": from_drift}).select(
-        utc_now(now).alias("computed_at"), "window_start", "window_end", "n_samples", "rolling_mae", "rolling_rmse",
+    reason = F.when(fired, F.concat_ws("; ", "_error", "_drift", F.when(held, SUPPRESSED))).otherwise("none")
+    return row.withColumns({"_error": by_error, "_drift": by_drift}).select(
+        utc_now(now).alias("computed_at"), "window_start", "window_end", name.cast("string").alias("model_name"),
+        version.cast("string").alias("model_version"), "n_samples", "rolling_mae", "rolling_rmse",
         F.col("_d.drift_share").alias("drift_share"), F.col("_d.dataset_drift").alias("dataset_drift"),
-        (fired & ~held).alias("breached"), reason.alias("breach_reason"),
+        (fired & ~held).alias("breached"), reason.alias("breach_reason"), F.col("_cool").alias("cooldown_hours"),
+        F.col("_d.drifted_features").alias("drifted_features"),
     )
 
 
+def store_metrics(decision: DataFrame, path: str) -> None:
+    """Append the stored columns of a decision to the monitoring log, partitioned by day."""
+    fields = [c for c in decision.columns if c not in ("cooldown_hours", "drifted_features")]
+    row = decision.select(fields).withColumn("day", F.to_date("computed_at"))
+    row.write.mode("append").partitionBy("day").parquet(path)
+
+
 def freshness(
     streams: Mapping[str, tuple[DataFrame, str, float, bool]], now: datetime | str | None, params: Params
 ) -> DataFrame:
@@ -133,38 +127,29 @@ def freshness(
         )
     checked = reduce(DataFrame.unionByName, rows)
     healthy = F.coalesce(F.col("age_minutes") <= F.col("threshold_minutes"), F.lit(False))
-    age, limit = F.round("age_minutes").cast("bigint"), F.round("threshold_minutes").cast("bigint")
-    detail = (
-        F.when(F.col("latest").isNull(), F.concat("name", F.lit(": no rows at all")))
-        .when(healthy, F.format_string("%s: fresh (%d min old)", "name", age))
-        .otherwise(F.format_string("%s: newest row is %d min old, over the %d min limit", F.col("name"), age, limit))
-    )
-    return checked.withColumns({"healthy": healthy, "detail": detail})
+    code = F.when(F.col("latest").isNull(), "no_rows").when(healthy, "fresh").otherwise("stale")
+    return checked.withColumns({"healthy": healthy, "detail": F.concat_ws(":", "name", code)})
 
 
 def overall_freshness(checks: DataFrame) -> DataFrame:
     """One row ``(healthy, summary)``; one line per configured stream goes in."""
-    failing = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("healthy"), F.col("detail")))), "; ")
+    failing = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("healthy"), F.col("detail")))), ",")
     row = checks.agg(F.bool_and("healthy").alias("healthy"), failing.alias("failing"))
-    return row.select("healthy", F.when(F.col("healthy"), "all data streams are fresh").otherwise(F.col("failing")).alias("summary"))
+    return row.select("healthy", F.when(F.col("healthy"), "fresh").otherwise(F.col("failing")).alias("summary"))
 
 
-# Warnings by history source.
-SOURCE_WARNINGS = {
-    "fallback": "history comes from the fallback table",
-    "stale": "no recent history; using the newest stored slice",
-    "none": "no demand history available; predictions will be unreliable",
-}
+#: Sources of history that are worth a warning.
+DOUBTFUL_SOURCES = ("fallback", "stale", "none")
 
 
 def health(checks: DataFrame, history_source: Column | str, model_loaded: bool = True) -> DataFrame:
     """One row ``(status, history_source, data_live, warnings)``: ok only without any warning."""
     source = F.lit(history_source) if isinstance(history_source, str) else history_source
     row = overall_freshness(checks).withColumn("history_source", source)
-    notes = [F.when(~F.col("healthy"), F.concat(F.lit("ingestion may have stalled - "), F.col("summary")))]
-    notes += [F.when(F.col("history_source") == k, text) for k, text in SOURCE_WARNINGS.items()]
+    notes = [F.when(~F.col("healthy"), F.concat(F.lit("streams "), F.col("summary")))]
+    notes.append(F.when(F.col("history_source").isin(*DOUBTFUL_SOURCES), F.concat(F.lit("history "), F.col("history_source"))))
     if not model_loaded:
-        notes.append(F.lit("no production model"))
+        notes.append(F.lit("model none"))
     listed = F.array_join(F.filter(F.array(*notes), lambda x: x.isNotNull()), "; ")
     return row.withColumn("warnings", listed).select(
         F.when(F.col("warnings") == "", "ok").otherwise("degraded").alias("status"),

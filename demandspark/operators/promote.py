@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.functions.stats import LOWER_IS_BETTER
-from demandspark.params import PROXY_LABEL, Params
+from demandspark.params import Params
 
 PRODUCTION = "production"
 
@@ -25,9 +25,9 @@ def best_candidate(candidates: DataFrame, metric: str) -> DataFrame:
 
 
 def current_champion(registry: DataFrame) -> DataFrame:
-    """Latest production row of the registry as one struct ``champion``."""
+    """Latest production row of the registry as one struct ``champion``; all fields NULL without one."""
     live = registry.where(F.col("stage") == PRODUCTION)
-    return live.agg(F.max_by(F.struct("version", "model_name", "score_as_served"), F.col("version")).alias("champion"))
+    return live.agg(F.max_by(F.struct(*registry.columns), F.col("version")).alias("champion"))
 
 
 def relative_improvement(challenger: Column, champion: Column, metric: str) -> Column:
@@ -38,7 +38,7 @@ def relative_improvement(challenger: Column, champion: Column, metric: str) -> C
 
 
 def decide(candidates: DataFrame, registry: DataFrame, params: Params, metric: str | None = None) -> DataFrame:
-    """One row: ``promote, challenger, challenger_score, champion_score, improvement, reason``.
+    """One row: ``promote, challenger, challenger_score, champion_score, improvement, reason`` (a code).
 
     Scores are compared as served on both sides. Without a champion the best candidate goes
     live; otherwise the gain must exceed the margin.
@@ -51,25 +51,31 @@ def decide(candidates: DataFrame, registry: DataFrame, params: Params, metric: s
     row = row.withColumn("improvement", relative_improvement(F.col("challenger_score"), F.col("champion_score"), metric))
     clears = F.coalesce(F.col("improvement") > margin, F.lit(False))
     first = F.col("champion_score").isNull() & F.col("challenger").isNotNull()
-    moved = F.format_string(
-        f"{metric} by %.2f%% (%.4f -> %.4f)", F.col("improvement") * 100, F.col("champion_score"), F.col("challenger_score")
-    )
     reason = (
-        F.when(F.col("challenger").isNull(), F.lit("no candidates were trained"))
-        .when(first, F.format_string(f"no production model yet; promoting %s ({metric}=%.4f)", "challenger", "challenger_score"))
-        .when(clears, F.concat("challenger", F.lit(" improves "), moved, F.lit(f", clearing the {margin:.2%} bar")))
-        .otherwise(F.concat("challenger", F.lit(" changes "), moved, F.lit(f", below the {margin:.2%} bar; champion stays")))
+        F.when(F.col("challenger").isNull(), "no_candidates")
+        .when(first, "first_model")
+        .when(clears, "gain_above_margin")
+        .otherwise("gain_within_margin")
     )
     return row.select(
         (first | clears).alias("promote"), "challenger", "challenger_score", "champion_score", "improvement", reason.alias("reason")
     )
 
 
-def record(decision: DataFrame, candidates: DataFrame, registry: DataFrame, params: Params, metric: str | None = None) -> DataFrame:
+def record(
+    decision: DataFrame, candidates: DataFrame, registry: DataFrame, params: Params, metric: str | None = None,
+    window: DataFrame | None = None, mapping_path: str | None = None,
+) -> DataFrame:
     """Registry row to append for a positive decision (no row otherwise); the newest production row is the live model.
 
-    ``candidates`` also carries ``path``, ``kind``, ``score_in_process`` and ``label_provenance``.
+    ``candidates`` also carries ``path``, ``kind``, ``score_in_process`` and ``label_provenance``; ``window`` is the one
+    row ``(train_start, train_end)`` that monitoring later takes its reference rows from.
     """
+    start, end = (
+        (F.lit(None).cast("timestamp_ntz"),) * 2
+        if window is None
+        else (window.select("train_start").scalar(), window.select("train_end").scalar())
+    )
     metric = metric or params.promotion_metric
     version = F.coalesce(registry.agg(F.max("version")).scalar(), F.lit(0)) + 1
     details = candidates.select(
@@ -86,10 +92,11 @@ def record(decision: DataFrame, candidates: DataFrame, registry: DataFrame, para
         "score_in_process",
         "label_provenance",
         F.lit(PRODUCTION).alias("stage"),
+        start.alias("train_start"),
+        end.alias("train_end"),
+        F.lit(params.granularity).alias("granularity"),
+        F.lit(mapping_path).cast("string").alias("mapping_path"),
+        F.lit(params.seed).cast("bigint").alias("seed"),
         F.current_timestamp().alias("recorded_at"),
     )
 
-
-def proxy_warning(registry: DataFrame) -> DataFrame:
-    """Production versions whose labels are not all true counts."""
-    return registry.where((F.col("stage") == PRODUCTION) & (F.col("label_provenance").contains(PROXY_LABEL)))

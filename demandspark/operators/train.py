@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +46,11 @@ def training_set_with_fallback(
         return data, True
 
 
+def training_window(data: DataFrame) -> DataFrame:
+    """One row ``(train_start, train_end)``: the first and last hour of the training split."""
+    return data.where("split = 'train'").agg(F.min("hour_ts").alias("train_start"), F.max("hour_ts").alias("train_end"))
+
+
 def usable_features(train: DataFrame, features: Sequence[str]) -> list[str]:
     """Features with at least one known training value (an all-NULL column cannot be imputed)."""
     row = train.agg(*[F.count(c).alias(c) for c in features]).first()
@@ -193,10 +197,3 @@ def fit_sequence_forest(train: DataFrame, params: Params, trees: int = 10, depth
         featuresCol="inputs", labelCol="departures", predictionCol="raw", numTrees=trees, maxDepth=depth, seed=params.seed
     )
     return _fit([VectorAssembler(inputCols=list(SEQUENCE_INPUTS), outputCol="inputs"), forest], train)
-
-
-def inputs_as_array(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """The assembled model input as ``array<double>``, for models kept outside Spark ML."""
-    return PipelineModel(stages=model.stages[:-1]).transform(rows).select(
-        "entity_id", "hour_ts", vector_to_array("inputs").alias("inputs")
-    )

@@ -31,6 +31,7 @@ TABLES = {
     "model_registry": (
         "version int, model_name string, path string, kind string, reason string, metric string, "
         "score_as_served double, score_in_process double, label_provenance string, stage string, "
+        "train_start timestamp_ntz, train_end timestamp_ntz, granularity string, mapping_path string, seed bigint, "
         "recorded_at timestamp"
     ),
 }
