@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.functions.stats import METRICS, regression_aggregates
+from demandspark.functions.times import floor_hour
 from demandspark.operators.entities import to_entities
 from demandspark.operators.keys import latest_per_key
 from demandspark.operators.panel import largest_gap
@@ -17,9 +18,12 @@ from demandspark.session import materialise
 SPLITS = ("train", "validation", "test")
 
 
-def chronological_split(panel: DataFrame, params: Params) -> DataFrame:
-    """Add ``split``: the last hours are test, the hours before them validation, the rest train."""
-    newest = panel.agg(F.max("hour_ts").alias("m"))
+def chronological_split(panel: DataFrame, params: Params, bounds: DataFrame | None = None) -> DataFrame:
+    """Add ``split``: the last hours are test, the hours before them validation, the rest train.
+
+    ``bounds`` may name a cheaper frame with the observed hours, so that the panel is not built for its newest one.
+    """
+    newest = (panel if bounds is None else bounds).agg(floor_hour(F.max("hour_ts")).alias("m"))
     test_start = newest.select(F.timestamp_add("HOUR", F.lit(-params.test_size_hours), "m")).scalar()
     valid_start = newest.select(
         F.timestamp_add("HOUR", F.lit(-params.test_size_hours - params.validation_size_hours), "m")

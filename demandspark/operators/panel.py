@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from demandspark.functions.calendar import add_calendar, add_seasonal
-from demandspark.functions.times import hour_from_index, hour_index
+from demandspark.functions.times import floor_hour, hour_from_index, hour_index
 from demandspark.operators.keys import first_per_key
 from demandspark.params import ENTITY_FEATURES, WEATHER_FEATURES, Params
 
@@ -185,9 +185,10 @@ def feature_panel(
     return to_contract(panel, params)
 
 
-def drop_warmup(panel: DataFrame, params: Params) -> DataFrame:
-    """Keep hours from ``warmup`` after the first one."""
-    cutoff = panel.agg(F.timestamp_add("HOUR", F.lit(params.warmup), F.min("hour_ts"))).scalar()
+def drop_warmup(panel: DataFrame, params: Params, bounds: DataFrame | None = None) -> DataFrame:
+    """Keep hours from ``warmup`` after the first one, which ``bounds`` may give more cheaply than the panel."""
+    first = floor_hour(F.min("hour_ts"))
+    cutoff = (panel if bounds is None else bounds).agg(F.timestamp_add("HOUR", F.lit(params.warmup), first)).scalar()
     return panel.where(F.col("hour_ts") >= cutoff)
 
 

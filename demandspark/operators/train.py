@@ -26,8 +26,10 @@ def training_set(
 ) -> DataFrame:
     """Labels to the split, model-ready panel: roll-up, panel, warm-up drop, known targets, split."""
     obs = to_entities(hourly, station_entity)
-    panel = feature_panel(obs, entities, weather, params)
-    return chronological_split(known_target(drop_warmup(panel, params)), params)
+    # The first and last hour come from the roll-up, not from a panel built once more for each of them.
+    hours = obs.where("departures is not null").select("hour_ts")
+    panel = feature_panel(obs, entities, weather, params, bounds=hours)
+    return chronological_split(known_target(drop_warmup(panel, params, hours)), params, hours)
 
 
 def training_set_with_fallback(

@@ -174,7 +174,8 @@ FROM warm, (SELECT max(hour_ts) AS m FROM warm))"""
 
 
 def split_panel(spark: SparkSession, d: str) -> DataFrame:
-    return ev.chronological_split(pn.known_target(pn.drop_warmup(lagged_panel(spark, d), P)), P)
+    hours = tb.event_hours(spark, d)
+    return ev.chronological_split(pn.known_target(pn.drop_warmup(lagged_panel(spark, d), P, hours)), P, hours)
 
 
 @query(
