@@ -17,11 +17,8 @@ from pyspark.sql import functions as F
 from demandspark.session import materialise, settle
 
 
-def value_counts(df: DataFrame, features: Sequence[str], weights: dict[str, Column]) -> DataFrame:
-    """``(feature, value, <weight sums>)`` for numeric columns; NULL and NaN are left out.
-
-    Written out once, because borders, slice totals, ranks and bins all read it.
-    """
+def long_values(df: DataFrame, features: Sequence[str], weights: dict[str, Column]) -> DataFrame:
+    """``(feature, value, <weights>)``, one row per row and numeric column; NULL and NaN are left out. Nothing moves."""
     tagged = df.select(
         *[F.col(c).cast("double").alias(c) for c in features],
         *[w.alias(name) for name, w in weights.items()],
@@ -29,7 +26,16 @@ def value_counts(df: DataFrame, features: Sequence[str], weights: dict[str, Colu
     long = tagged.unpivot(list(weights), list(features), "feature", "value")
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     # 0.0 and -0.0 are one value.
-    long = long.withColumn("value", F.col("value") + F.lit(0.0))
+    return long.withColumn("value", F.col("value") + F.lit(0.0))
+
+
+def value_counts(df: DataFrame, features: Sequence[str], weights: dict[str, Column]) -> DataFrame:
+    """``(feature, value, <weight sums>)``: equal values counted once.
+
+    Written out, because slice totals and ranks both read it. This moves every distinct value, which running totals
+    need anyway; quantiles and bins read :func:`long_values` instead.
+    """
+    long = long_values(df, features, weights)
     return materialise(long.groupBy("feature", "value").agg(*[F.sum(w).alias(w) for w in weights]), "values")
 
 
@@ -112,8 +118,9 @@ def quantiles_of_counts(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per feature: ``(by, n, quantiles array)``.
 
-    Only the slices that hold a wanted rank are sorted, two per probability at most; of their rows only
-    the values on a wanted rank are collected.
+    ``counts`` may be rows or counted values. It is scanned for borders, for the totals of the slices, and for the
+    slices that hold a wanted rank, two per probability at most: only the values of these are shuffled and sorted, and
+    only those on a wanted rank collected.
     """
     sliced, offsets = _slice_offsets(counts, [measure], by, value, n_buckets)
     marks = F.array(*[F.lit(float(p)) for p in sorted(probabilities)])
@@ -125,7 +132,9 @@ def quantiles_of_counts(
     size = F.col(f"all_{measure}")
     off, held = F.col(f"_off_{measure}"), F.col(f"_sum_{measure}")
     needed = offsets.where(holds_rank(F.col(f"_all_{measure}"), off, off + held - 1)).select(by, "_slice", off)
-    near = sliced.join(F.broadcast(needed), [by, "_slice"])
+    near = sliced.join(F.broadcast(needed), [by, "_slice"]).groupBy(by, "_slice", value).agg(
+        F.sum(measure).alias(measure), F.max(size).alias(f"all_{measure}"), F.max(off).alias(f"_off_{measure}")
+    )
     upto = Window.partitionBy(by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = near.withColumn("_last", F.sum(measure).over(upto) + off - 1)
     hit = ranked.where((F.col(measure) > 0) & holds_rank(size, F.col("_last") - F.col(measure) + 1, F.col("_last")))
@@ -151,8 +160,8 @@ def quantiles_of_counts(
 
 def exact_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float], n_buckets: int = 256) -> DataFrame:
     """``(feature, n, quantiles)`` for numeric columns of any size."""
-    counts = value_counts(df, features, {"n_rows": F.lit(1)})
-    return quantiles_of_counts(counts, "n_rows", probabilities, n_buckets=n_buckets)
+    rows = long_values(df, features, {"n_rows": F.lit(1)})
+    return quantiles_of_counts(rows, "n_rows", probabilities, n_buckets=n_buckets)
 
 
 def describe(df: DataFrame, features: Sequence[str], n_buckets: int = 256) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.functions.ordered import add_rank, quantiles_of_counts, running_totals, value_counts
+from demandspark.functions.ordered import add_rank, long_values, quantiles_of_counts, running_totals, value_counts
 from demandspark.functions.times import hours_before
 from demandspark.params import Params
 
@@ -32,18 +32,21 @@ def shared_features(ref: DataFrame, cur: DataFrame, exclude: Sequence[str] = ())
     return [f for f in numeric_features(ref) if f in cur.columns and f not in set(exclude)]
 
 
-def two_sample_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``(feature, value, n_ref, n_cur)``: distinct values with their counts on both sides."""
+def both_sides(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
     tag = [F.col(f).cast("double").alias(f) for f in features]
-    both = ref.select(*tag, F.lit(1).alias("_r"), F.lit(0).alias("_c")).unionByName(
+    return ref.select(*tag, F.lit(1).alias("_r"), F.lit(0).alias("_c")).unionByName(
         cur.select(*tag, F.lit(0).alias("_r"), F.lit(1).alias("_c"))
     )
-    return value_counts(both, features, {"n_ref": F.col("_r"), "n_cur": F.col("_c")})
+
+
+def side_weights() -> dict[str, Column]:
+    return {"n_ref": F.col("_r"), "n_cur": F.col("_c")}
 
 
 def psi_from_counts(counts: DataFrame, features: Sequence[str], bins: int, n_buckets: int) -> DataFrame:
-    """``(feature, psi)``.
+    """``(feature, psi)`` from rows or counted values ``(feature, value, n_ref, n_cur)``.
 
+    Bins are counted where the rows are; only the values near the wanted quantiles of the reference are shuffled.
     Edges are the distinct reference quantiles with open ends; bins are closed on the left. Shares
     are smoothed by half a row, over the number of edges. Fewer than two rows on a side or fewer
     than three edges give 0.
@@ -77,7 +80,7 @@ def psi_from_counts(counts: DataFrame, features: Sequence[str], bins: int, n_buc
 
 
 def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10, n_buckets: int = 256) -> DataFrame:
-    return psi_from_counts(two_sample_counts(ref, cur, features), features, bins, n_buckets)
+    return psi_from_counts(long_values(both_sides(ref, cur, features), features, side_weights()), features, bins, n_buckets)
 
 
 def kolmogorov_p(distance: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -94,7 +97,7 @@ def kolmogorov_p(distance: Column, n: Column, m: Column, terms: int = 100) -> Co
 
 def two_sample(ref: DataFrame, cur: DataFrame, features: Sequence[str], n_buckets: int = 256) -> DataFrame:
     """``(feature, n_ref, n_cur, ks, p_value, wasserstein, ref_std)``."""
-    totals = running_totals(two_sample_counts(ref, cur, features), ["n_ref", "n_cur"], n_buckets=n_buckets)
+    totals = running_totals(value_counts(both_sides(ref, cur, features), features, side_weights()), ["n_ref", "n_cur"], n_buckets=n_buckets)
     gap = F.abs(F.try_divide("cum_n_ref", "all_n_ref") - F.try_divide("cum_n_cur", "all_n_cur"))
     weight, value = F.col("n_ref"), F.col("value")
     step = F.coalesce(F.col("next_value") - value, F.lit(0.0))
