@@ -7,9 +7,10 @@ cutting it gives fragments. Work goes fragment by fragment and partial counts ar
    with more unmatched ones there than a partner may lack has no partner. Most sets end here.
 2. The sets that are left send their n-grams to all fragments, and keep those that another set holds. Only these can
    overlap. Sets that share one of the first few (a prefix, so no pair is missed) form families.
-3. Families are cut into blocks. For each pair of blocks every fragment counts its part of the overlaps as a matrix;
-   the matrices are summed per pair of documents and compared with the threshold. Of the links only a spanning forest
-   leaves the task, so that large groups of near copies give few rows.
+3. Families are cut into blocks. For a pair of blocks every fragment counts its part of the overlaps as a matrix; the
+   matrices are summed per pair of documents and compared with the threshold. Of the links only a spanning forest
+   leaves the task, so that large groups of near copies give few rows, and blocks that are already connected are not
+   compared any more.
 
 Equal sets are one class and are compared once. Links are joined to components at the end.
 """
@@ -31,8 +32,10 @@ from demandspark.session import materialise
 TOKEN_BITS = 54
 #: N-grams that a task sorts at once, and that a fragment should hold.
 BATCH_TOKENS = 1 << 20
-#: A block holds at most 2**21 / 2**14 documents, fewer if they are long.
-BLOCK_WEIGHT, DOC_WEIGHT = 1 << 21, 1 << 14
+#: A block holds at most 2**22 / 2**13 documents, fewer if they are long.
+BLOCK_WEIGHT, DOC_WEIGHT = 1 << 22, 1 << 13
+#: Sets of a component that stand for it in the second step of round 3.
+SAMPLE = 8
 #: Fragments of the overlap counts in round 3.
 VERIFY_FRAGMENTS = 4
 CACHE_WORDS = 1 << 17
@@ -322,29 +325,65 @@ def families(held: DataFrame, percent: int) -> DataFrame:
     return components(stars, "name", "first", "family")
 
 
-def blocks(held: DataFrame, family: DataFrame, percent: int) -> DataFrame:
-    """``(family, b1, b2, side, name, n, tokens)``, from ``(node, family)``: every set in each pair of blocks that it has to be compared in.
+def in_blocks(members: DataFrame, *order: str) -> DataFrame:
+    """``members`` (``family, name, n``) with the number of their block: neighbours in the order within their family."""
+    before = Window.partitionBy("family").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.coalesce(F.sum(F.col("n") + DOC_WEIGHT).over(before), F.lit(0))
+    return materialise(members.withColumn("block", F.floor(weight / BLOCK_WEIGHT)), "blocks")
 
-    Sets are in order of size, so blocks whose sizes are too far apart are not paired.
-    """
-    sized = held.select("name", "n").join(family, F.col("name") == F.col("node"))
-    order = Window.partitionBy("family").orderBy("n", "name").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("n") + DOC_WEIGHT).over(order), F.lit(0))
-    placed = materialise(sized.select("family", "name", "n", F.floor(before / BLOCK_WEIGHT).alias("block")), "blocks")
-    ends = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    a = ends.select("family", F.col("block").alias("b1"), F.col("high").alias("high1"))
-    b = ends.select("family", F.col("block").alias("b2"), F.col("low").alias("low2"))
-    near = (F.col("b1") <= F.col("b2")) & (F.col("low2") * percent <= F.col("high1") * 100)
-    paired = materialise(a.join(b, "family").where(near).select("family", "b1", "b2"), "pairs")
-    sides = paired.select("family", "b1", "b2", F.lit(0).alias("side"), F.col("b1").alias("block")).union(
-        paired.where("b1 < b2").select("family", "b1", "b2", F.lit(1), F.col("b2"))
+
+def sides(held: DataFrame, placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(family, b1, b2, side, name, n, tokens)``: every set in each pair of blocks that it is to be compared in."""
+    wanted = pairs.select("family", "b1", "b2", F.lit(0).alias("side"), F.col("b1").alias("block")).union(
+        pairs.where("b1 < b2").select("family", "b1", "b2", F.lit(1), F.col("b2"))
     )
-    where = placed.select("family", "name", "block").join(sides, ["family", "block"]).drop("block")
+    where = placed.select("family", "name", "block").join(wanted, ["family", "block"]).drop("block")
     return held.join(where, "name").select("family", "b1", "b2", "side", "name", "n", "tokens")
 
 
+def within_blocks(placed: DataFrame) -> DataFrame:
+    several = placed.groupBy("family", "block").count().where("count > 1")
+    return materialise(several.select("family", F.col("block").alias("b1"), F.col("block").alias("b2")), "pairs")
+
+
+def with_part(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds ``part``, the component by the links so far, for the families that are not yet one component."""
+    roots = components(links, "a", "b", "part").withColumnRenamed("node", "name")
+    parted = members.join(roots, "name", "left").withColumn("part", F.coalesce("part", "name"))
+    parted = materialise(parted, "parts")
+    open_ = parted.groupBy("family").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("family")
+    return materialise(parted.join(open_, "family", "left_semi"), "open")
+
+
+def find_links(held: DataFrame, family: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: links that connect all sets that are similar, directly or in steps.
+
+    First the sets of a block are compared with each other, then some of each component that this gives, and at last, in
+    families that are still apart, all blocks whose sets are of several components. Large groups of near copies fall
+    into one component in the first two steps, whose cost grows with the number of sets and not of pairs.
+    """
+    members = held.select("name", "n").join(family.withColumnRenamed("node", "name"), "name")
+    placed = in_blocks(members, "n", "name")
+    links = materialise(similar(sides(held, placed, within_blocks(placed)), percent), "links")
+    apart = with_part(members, links)
+    nth = F.row_number().over(Window.partitionBy("family", "part").orderBy(F.xxhash64("name"), "name"))
+    some = apart.withColumn("nth", nth).where(F.col("nth") <= SAMPLE).select("family", "name", "n")
+    placed = in_blocks(some, "n", "name")
+    links = links.union(materialise(similar(sides(held, placed, within_blocks(placed)), percent), "links"))
+    placed = in_blocks(with_part(members, links), "part", "n", "name")
+    ends = placed.groupBy("family", "block").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("part").alias("first"), F.max("part").alias("last")
+    )
+    one, two = (ends.select("family", *[F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high", "first", "last")]) for i in (1, 2))
+    sized = (F.col("low2") * percent <= F.col("high1") * 100) & (F.col("low1") * percent <= F.col("high2") * 100)
+    mixed = F.least("first1", "first2") != F.greatest("last1", "last2")
+    pairs = one.join(two, "family").where((F.col("block1") <= F.col("block2")) & sized & mixed)
+    pairs = materialise(pairs.select("family", F.col("block1").alias("b1"), F.col("block2").alias("b2")), "pairs")
+    return links.union(materialise(similar(sides(held, placed, pairs), percent), "links"))
+
+
 def similar(placed: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: links between sets, a spanning forest of them per pair of blocks."""
+    """``(a, b)``: links between the sets of :func:`sides`, a spanning forest of them per pair of blocks."""
     cut = pa.schema(
         [("family", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64()), ("fragment", pa.int32()), ("side", pa.int32()),
          ("name", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]
@@ -454,8 +493,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_by
     left = materialise(left.select("name", "n", "doc_id"), "candidates")
     held = materialise(shared_grams(docs, left, n, percent, fragment_bits, broadcast_bytes), "shared")
     family = materialise(families(held, percent), "families")
-    found = materialise(similar(blocks(held, family, percent), percent), "links")
-    joined = components(found, "a", "b")
+    joined = components(find_links(held, family, percent), "a", "b")
     roots = classes.join(joined, F.col("name") == F.col("node"), "left")
     roots = materialise(roots.select("name", "doc_id", F.coalesce("root", "name").alias("root")), "roots")
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
