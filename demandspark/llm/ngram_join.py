@@ -36,6 +36,8 @@ BATCH_TOKENS = 1 << 20
 BLOCK_WEIGHT, DOC_WEIGHT = 1 << 22, 1 << 13
 #: Sets of a component that stand for it in the second step of round 3.
 SAMPLE = 8
+#: The table of approximate n-gram counts has at most 2**22 numbers of 4 bytes, sent in COUNT_PARTS parts.
+MAX_SLOT_BITS, COUNT_PARTS = 22, 64
 #: Fragments of the overlap counts in round 3.
 VERIFY_FRAGMENTS = 4
 CACHE_WORDS = 1 << 17
@@ -301,11 +303,43 @@ def ceil_share(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
+def gram_counts(held: DataFrame, slots: int) -> np.ndarray:
+    """About how many sets hold an n-gram: counts by hash slot, summed in each task before they are sent. It only orders
+    n-grams from rare to frequent; any order that is the same for all sets gives the same links."""
+    part = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+    width = slots // COUNT_PARTS
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.uint32)
+        for batch in batches:
+            for data in column(batch, "tokens").to_pylist():
+                at, n = np.unique(np.frombuffer(data, np.int64) % slots, return_counts=True)
+                total[at] += n.astype(np.uint32)
+        if total.any():
+            yield batch_of(part, list(range(COUNT_PARTS)), [total[i * width : (i + 1) * width].tobytes() for i in range(COUNT_PARTS)])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (number,), rows in runs(batches, ["part"]):
+            total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in rows.column("counts").to_pylist())
+            yield batch_of(part, [number], [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()])
+
+    ddl = "part int, counts binary"
+    summed = held.mapInArrow(count, ddl).repartition("part").sortWithinPartitions("part").mapInArrow(add, ddl)
+    out = np.zeros(slots, np.uint32)
+    for row in summed.toLocalIterator():  # COUNT_PARTS rows, slots numbers in all
+        out[row.part * width : (row.part + 1) * width] = np.frombuffer(bytes(row.counts), np.uint32)
+    return out
+
+
 def families(held: DataFrame, percent: int) -> DataFrame:
     """``(node, family)`` of sets that share an n-gram of their prefixes with another one, directly or in steps.
 
-    Any pair that is similar enough shares one of the first ``held - needed + 1`` n-grams of either set.
+    Any pair that is similar enough shares one of the first ``held - needed + 1`` n-grams of either set, in any order
+    that is the same for both. Rare ones come first here, so that sets are not tied together by common passages.
     """
+    n_grams = held.agg(F.sum(F.length("tokens") / 8)).first()[0] or 1
+    slots = 1 << int(min(MAX_SLOT_BITS, max(16, np.ceil(np.log2(n_grams)))))
+    counts = held.sparkSession.sparkContext.broadcast(gram_counts(held, slots))
     out = pa.schema([("token", pa.int64()), ("name", pa.int64())])
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +347,7 @@ def families(held: DataFrame, percent: int) -> DataFrame:
             tokens, names = [], []
             for name, n, data in zip(*(column(batch, c).to_pylist() for c in ("name", "n", "tokens")), strict=True):
                 t = np.frombuffer(data, np.int64)
-                t = t[: len(t) - needed(n, percent) + 1]
+                t = t[np.lexsort((t, counts.value[t % slots]))[: len(t) - needed(n, percent) + 1]]
                 tokens.append(t)
                 names.append(np.full(len(t), name, np.int64))
             yield batch_of(out, *[pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (tokens, names)])
@@ -412,7 +446,8 @@ def similar(placed: DataFrame, percent: int) -> DataFrame:
             sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
             left = np.flatnonzero(side == 0)
             right = left if b1 == b2 else np.flatnonzero(side == 1)
-            counts = overlap_counts([sets[i] for i in left], [sets[i] for i in right])
+            ours = [sets[i] for i in left]
+            counts = overlap_counts(ours, ours if b1 == b2 else [sets[i] for i in right])
             yield batch_of(counted, [family], [b1], [b2], [who[left].tobytes()], [who[right].tobytes()], [counts.tobytes()])
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,11 +471,20 @@ def similar(placed: DataFrame, percent: int) -> DataFrame:
 
 
 def overlap_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many numbers each pair of sets shares, as a matrix product of their incidences, some columns at a time."""
+    """How many numbers each pair of sets shares, as a matrix product of their incidences, some columns at a time.
+
+    Numbers that only one set of a side and none of the other holds are left out first: sets that are not alike then
+    cost little more than reading them.
+    """
     out = np.zeros((len(left), len(right)), np.uint32)
     _, index = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    width = int(index.max()) + 1 if len(index) else 0
     owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    n = int(index.max()) + 1 if len(index) else 0
+    on_left, on_right = (np.bincount(index[part], minlength=n) for part in (owner < len(left), owner >= len(left)))
+    shared = (on_left > 0) & (on_right > 0) & (on_left + on_right > (2 if left is right else 1))
+    keep = shared[index]
+    index, owner = (np.cumsum(shared) - 1)[index[keep]], owner[keep]
+    width = int(shared.sum())
     step = max(1, (1 << 22) // (len(left) + len(right)))
     order = np.argsort(index, kind="stable")
     index, owner = index[order], owner[order]

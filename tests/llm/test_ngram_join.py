@@ -66,6 +66,7 @@ def test_small_blocks_and_batches(spark, monkeypatch):
     rows = mutated(3, n_base=2, copies=40)
     docs = documents(spark, rows)
     monkeypatch.setattr(nj, "BLOCK_WEIGHT", nj.DOC_WEIGHT * 3)
+    monkeypatch.setattr(nj, "SAMPLE", 1)
     monkeypatch.setattr(nj, "BATCH_TOKENS", 300)
     got = nj.near_duplicates(docs, 3, 80, broadcast_bytes=-1)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 3, 80)
