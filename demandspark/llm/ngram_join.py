@@ -10,7 +10,7 @@ cutting it gives fragments. Work goes fragment by fragment and partial counts ar
 3. Families are cut into blocks. For a pair of blocks every fragment counts its part of the overlaps as a matrix; the
    matrices are summed per pair of documents and compared with the threshold. Of the links only a spanning forest
    leaves the task, so that large groups of near copies give few rows, and blocks that are already connected are not
-   compared any more.
+   compared any more. Where links are counted or listed, all pairs of blocks are compared instead (``compare_all``).
 
 Equal sets are one class and are compared once. Links are joined to components at the end.
 """
@@ -18,6 +18,7 @@ Equal sets are one class and are compared once. Links are joined to components a
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -36,6 +37,8 @@ BATCH_TOKENS = 1 << 20
 BLOCK_WEIGHT, DOC_WEIGHT = 1 << 22, 1 << 13
 #: Sets of a component that stand for it in the second step of round 3.
 SAMPLE = 8
+#: About how many sets of a family its core is taken from.
+CORE_SETS = 32
 #: The table of approximate n-gram counts has at most 2**22 numbers of 4 bytes, sent in COUNT_PARTS parts.
 MAX_SLOT_BITS, COUNT_PARTS = 22, 64
 #: Fragments of the overlap counts in round 3.
@@ -514,18 +517,206 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
+PACKED = pa.schema(
+    [("family", pa.int64()), ("block", pa.int64())] + [(c, pa.binary()) for c in ("names", "n", "copies", "lengths", "tokens")]
+)
+PACKED_DDL = "family long, block long, names binary, n binary, copies binary, lengths binary, tokens binary"
+SENT = ("names", "n", "copies", "held", "lengths", "tokens", "parts")
+BLOCK = pa.schema([("family", pa.int64()), ("block", pa.int64())] + [(c, pa.binary()) for c in (*SENT, "counts", "a", "b")])
+BLOCK_DDL = "family long, block long, " + ", ".join(f"{c} binary" for c in (*SENT, "counts", "a", "b"))
+CROSSED = pa.schema([("family", pa.int64()), ("block", pa.int64()), ("counts", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 
-    Two documents are linked if their n-word shingle sets A, B have ``100 * |A & B| >= percent * |A | B|``; the component
-    is the smallest id that links lead to. A document without words, or without text, has an empty set and is its own
-    component; a text of fewer words is one shingle. Repeated rows are equal sets. Rows without an id are not compared
-    and have a null component. Other columns are ignored, and an empty table gives an empty result.
+
+@dataclass(frozen=True)
+class Block:
+    """Sets of a family, each as what it and the family's core do not share."""
+
+    names: np.ndarray
+    n: np.ndarray
+    copies: np.ndarray
+    held: np.ndarray
+    tokens: list[np.ndarray]
+    parts: np.ndarray
+
+    @classmethod
+    def read(cls, row: dict) -> Block:
+        names, n, copies, held, lengths, parts = (np.frombuffer(row[c], np.int64) for c in ("names", "n", "copies", "held", "lengths", "parts"))
+        return cls(names, n, copies, held, cut_up(row["tokens"], lengths), parts)
+
+
+def cut_up(tokens: bytes, lengths: np.ndarray) -> list[np.ndarray]:
+    return np.split(np.frombuffer(tokens, np.uint64), np.cumsum(lengths)[:-1])
+
+
+def by_row(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def linked(one: Block, two: Block, percent: int) -> np.ndarray:
+    """Which sets of two blocks are similar, as a matrix.
+
+    With D for what a set and the core do not share, ``2 * |A & B| = |A| + |B| - |DA| - |DB| + 2 * |DA & DB|``. The last
+    term is only counted for sets with a pair that its bounds, 0 and the smaller D, leave open.
+    """
+    d1, d2 = (np.array([len(t) for t in x.tokens], np.int64) for x in (one, two))
+    overlap = ((one.held - d1)[:, None] + (two.held - d2)[None, :]) // 2
+    asked_for = percent * (one.n[:, None] + two.n[None, :])
+    most = overlap + np.minimum(d1[:, None], d2[None, :])
+    unsure = ((100 + percent) * overlap < asked_for) & ((100 + percent) * most >= asked_for)
+    rows, cols = np.flatnonzero(unsure.any(axis=1)), np.flatnonzero(unsure.any(axis=0))
+    if len(rows):
+        left = [one.tokens[i] for i in rows]
+        overlap[np.ix_(rows, cols)] += in_parts(left, left if one is two else [two.tokens[i] for i in cols])
+    return (100 + percent) * overlap >= asked_for
+
+
+def in_parts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of large blocks are counted fragment by fragment and summed."""
+    if sum(map(len, left)) + sum(map(len, right)) <= BATCH_TOKENS:
+        return overlap_counts(left, right)
+    borders = np.arange(1, VERIFY_FRAGMENTS, dtype=np.uint64) * np.uint64((1 << TOKEN_BITS) // VERIFY_FRAGMENTS)
+    ours = [np.split(t, np.searchsorted(t, borders)) for t in left]
+    theirs = ours if left is right else [np.split(t, np.searchsorted(t, borders)) for t in right]
+    total = np.zeros((len(left), len(right)), np.uint32)
+    for k in range(VERIFY_FRAGMENTS):
+        a = [x[k] for x in ours]
+        total += overlap_counts(a, a if left is right else [x[k] for x in theirs])
+    return total
+
+
+def cores(held: DataFrame, placed: DataFrame) -> DataFrame:
+    """``(family, core)``: n-grams that most of some sets of a family hold, for families of several blocks. Any numbers
+    would give the same links; with these, near copies are short to send."""
+    out = pa.schema([("family", pa.int64()), ("core", pa.binary())])
+    sizes = placed.groupBy("family").agg(F.count("*").alias("size"), F.max("block").alias("last")).where("last > 0")
+    drawn = F.pmod(F.xxhash64("name"), F.lit(1 << 20)) * F.col("size") < CORE_SETS << 20
+    some = placed.join(sizes, "family").where(drawn).select("family", "name")
+
+    def core(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (family,), rows in runs(batches, ["family"]):
+            tokens, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]), return_counts=True)
+            yield batch_of(out, [family], [tokens[2 * n > rows.num_rows].tobytes()])
+
+    found = held.join(some, "name").select("family", "tokens").repartition("family").sortWithinPartitions("family")
+    return materialise(found.mapInArrow(core, "family long, core binary"), "cores")
+
+
+def compare_all(held: DataFrame, members: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """``(name, linked)``, the number of documents in other classes that a class is linked to, and ``(a, b)``, its links.
+
+    ``members`` is ``(family, name, n, copies)``. All blocks of a family whose sizes allow a link are compared with each
+    other. Counts leave a task as one number per set and not per link, and are summed by block. Links are all of them if
+    ``every``, else those that connect the same sets.
     """
+    placed = in_blocks(members, "n", "name")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (family, block), rows in runs(batches, ["family", "block"]):
+            tokens = rows.column("tokens").to_pylist()
+            numbers = [rows.column(c).to_numpy().astype(np.int64).tobytes() for c in ("name", "n", "copies")]
+            lengths = np.array([len(t) // 8 for t in tokens], np.int64)
+            yield batch_of(PACKED, [family], [block], *[[x] for x in numbers], [lengths.tobytes()], [b"".join(tokens)])
+
+    def within(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in by_row(batches):
+            core = np.frombuffer(row["core"] or b"", np.uint64)
+            names, n, copies, lengths = (np.frombuffer(row[c], np.int64) for c in ("names", "n", "copies", "lengths"))
+            tokens = [np.setxor1d(t, core, assume_unique=True) if len(core) else t for t in cut_up(row["tokens"], lengths)]
+            own = Block(names, n, copies, lengths, tokens, np.arange(len(names)))
+            match = linked(own, own, percent)
+            np.fill_diagonal(match, False)
+            a, b = np.nonzero(np.triu(match))
+            tree = np.array(forest(a, b), np.int64).reshape(-1, 2)
+            parts = parts_of(len(names), tree)
+            a, b = (a, b) if every else tree.T
+            sent = (names, n, copies, lengths, np.array([len(t) for t in tokens], np.int64), np.concatenate(tokens), parts)
+            yield batch_of(BLOCK, [row["family"]], [row["block"]], *[[x.tobytes()] for x in (*sent, weights(match, copies), names[a], names[b])])
+
+    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (family, b1, b2), rows in runs(batches, ["family", "b1", "b2"]):
+            one, two = map(Block.read, rows.sort_by("side").to_pylist())
+            match = linked(one, two, percent)
+            a, b = np.nonzero(match)
+            if not every:
+                # Sets of a block that are one component already are one node here.
+                nodes = np.unique(one.parts[a] * len(two.names) + two.parts[b])
+                a, b = np.array(forest(nodes // len(two.names), len(one.names) + nodes % len(two.names)), np.int64).reshape(-1, 2).T
+                b = b - len(one.names)
+            counts = [weights(match, two.copies).tobytes(), weights(match.T, one.copies).tobytes()]
+            yield batch_of(CROSSED, [family] * 2, [b1, b2], counts, [one.names[a].tobytes(), b""], [two.names[b].tobytes(), b""])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches, ["family", "block"]):
+            names = next(np.frombuffer(x, np.int64) for x in rows.column("names").to_pylist() if x is not None)
+            total = sum(np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist())
+            yield batch_of(pa.schema([("name", pa.int64()), ("linked", pa.int64())]), pa.array(names), pa.array(total))
+
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in by_row(batches):
+            yield batch_of(pa.schema([("a", pa.int64()), ("b", pa.int64())]), *[pa.array(np.frombuffer(row[c], np.int64)) for c in ("a", "b")])
+
+    source = held.select("name", "tokens").join(placed, "name").repartition("family", "block")
+    source = source.sortWithinPartitions("family", "block", "n", "name").select("family", "block", "name", "n", "copies", "tokens")
+    blocks = source.mapInArrow(pack, PACKED_DDL).join(cores(held, placed), "family", "left").mapInArrow(within, BLOCK_DDL)
+    blocks = materialise(blocks, "packed")
+    ends = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one, two = (ends.select("family", *[F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high")]) for i in (1, 2))
+    sized = (F.col("low2") * percent <= F.col("high1") * 100) & (F.col("low1") * percent <= F.col("high2") * 100)
+    pairs = one.join(two, "family").where((F.col("block1") < F.col("block2")) & sized)
+    pairs = materialise(pairs.select("family", F.col("block1").alias("b1"), F.col("block2").alias("b2")), "pairs")
+    wanted = pairs.select("*", F.lit(0).alias("side"), F.col("b1").alias("block")).union(pairs.select("*", F.lit(1), F.col("b2")))
+    sent = wanted.join(blocks.select("family", "block", *SENT), ["family", "block"]).drop("block")
+    sent = sent.repartition("family", "b1", "b2").sortWithinPartitions("family", "b1", "b2", "side")
+    crossed = materialise(sent.mapInArrow(across, "family long, block long, counts binary, a binary, b binary"), "crossed")
+    tallies = blocks.select("family", "block", "names", "counts").union(crossed.select("family", "block", F.lit(None).cast("binary"), "counts"))
+    tallies = tallies.repartition("family", "block").sortWithinPartitions("family", "block")
+    links = blocks.select("a", "b").union(crossed.select("a", "b")).where(F.length("a") > 0)
+    return tallies.mapInArrow(add, "name long, linked long"), links.mapInArrow(unpack, "a long, b long")
+
+
+def weights(match: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """For each row the sum of the copies of what it matches; exact below 2**53."""
+    return (match.astype(np.float64) @ copies.astype(np.float64)).astype(np.int64)
+
+
+def parts_of(n: int, tree: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one of its component, by links without a cycle."""
+    parts = np.arange(n)
+    for a, b in tree.tolist():
+        low, high = sorted((parts[a], parts[b]))
+        parts[parts == high] = low
+    return parts
+
+
+@dataclass(frozen=True)
+class Candidates:
+    """All rows with their class, the classes, and the shared n-grams and families of those that may have a partner."""
+
+    rows: DataFrame
+    classes: DataFrame
+    held: DataFrame
+    family: DataFrame
+
+    def members(self) -> DataFrame:
+        family = self.family.withColumnRenamed("node", "name")
+        return self.held.select("name", "n").join(family, "name").join(self.classes.select("name", "copies"), "name")
+
+    def components(self, links: DataFrame) -> DataFrame:
+        """``(name, component_id)`` of all classes."""
+        joined = components(links, "a", "b")
+        roots = self.classes.join(joined, F.col("name") == F.col("node"), "left")
+        roots = materialise(roots.select("name", "doc_id", F.coalesce("root", "name").alias("root")), "roots")
+        smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        return materialise(roots.join(smallest, "root").select("name", "component_id"), "components")
+
+
+def candidates(docs: DataFrame, n: int, percent: int, broadcast_bytes: int) -> Candidates:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialise(document_sets(docs, n, percent), "sets")
     classes = rows.where(F.col("name").isNotNull()).groupBy("name").agg(
-        F.max("n_shingles").alias("n"), F.max("n_head").alias("n_head"), F.min("doc_id").alias("doc_id")
+        F.max("n_shingles").alias("n"), F.max("n_head").alias("n_head"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")
     )
     classes = materialise(classes, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -536,16 +727,45 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_by
     left = classes.join(matched, "name", "left").where(lacking <= F.col("n") - ceil_share(F.col("n"), percent))
     left = materialise(left.select("name", "n", "doc_id"), "candidates")
     held = materialise(shared_grams(docs, left, n, percent, fragment_bits, broadcast_bytes), "shared")
-    family = materialise(families(held, percent), "families")
-    joined = components(find_links(held, family, percent), "a", "b")
-    roots = classes.join(joined, F.col("name") == F.col("node"), "left")
-    roots = materialise(roots.select("name", "doc_id", F.coalesce("root", "name").alias("root")), "roots")
-    smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = materialise(roots.join(smallest, "root").select("name", "component_id"), "components")
-    out = rows.join(named, "name", "left")
+    return Candidates(rows, classes, held, materialise(families(held, percent), "families"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
+
+    Two documents are linked if their n-word shingle sets A, B have ``100 * |A & B| >= percent * |A | B|``; the component
+    is the smallest id that links lead to. A document without words, or without text, has an empty set and is its own
+    component; a text of fewer words is one shingle. Repeated rows are equal sets. Rows without an id are not compared
+    and have a null component. Other columns are ignored, and an empty table gives an empty result.
+    """
+    found = candidates(docs, n, percent, broadcast_bytes)
+    named = found.components(find_links(found.held, found.family, percent))
+    out = found.rows.join(named, "name", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def linked_documents(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, n_links)``: as :func:`near_duplicates`, and how many other rows a row is
+    linked to. Those with an equal set count; empty sets have none, and rows without an id a null."""
+    found = candidates(docs, n, percent, broadcast_bytes)
+    counts, links = compare_all(found.held, found.members(), percent, every=False)
+    named = found.components(links).join(found.classes.select("name", "copies"), "name").join(counts, "name", "left")
+    named = named.select("name", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    out = found.rows.join(materialise(named, "counted"), "name", "left")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), n_links)
+
+
+def linked_pairs(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """``(a, b)``: all links between different sets, each once, as the smallest ids of the two sets, ``a < b`` but where
+    rows of different sets share an id. As many rows as links, so the square of a group's size."""
+    found = candidates(docs, n, percent, broadcast_bytes)
+    _, links = compare_all(found.held, found.members(), percent, every=True)
+    one, two = (found.classes.select(F.col("name").alias(c), F.col("doc_id").alias(f"doc_{c}")) for c in "ab")
+    named = links.join(one, "a").join(two, "b")
+    return named.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
+
+
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the smallest id. Documents without words and
     rows without an id stay; of repeated rows of one id the first by text stays."""
@@ -563,4 +783,4 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), n=3, percent=90)
+    return linked_documents(read_table(spark, sf_dir, "documents"), n=3, percent=90)

@@ -100,3 +100,45 @@ def test_components(spark):
         parent.update(dict.fromkeys(group, low))
     assert got == {n: r for n, r in parent.items() if any(n in x and x[0] != x[1] for x in links)}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").where(F.lit(True)).count() == 0
+
+
+def all_pairs(rows, n, percent):
+    """Links of every row, by position, and the pairs of different sets by their smallest ids."""
+    sets = [gram_set(r[1], n) if r[0] is not None else frozenset() for r in rows]
+    first = {}
+    for r, s in zip(rows, sets, strict=True):
+        first[s] = min(first.get(s, r[0]), r[0]) if s else None
+    links, pairs = [0] * len(rows), set()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                links[i] += 1
+                links[j] += 1
+                if a != b:
+                    pairs.add(tuple(sorted((first[a], first[b]))))
+    return links, sorted(pairs)
+
+
+def test_no_link_is_lost(spark, monkeypatch):
+    rows = mutated(3, n_base=2, copies=40)
+    rows += [(1000 + i, r[1], None, "copy", None) for i, r in enumerate(rows) if i % 7 == 0]
+    rows += [(2000, "", None, None, None), (2001, None, None, None, None), (None, rows[0][1], None, None, None)]
+    monkeypatch.setattr(nj, "BLOCK_WEIGHT", nj.DOC_WEIGHT * 30)
+    docs = documents(spark, rows)
+    links, pairs = all_pairs(rows, 3, 60)
+    want = [(*x, links[i] if rows[i][0] is not None else None) for i, x in enumerate(by_position(rows, 3, 60))]
+    assert sorted(map(tuple, nj.linked_documents(docs, 3, 60).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, nj.linked_pairs(docs, 3, 60).collect())) == pairs
+    assert len(pairs) > 4 * len(rows)
+
+
+def by_position(rows, n, percent):
+    found = {x[0]: x for x in brute(rows, n, percent)}
+    return [found[r[0]] for r in rows]
+
+
+def test_the_query_counts_links(spark, tmp_path):
+    rows = mutated(6, n_base=3, copies=12)
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_links for r in nj.op7_ngram_join(spark, str(tmp_path)).collect()}
+    assert got == {r[0]: k for r, k in zip(rows, all_pairs(rows, 3, 90)[0], strict=True)}
