@@ -1,15 +1,16 @@
 """License scans over a positional rare-token index.
 
 The index holds, for each word of the licence templates and phrases, where it stands in them. A file's licence words are
-ranked by IDF, which is measured over the whole corpus. The rarest are looked up: each occurrence in the file and each
-posting of a template give a relative position, and where several different words agree on it the template is a
-candidate. It is accepted if its mandatory key phrases stand where that position puts them. Key phrases are found the
+ranked by IDF, which is measured over the whole corpus. The rarest of each template are looked up: each occurrence in the
+file and each place in the template give a relative position, and where several different words agree on it the template
+is a candidate, as it is where a mandatory phrase stands. It is accepted if its mandatory key phrases stand where that position puts them. Key phrases are found the
 same way, from the rarest word of each, so that every place of a phrase is seen, whatever else a file holds.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -68,10 +69,14 @@ class Index:
         self.labels = [t.label for t in templates]
         self.texts = [words_of(t.text.encode()) for t in templates]
         self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) for w in vocabulary(base, templates)}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, ws in enumerate(self.texts):
+        #: Of each template, its words with their places in it, and the words from rare to frequent.
+        self.postings: list[dict[bytes, list[int]]] = []
+        for ws in self.texts:
+            own: dict[bytes, list[int]] = defaultdict(list)
             for i, w in enumerate(ws):
-                self.postings[w].append((t, i))
+                own[w].append(i)
+            self.postings.append(dict(own))
+        self.ranked = [sorted(own, key=lambda w: (-self.idf[w], w)) for own in self.postings]
         self.weight = [sum(self.idf[w] for w in set(ws)) for ws in self.texts]
         phrases = dict.fromkeys([*base, *(m for t in templates for m in t.mandatory)])
         self.phrases = {p: words_of(p.encode()) for p in phrases}
@@ -108,27 +113,41 @@ class Index:
         return (len(words), len(base), min(starts, default=None), max(starts, default=None), base_labels, ",".join(sorted(labels)), score)
 
     def matches(self, at: dict[bytes, list[int]], places: dict[str, list[int]]) -> Iterator[tuple[str, float]]:
-        rare = sorted(at, key=lambda w: (-self.idf[w], w))[: self.n_rare]
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for w in rare:
-            for t, i in self.postings.get(w, ()):
-                for pos in at[w]:
-                    # Neighbouring bins overlap, so that words a few places apart can agree across a border.
-                    bin_ = (pos - i) // self.slack
-                    votes[t, bin_].add(w)
-                    votes[t, bin_ + 1].add(w)
+        seeds: set[tuple[int, int]] = set()
+        for t, phrases in enumerate(self.mandatory):
+            # Words of one template never take the place of another's.
+            for w in [w for w in self.ranked[t] if w in at][: self.n_rare]:
+                for i in self.postings[t][w]:
+                    for pos in at[w]:
+                        # Neighbouring bins overlap, so that words a few places apart can agree across a border.
+                        bin_ = (pos - i) // self.slack
+                        votes[t, bin_].add(w)
+                        votes[t, bin_ + 1].add(w)
+            # A place of a mandatory phrase is a candidate too, if enough different words stand around it.
+            for p, i in phrases:
+                for s in places.get(p, ()):
+                    seeds |= {(t, (s - i) // self.slack), (t, (s - i) // self.slack + 1)}
+        for t, bin_ in seeds:
+            low, high = (bin_ - 2) * self.slack, (bin_ + 2) * self.slack
+            votes[t, bin_] |= {w for w, own in self.postings[t].items() if w in at and near(at[w], own, low, high)}
         best: dict[int, float] = {}
         for (t, bin_), ws in votes.items():
             if len(ws) < min(self.agree, len(set(self.texts[t]))):
                 continue
             low, high = (bin_ - 2) * self.slack, (bin_ + 2) * self.slack
             if all(any(low <= s - i < high for s in places.get(p, ())) for p, i in self.mandatory[t]):
-                found = {w for i, w in enumerate(self.texts[t]) if any(low <= pos - i < high for pos in at.get(w, ()))}
+                found = {w for w, own in self.postings[t].items() if w in at and near(at[w], own, low, high)}
                 best[t] = max(best.get(t, 0.0), sum(sorted(self.idf[w] for w in found)) / (self.weight[t] or 1.0))
         for t, share in best.items():
             yield self.labels[t], min(share, 1.0)
 
 
+def near(at: list[int], own: list[int], low: int, high: int) -> bool:
+    """Whether one of the sorted places ``at`` is ``low`` to ``high`` after one of a template's."""
+    return any((k := bisect_left(at, low + i)) < len(at) and at[k] < high + i for i in own)
+
+
 def place(words: list[bytes], phrase: list[bytes]) -> int:
     return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
 

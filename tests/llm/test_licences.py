@@ -55,3 +55,18 @@ def test_key_phrases_are_mandatory(spark):
 def test_empty_and_clashes(spark):
     assert scan_licences(documents(spark, [])).count() == 0
     assert scan_licences(with_clashes(documents(spark))).count() == len(awkward())
+
+
+def test_templates_do_not_crowd_each_other_out(spark):
+    filler = " ".join(f"word{i}" for i in range(50))
+    words = sorted({w for t in TEMPLATES for w in re.findall("[a-z0-9]+", t.text.lower())})
+    together = f"\n{filler}\n".join(t.text for t in TEMPLATES)
+    scattered = " ".join(f"{w} {filler}" for w in words)
+    rows = [(1, together, None, None, None)] + [(2 + i, f"{scattered}\n{t.text}\n{scattered}", None, None, None) for i, t in enumerate(TEMPLATES)]
+    rows += [(100 + i, filler, None, None, None) for i in range(30)]
+    got = check(spark, rows)
+    assert {t.label for t in TEMPLATES} <= set(got[1].labels.split(","))
+    for i, t in enumerate(TEMPLATES):
+        assert t.label in got[2 + i].labels.split(",") and got[2 + i].score > 0.9, t.label
+    short = "\n".join([TEMPLATES[0].text, filler, "Licensed under the Apache License, Version 2.0"])
+    assert "apache-2.0" in check(spark, [(1, short, None, None, None)])[1].labels.split(",")
