@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from demandspark.plans.registry import load_all  # noqa: E402
 from demandspark.session import build_session  # noqa: E402
-from tests.oracle import connect, differences  # noqa: E402
+from tests.oracle import connect, differences, rows_of  # noqa: E402
 
 
 def main() -> int:
@@ -24,7 +24,7 @@ def main() -> int:
             continue
         began = time.time()
         try:
-            got = q.run(spark, sf_dir).toPandas()
+            got = rows_of(q.run(spark, sf_dir))
             took = time.time() - began
             if q.sql is None:
                 print(f"rows  {name}: {len(got)} rows {took:.1f}s", flush=True)

@@ -7,6 +7,12 @@ import os
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
+
+#: Integers stay integers where a column holds nulls, or nothing else.
+NULLABLE = {
+    pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(),
+}
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -17,6 +23,15 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def rows_of(df) -> pd.DataFrame:
+    """The rows of a Spark DataFrame with the types of its schema, whatever the values are."""
+    table = df.toArrow()
+    zoned = {f.name: i for i, f in enumerate(table.schema) if pa.types.is_timestamp(f.type) and f.type.tz}
+    for name, i in zoned.items():
+        table = table.set_column(i, name, table.column(i).cast(pa.timestamp("us")))
+    return table.to_pandas(types_mapper=NULLABLE.get)
+
+
 def _kind(series: pd.Series) -> str:
     name = str(series.dtype)
     if name.startswith("datetime"):

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from demandspark.plans.registry import load_all
-from tests.oracle import connect, differences
+from tests.oracle import connect, differences, rows_of
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = load_all()
@@ -20,7 +20,7 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, duck, name):
-    got = QUERIES[name].run(spark, SF_DIR).toPandas()
+    got = rows_of(QUERIES[name].run(spark, SF_DIR))
     if QUERIES[name].sql is None:
         assert len(got) > 0
         return
