@@ -11,6 +11,7 @@ from demandspark.llm.lines import OP1_SQL, op1_line_dedup
 from demandspark.llm.mixing import OP4_SQL, op4_mixing
 from demandspark.llm.ngram_join import op7_ngram_join
 from demandspark.llm.quality import op10_quality
+from demandspark.llm.token_counts import op11_token_counts
 from demandspark.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
+    "op11_token_counts": op11_token_counts,
 }
 
 ORACLES = {

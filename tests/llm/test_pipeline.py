@@ -10,14 +10,14 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from demandspark.llm import queries as llm
 from tests.llm import test_lines, test_ngram_join, test_quality
-from tests.oracle import connect, differences
+from tests.oracle import connect, differences, rows_of
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("name", sorted(llm.QUERIES))
 def test_query(spark, name):
-    got = llm.QUERIES[name](spark, SF_DIR).toPandas()
+    got = rows_of(llm.QUERIES[name](spark, SF_DIR))
     assert len(got)
     if name in llm.ORACLES:
         assert differences(got, connect(SF_DIR).execute(llm.ORACLES[name]).df()) == []
