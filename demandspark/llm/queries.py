@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from demandspark.llm.ann import op9_ann
 from demandspark.llm.bpe import op3_bpe
+from demandspark.llm.chat_repair import OP12_SQL, op12_chat_repair
 from demandspark.llm.chats import OP5_SQL, op5_chat_format
 from demandspark.llm.langid import op8_language_id
 from demandspark.llm.licences import op2_license_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
     "op11_token_counts": op11_token_counts,
+    "op12_chat_repair": op12_chat_repair,
 }
 
 ORACLES = {
@@ -33,4 +35,5 @@ ORACLES = {
     "op4_mixing": OP4_SQL,
     "op5_chat_format": OP5_SQL,
     "op6_warc": OP6_SQL,
+    "op12_chat_repair": OP12_SQL,
 }
