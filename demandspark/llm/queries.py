@@ -6,6 +6,7 @@ from demandspark.llm.ann import op9_ann
 from demandspark.llm.bpe import op3_bpe
 from demandspark.llm.chat_repair import OP12_SQL, op12_chat_repair
 from demandspark.llm.chats import OP5_SQL, op5_chat_format
+from demandspark.llm.divergence import OP13_SQL, op13_divergence
 from demandspark.llm.langid import op8_language_id
 from demandspark.llm.licences import op2_license_scan
 from demandspark.llm.lines import OP1_SQL, op1_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_token_counts": op11_token_counts,
     "op12_chat_repair": op12_chat_repair,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES = {
@@ -36,4 +38,5 @@ ORACLES = {
     "op5_chat_format": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op12_chat_repair": OP12_SQL,
+    "op13_divergence": OP13_SQL,
 }
