@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Mapping, Sequence
+from itertools import zip_longest
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandspark.functions.coerce import clip0
+from demandspark.operators import boost
 from demandspark.operators.entities import to_entities
 from demandspark.operators.evaluate import check_split, chronological_split, naive_baseline, regression_metrics
 from demandspark.operators.labels import select_labels
@@ -74,7 +76,15 @@ def _fit(stages: list, train: DataFrame) -> PipelineModel:
     return Pipeline(stages=stages).fit(train)
 
 
-def fit_poisson(train: DataFrame, valid: DataFrame, params: Params) -> PipelineModel:
+def fit_poisson(train: DataFrame, valid: DataFrame, params: Params, **settings) -> PipelineModel:
+    """Trees boosted on the Poisson deviance until the validation rows stop improving; see :mod:`boost`."""
+    prepared = _fit(_assembly(usable_features(train, params.features)), train)
+    found = boost.fit(prepared.transform(train), prepared.transform(valid), **{"seed": params.seed, **settings})
+    link = SQLTransformer(statement=f"SELECT *, exp(margin + ({found.base!r})) AS raw FROM __THIS__")
+    return PipelineModel(stages=[*prepared.stages, found.model, link])
+
+
+def fit_linear(train: DataFrame, valid: DataFrame, params: Params) -> PipelineModel:
     """Generalised linear model with Poisson errors; the penalty is chosen by validation error."""
     features = usable_features(train, params.features)
     prepared = _fit(_assembly(features), train)
@@ -115,7 +125,7 @@ def fit_forest(train: DataFrame, valid: DataFrame, params: Params, trees: int =
 
 
 CANDIDATES: dict[str, Callable[[DataFrame, DataFrame, Params], PipelineModel]] = {
-    "poisson": fit_poisson, "boosted": fit_boosted, "forest": fit_forest,
+    "poisson": fit_poisson, "linear": fit_linear, "boosted": fit_boosted, "forest": fit_forest,
 }
 
 
@@ -159,8 +169,9 @@ def importance(model: PipelineModel, k: int = 15) -> DataFrame:
     """``(feature, importance)``, the k largest; indicator columns count towards their feature."""
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
     names = assembler.getInputCols()
-    weights = model.stages[-1].featureImportances.toArray()
-    rows = [(n.rsplit("__", 1)[0], float(w)) for n, w in zip(names, weights, strict=True)]
+    weights = next(s for s in reversed(model.stages) if hasattr(s, "featureImportances")).featureImportances.toArray()
+    # The vector may end with the last feature that a tree uses.
+    rows = [(n.rsplit("__", 1)[0], float(w)) for n, w in zip_longest(names, weights, fillvalue=0.0)]
     spark = SparkSession.getActiveSession()
     table = spark.createDataFrame(rows, "feature string, importance double")
     return table.groupBy("feature").agg(F.sum("importance").alias("importance")).orderBy(F.col("importance").desc(), "feature").limit(k)

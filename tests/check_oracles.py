@@ -31,7 +31,7 @@ def main() -> int:
                 continue
             want = con.execute(q.sql).df()
             problems = differences(got, want)
-            widths = [f"{c}: {got[c].dtype} / {want[c].dtype}" for c in sorted(got) if c in want and got[c].dtype.kind != "M" and got[c].dtype != want[c].dtype]
+            widths = [f"{c}: {got[c].dtype} / {want[c].dtype}" for c in sorted(got) if c in want and got[c].dtype.kind != "M" and str(got[c].dtype).lower() != str(want[c].dtype).lower()]
             if widths:
                 print(f"note  {name}: {widths}", flush=True)
         except Exception as e:  # noqa: BLE001
