@@ -13,6 +13,7 @@ from demandspark.plans.registry import query
 from demandspark.session import scratch
 from demandspark.sinks.tables import write_table
 from demandspark.streaming import intervals as si
+from demandspark.streaming import ordered as so
 from demandspark.streaming import rederive as sr
 from demandspark.streaming import snapshots as ss
 
@@ -206,6 +207,18 @@ def stream_interval_diff(spark: SparkSession, d: str) -> DataFrame:
     return tb.rounded(rows, 4, "interval_minutes")
 
 
+@query("STR-03", tb.with_(tb.SNAPSHOTS, _pairs_sql(1440)) + _INTERVAL_OUT)
+def stream_ordered_diff(spark: SparkSession, d: str) -> DataFrame:
+    """The same from ordered state per station: pairs may lie a day apart, and the stream equals the batch."""
+    path, out = _landed(spark, d, "ordered"), scratch(spark, "ordered-out")
+    stream = so.ordered_intervals(_stream(spark, path), P.but(late_snapshot_delay=STREAM.late_snapshot_delay))
+    with so.state_store(spark):
+        ss.require_complete(ss.run_available(stream, out, f"{out}-state"))
+    rows = spark.read.parquet(out)
+    rows = rows.withColumn("interval_end", utc_wall(rows, "interval_end"))
+    return tb.rounded(rows, 4, "interval_minutes")
+
+
 @query(
     "STR-04 STR-05",
     tb.with_(tb.SNAPSHOTS, _pairs_sql(60), _INFO, _hours_sql(1.0)) + "SELECT * FROM hourly_proxy",
@@ -214,12 +227,8 @@ def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
     """Hours leave the stream once, when the watermark has passed them."""
     path, out = _landed(spark, d, "hours"), scratch(spark, "hours-out")
     stream = si.stream_intervals(_stream(spark, path), STREAM)
-    started = (
-        stream.writeStream.foreachBatch(si.hourly_writer(out, STREAM)).option("checkpointLocation", f"{out}-state")
-        .trigger(availableNow=True).start()
-    )
-    started.awaitTermination()
-    ss.require_complete(started)
+    writer = stream.writeStream.foreachBatch(si.hourly_writer(out, STREAM)).option("checkpointLocation", f"{out}-state")
+    ss.require_complete(ss.run(writer.trigger(availableNow=True)))
     return si.finish_hourly(spark.read.parquet(out), _info(spark, d), STREAM)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from threading import Event
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from demandspark.params import Params
 from demandspark.functions.coerce import to_int
@@ -12,6 +15,7 @@ from demandspark.schemas import STATUS_FEED
 from demandspark.sources.feeds import parse_station_status
 
 COUNTERS = "ingest"
+DOCUMENTS = ("documents", "empty_documents", "entries", "rejected_entries")
 
 
 def snapshot_stream(spark: SparkSession, landing: str, max_files: int | None = None, one_per_file: bool = True) -> DataFrame:
@@ -49,36 +53,84 @@ def dedupe(stream: DataFrame, params: Params) -> DataFrame:
     return marked.dropDuplicatesWithinWatermark(["station_id", "snapshot_ts"])
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", sort: tuple[str, ...] = ()) -> StreamingQuery:
+class Tally:
+    """Sums over all micro-batches of a query. A batch that is reported again replaces its first report."""
+
+    def __init__(self):
+        self.batch, self.done, self.last = -1, Counter(), Counter()
+        self.ended = Event()
+
+    @property
+    def totals(self) -> Counter:
+        return self.done + self.last
+
+    def add(self, progress) -> None:
+        seen = progress.observedMetrics.get(COUNTERS)
+        found = Counter(
+            batches=1, rows=progress.numInputRows, dropped=sum(op.numRowsDroppedByWatermark for op in progress.stateOperators),
+            **{name: seen[name] or 0 for name in DOCUMENTS if seen is not None},
+        )
+        if progress.batchId > self.batch:
+            self.done.update(self.last)
+        self.batch, self.last = progress.batchId, found
+
+
+class Listener(StreamingQueryListener):
+    """Adds every progress report to the tally of its run, however many there are."""
+
+    def __init__(self):
+        self.tallies: defaultdict[str, Tally] = defaultdict(Tally)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.tallies[str(event.progress.runId)].add(event.progress)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.tallies[str(event.runId)].ended.set()
+
+
+def run(writer: DataStreamWriter, path: str | None = None, wait_seconds: float = 60.0) -> Tally:
+    """Start a query, wait for its end, return the sums over all its progress reports.
+
+    Reports arrive on a thread of their own, in order, so all are in once the query's end has been reported.
+    """
+    listener = Listener()
+    manager = SparkSession.getActiveSession().streams
+    manager.addListener(listener)
+    try:
+        query = writer.start(path) if path else writer.start()
+        query.awaitTermination()
+        tally = listener.tallies[str(query.runId)]
+        if not tally.ended.wait(wait_seconds):
+            raise RuntimeError("the end of the query was not reported, its counts may lack batches")
+    finally:
+        manager.removeListener(listener)
+    return tally
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> Tally:
     """Process everything that has landed, write parquet, stop. The file sink is exactly-once."""
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start(path)
-    )
-    query.awaitTermination()
-    return query
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+    return run(writer.trigger(availableNow=True), path)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark had passed them and were dropped, over the recorded progress."""
-    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
+def late_rows(tally: Tally) -> int:
+    """Rows that came after the watermark had passed them and were dropped, over all micro-batches."""
+    return tally.totals["dropped"]
 
 
-def require_complete(query: StreamingQuery) -> StreamingQuery:
-    """The query, if it dropped no late row; results that lack rows are an error where they must equal a batch."""
-    if dropped := late_rows(query):
+def require_complete(tally: Tally) -> Tally:
+    """The tally, if no late row was dropped; results that lack rows are an error where they must equal a batch."""
+    if dropped := late_rows(tally):
         raise RuntimeError(f"{dropped} rows came after the watermark; allow a longer late_snapshot_delay")
-    return query
-
-
-def counters(query: StreamingQuery) -> dict[str, int]:
-    """Totals over the recorded progress: micro-batches, input rows and the observed document counts."""
-    totals = {"batches": 0, "rows": 0, "documents": 0, "empty_documents": 0, "entries": 0, "rejected_entries": 0}
-    for progress in query.recentProgress:
-        totals["batches"] += 1
-        totals["rows"] += progress["numInputRows"]
-        seen = progress["observedMetrics"].get(COUNTERS) if "observedMetrics" in progress else None
-        if seen is not None:
-            for name in ("documents", "empty_documents", "entries", "rejected_entries"):
-                totals[name] += seen[name] or 0
-    return totals
+    return tally
+
+
+def counters(tally: Tally) -> dict[str, int]:
+    """Totals over all micro-batches: batches, input rows and the observed document counts."""
+    return {name: tally.totals[name] for name in ("batches", "rows", *DOCUMENTS)}
