@@ -32,6 +32,11 @@ def hourly_counts(trips: DataFrame) -> DataFrame:
     )
 
 
+def hourly_parts(trips: DataFrame) -> DataFrame:
+    """The same per source file: partial counts that add up to :func:`hourly_counts`, whatever files share an hour."""
+    return trips.groupBy("file", "station_short_name", floor_hour("start_time").alias("hour_ts")).agg(F.count("*").alias("departures"))
+
+
 def merge_hourly(parts: Sequence[DataFrame]) -> DataFrame:
     """Union of partial hourly counts, summed again because parts may split an hour."""
     union = reduce(DataFrame.unionByName, [p.select(*HOURLY) for p in parts])
@@ -54,14 +59,25 @@ def resolve_labels(hourly: DataFrame) -> DataFrame:
     return first_per_key(hourly, ["station_short_name", "hour_ts"], [rank, "label_source"])
 
 
-def select_labels(true: DataFrame, proxy: DataFrame, source: str) -> DataFrame:
-    """Labels for training: ``offline`` (true), ``live`` (proxy) or ``blend`` (both, truth first)."""
+def recent_labels(proxy: DataFrame, days: int) -> DataFrame:
+    """The rows of the last ``days`` up to the newest hour; all of them where ``days`` is 0."""
+    if days <= 0:
+        return proxy
+    first = proxy.agg(F.timestamp_add("DAY", F.lit(-days), F.max("hour_ts"))).scalar()
+    return proxy.where(F.col("hour_ts") >= first)
+
+
+def select_labels(true: DataFrame, proxy: DataFrame, source: str, window_days: int = 0) -> DataFrame:
+    """Labels for training: ``offline`` (true), ``live`` (proxy) or ``blend`` (both, truth first).
+
+    ``window_days`` limits the proxy to its last days; true labels are used in full.
+    """
     if source not in SOURCES:
         raise ValueError(f"unknown label source {source!r}; expected one of {SOURCES}")
     tagged_true = with_label(true.select(*HOURLY), TRUE_LABEL)
-    tagged_proxy = with_label(proxy.select(*HOURLY), PROXY_LABEL)
     if source == "offline":
         return tagged_true
+    tagged_proxy = with_label(recent_labels(proxy.select(*HOURLY), window_days), PROXY_LABEL)
     if source == "live":
         return tagged_proxy
     return resolve_labels(tagged_true.unionByName(tagged_proxy))

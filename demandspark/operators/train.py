@@ -39,7 +39,8 @@ def training_set_with_fallback(
     weather: DataFrame | None, params: Params,
 ) -> tuple[DataFrame, bool]:
     """``(training set, fell_back)``: an unusable label source is replaced by true labels, visibly."""
-    data = training_set(select_labels(true, proxy, source), station_entity, entities, weather, params)
+    labels = select_labels(true, proxy, source, params.retrain_window_days)
+    data = training_set(labels, station_entity, entities, weather, params)
     try:
         check_split(data, params)
         return data, False

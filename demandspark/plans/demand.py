@@ -83,20 +83,44 @@ def trip_csv_rejects(spark: SparkSession, d: str) -> DataFrame:
     return labels.clean_trips(found).agg(F.count("*").alias("n_trips"), F.count_distinct("station_short_name").alias("n_stations"))
 
 
+_SHIFTED = "shifted AS (SELECT station_short_name, hour_ts + INTERVAL 15 DAY AS hour_ts, departures FROM hourly)"
+
+
 @query(
     "SRC-02 SRC-03 AGG-05 JOIN-05",
-    tb.with_(tb.HOURLY)
-    + """, kept AS (SELECT h.* FROM hourly h JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = h.station_short_name
-                   WHERE c.c_mktsegment <> 'BUILDING' AND strftime(hour_ts, '%Y%m') = '202401'),
+    tb.with_(tb.HOURLY, _SHIFTED)
+    + """, kept AS (SELECT h.* FROM shifted h JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = h.station_short_name
+                   WHERE c.c_mktsegment <> 'BUILDING'),
 busy AS (SELECT station_short_name FROM kept GROUP BY 1 HAVING sum(departures) >= 50)
 SELECT k.* FROM kept k JOIN busy USING (station_short_name)""",
 )
 def months_from_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly counts written to the monthly table and read back with month pruning."""
+    """Hourly counts that span months, written to the monthly table; every cached month is read back."""
     path = scratch(spark, "months")
-    tables.cache_month(tb.hourly(spark, d), path)
+    moved = tb.hourly(spark, d).withColumn("hour_ts", F.timestamp_add("DAY", F.lit(15), "hour_ts"))
+    tables.cache_month(moved, path)
+    stored = tables.cached_month(spark, path)
+    months = [r.month for r in stored.select("month").distinct().collect()]  # partition values
     live = tb.stations(spark, d).where("entity_id <> 'BUILDING'")
-    return tables.load_hourly(tables.cached_month(spark, path), ["202401"], live, tb.PARAMS)
+    return tables.load_hourly(stored, months, live, tb.PARAMS)
+
+
+@query("AGG-02 SET-04 SRC-02", tb.with_(tb.HOURLY) + "SELECT * FROM hourly")
+def parts_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """Partial counts stored per file: one file comes first with errors, another twice; the sum is that of all events."""
+    path = scratch(spark, "parts")
+    rows = tb.load(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("station_short_name"), F.col("ts").alias("start_time"), F.col("event_type").alias("file")
+    )
+
+    def store(files: DataFrame) -> None:
+        tables.store_parts(labels.hourly_parts(files), path)
+
+    wrong = rows.where("file = 'click'").withColumn("start_time", F.timestamp_add("DAY", F.lit(-60), "start_time"))
+    store(wrong.unionByName(rows.where("file = 'view'")))
+    store(rows.where("file <> 'view'"))
+    store(rows.where("file = 'view'"))
+    return labels.merge_hourly([tables.stored_parts(spark, path)])
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -97,13 +96,17 @@ def upsert_table(
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = spark.createDataFrame([], batch.schema)
-    # One row per touched partition: its values become literals, so that the scan prunes by them.
-    touched = reduce(
-        lambda a, b: a | b,
-        [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in partition]) for r in hit.toLocalIterator()],
-        F.lit(False),
-    )
-    merged = materialise(upsert(stored.where(touched), batch, keys, update, order), "merged")
+    # Values per column become one flat list each, so that the scan prunes by them; pairs of values that the batch does
+    # not hold together are left out by the join.
+    for c in partition:
+        values = [r[0] for r in hit.select(c).distinct().toLocalIterator()]
+        listed = F.col(c).isin([v for v in values if v is not None])
+        stored = stored.where(listed | F.col(c).isNull() if None in values else listed)
+    if len(partition) > 1:
+        names = {c: f"_hit_{c}" for c in partition}
+        pairs = hit.withColumnsRenamed(names)
+        stored = stored.join(pairs, [stored[c].eqNullSafe(pairs[n]) for c, n in names.items()], "left_semi")
+    merged = materialise(upsert(stored, batch, keys, update, order), "merged")
     write_table(merged, path, partition, [k for k in keys if k not in partition])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -12,6 +13,7 @@ from demandspark.functions.times import minutes_between
 from demandspark.operators.labels import HOURLY, resolve_labels
 from demandspark.operators.monitor import local_now
 from demandspark.params import Params
+from demandspark.session import materialise
 from demandspark.schemas import TABLES
 
 
@@ -110,18 +112,60 @@ def payload_entries(df: DataFrame) -> DataFrame:
 def load_hourly(monthly: DataFrame, months: Sequence[str], live: DataFrame | None, params: Params) -> DataFrame:
     """Hourly counts of some months: pruned read, regroup, live stations only, busy stations only.
 
-    ``monthly`` is the monthly table with a ``month`` column (``yyyyMM``).
+    ``monthly`` is the monthly table with a ``month`` column (``yyyyMM``). A month that it lacks is warned of and left
+    out, as training can do without it; a ``ValueError`` is raised when none of them is there.
     """
     from demandspark.operators.keys import restrict
     from demandspark.operators.labels import merge_hourly, min_volume
 
     part = monthly.where(F.col("month").isin(*months))
+    # Partition values, at most one row per wanted month.
+    present = {r.month for r in part.select("month").distinct().collect()}
+    if missing := sorted(set(months) - present):
+        if not present:
+            raise ValueError(f"none of the months {missing} could be loaded")
+        warnings.warn(f"months {missing} are not in the table and are left out", stacklevel=2)
     hourly = merge_hourly([part])
     if live is not None:
         hourly = restrict(hourly, live.select(F.col("short_name").alias("station_short_name")), "station_short_name")
     return min_volume(hourly, params.min_departures_per_station)
 
 
+PART = "station_short_name string, hour_ts timestamp_ntz, departures bigint, part string, month string"
+
+
+def store_parts(counts: DataFrame, path: str) -> None:
+    """Store partial hourly counts by the ``file`` they come from; a file that is loaded again replaces its own part.
+
+    Sums over all parts are the hourly counts, so a corrected or late file needs no other file to be read. All months of
+    its former part go, also those that it no longer touches. Each part's old rows are removed before the new ones are
+    written, so that a load that was interrupted is put right by running it again.
+    """
+    from demandspark.sinks.tables import drop_partitions
+
+    spark = counts.sparkSession
+    tagged = materialise(
+        counts.select(
+            "station_short_name", "hour_ts", F.col("departures").cast("bigint").alias("departures"),
+            F.md5("file").alias("part"), F.date_format("hour_ts", "yyyyMM").alias("month"),
+        ), "parts",
+    )
+    drop_partitions(spark, path, "part", tagged.select("part"))
+    tagged.repartition("part", "month").write.mode("append").partitionBy("part", "month").parquet(path)
+
+
+def drop_part(spark: SparkSession, path: str, file: str) -> None:
+    """Remove what a file contributed."""
+    from demandspark.sinks.tables import drop_partitions
+
+    drop_partitions(spark, path, "part", spark.range(1).select(F.md5(F.lit(file)).alias("part")))
+
+
+def stored_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The partial counts of all files, with ``month``: what :func:`load_hourly` sums."""
+    return spark.read.schema(PART).parquet(path)
+
+
 def cache_month(hourly: DataFrame, path: str) -> None:
     """Store hourly counts by month; only the months present in the input are replaced."""
     from demandspark.sinks.tables import write_table

@@ -6,6 +6,8 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,19 +47,73 @@ def list_files(spark: SparkSession, paths: Sequence[str], pattern: str = "*.csv*
     return listing.load(list(paths)).select("path", F.col("_metadata.file_path").alias("file"))
 
 
-def headers(spark: SparkSession, paths: Sequence[str], pattern: str = "*.csv*") -> dict[tuple[str, ...], list[str]]:
-    """Files by their first line, in one job for any number of files; empty files have none and are left out.
+#: Bytes of a file that are read at a time while its first line has not ended.
+HEADER_BLOCK = 1 << 13
 
-    Only the block that begins a file can hold its first line, and of each file one row is left in every task. What
-    comes to the driver is the file names, which a scan of them keeps there anyway.
-    """
+
+def _opener(path: str):
+    """``(file system, path on it)`` for a path as Spark lists it; raises where pyarrow does not know the scheme."""
+    local = re.fullmatch(r"(?:file:(?://)?)?(/.*)", path)
+    return (pafs.LocalFileSystem(), local[1]) if local else pafs.FileSystem.from_uri(path)
+
+
+def first_line(path: str) -> bytes:
+    """The first line of a file without its end, unpacked if its name says that it is packed; blocks are read until the
+    line ends, whatever the size of the file."""
+    files, place = _opener(path)
+    held = b""
+    with files.open_input_stream(place, compression="detect", buffer_size=HEADER_BLOCK) as stream:
+        while not (end := re.search(rb"[\r\n]", held)):
+            block = stream.read(HEADER_BLOCK)
+            if not block:
+                return held
+            held += block
+    return held[: end.start()]
+
+
+def _readable(paths: DataFrame) -> bool:
+    """Whether pyarrow opens the schemes of all paths (at most a few)."""
+    schemes = paths.select(F.regexp_extract("path", r"^([A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)", 1).alias("scheme")).distinct()
+    try:
+        for row in schemes.collect():
+            _opener(f"{row.scheme}/")
+    except (pa.ArrowInvalid, OSError):
+        return False
+    return True
+
+
+def _headers_by_block(found: DataFrame) -> DataFrame:
+    """``(path, header)`` from the first block of each file, dealt over all tasks by path."""
+
+    def run(batches):
+        for batch in batches:
+            paths = batch.column(0)
+            lines = [first_line(p).decode("utf-8", "replace") for p in paths.to_pylist()]
+            yield pa.RecordBatch.from_arrays([paths, pa.array(lines, pa.string())], ["path", "header"])
+
+    return found.select("path").repartition("path").mapInArrow(run, "path string, header string")
+
+
+def _headers_by_scan(spark: SparkSession, paths: Sequence[str], pattern: str, found: DataFrame) -> DataFrame:
+    """The same for stores that only Spark's readers open, by a scan of all lines of which one per file is left in every
+    task."""
     text = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(list(paths))
     lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     # Ids rise in the order of the lines within a task.
     opening = lines.where("start = 0").withColumn("nth", F.monotonically_increasing_id())
     first = opening.groupBy("file").agg(F.min_by("value", "nth").alias("header"))
-    found = list_files(spark, paths, pattern).join(first, "file", "left")
-    by_header = found.groupBy(F.coalesce("header", F.lit("")).alias("header")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return found.join(first, "file", "left").select("path", "header")
+
+
+def headers(spark: SparkSession, paths: Sequence[str], pattern: str = "*.csv*") -> dict[tuple[str, ...], list[str]]:
+    """Files by their first line; files without one are listed under an empty header.
+
+    Of each file only its first block is read, by the executors. What comes to the driver is the file names, which a
+    scan of them keeps there anyway.
+    """
+    found = list_files(spark, paths, pattern)
+    lines = _headers_by_block(found) if _readable(found) else _headers_by_scan(spark, paths, pattern, found)
+    by_header = lines.groupBy(F.coalesce("header", F.lit("")).alias("header")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
     groups: dict[tuple[str, ...], list[str]] = {}
     for row in by_header.orderBy("header").toLocalIterator():
         names = re.split(_COMMA_OUTSIDE_QUOTES, row.header.lstrip("\ufeff"))

@@ -1,3 +1,4 @@
+import gzip
 from datetime import datetime
 
 import pytest
@@ -5,8 +6,9 @@ from pyspark.sql import functions as F
 
 from demandspark.functions.coerce import clip0, safe_ratio, to_celsius, to_flag, to_int, wind_kmh
 from demandspark.operators import labels as lb
+from demandspark.params import Params
 from demandspark.schemas import INFO_FEED, STATUS_FEED
-from demandspark.sources import feeds, trips
+from demandspark.sources import feeds, tables, trips
 from demandspark.sources import weather as wx
 
 
@@ -115,3 +117,107 @@ def test_labels(spark):
     assert lb.select_labels(true, proxy, "offline").count() == 1 and lb.select_labels(true, proxy, "live").count() == 2
     with pytest.raises(ValueError):
         lb.select_labels(true, proxy, "other")
+
+
+class Counted:
+    """A local file system whose streams note how many bytes were read."""
+
+    def __init__(self):
+        self.seen = []
+
+    def open_input_stream(self, place, **options):
+        self.stream = trips.pafs.LocalFileSystem().open_input_stream(place, **options)
+        return self
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.stream.close()
+
+    def read(self, n):
+        self.seen.append(n)
+        return self.stream.read(n)
+
+
+def test_headers_read_one_block_whatever_the_size(tmp_path, monkeypatch):
+    """Bytes read for a header do not depend on the size of the file."""
+    for rows in (10, 200_000):
+        path = tmp_path / f"{rows}.csv"
+        path.write_text("started_at,start_station_id\n" + "2026-06-01 08:00:00,x\n" * rows)
+        files = Counted()
+        monkeypatch.setattr(trips, "_opener", lambda p, files=files: (files, p))
+        assert trips.first_line(str(path)) == b"started_at,start_station_id"
+        assert sum(files.seen) == trips.HEADER_BLOCK
+
+
+def test_headers_of_awkward_files(spark, tmp_path):
+    wide = ",".join(f"column_{i}" for i in range(5000))
+    (tmp_path / "wide.csv").write_text(wide + "\nx\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "bare.csv").write_text("started_at,start_station_id")
+    (tmp_path / "old mac #1.csv").write_text("starttime,start station id\r\n2026-06-01 08:00:00,x\r\n")
+    with gzip.open(tmp_path / "packed.csv.gz", "wt") as f:
+        f.write("starttime,start station id\n" + "2026-06-01 08:00:00,x\n" * 1000)
+    found = trips.list_files(spark, [str(tmp_path)])
+    assert trips._readable(found)
+    by_block = trips.headers(spark, [str(tmp_path)])
+    names = {k[0]: sorted(p.rsplit("/", 1)[1] for p in v) for k, v in by_block.items()}
+    assert names == {"column_0": ["wide.csv"], "": ["empty.csv"], "started_at": ["bare.csv"], "starttime": ["old mac #1.csv", "packed.csv.gz"]}
+    by_scan = {r.path: r.header for r in trips._headers_by_scan(spark, [str(tmp_path)], "*.csv*", found).collect()}
+    assert {r.path: r.header for r in trips._headers_by_block(found).collect()} == {p: h or "" for p, h in by_scan.items()}
+    rows, _ = trips.read_trips(spark, [str(tmp_path)])
+    assert rows.where("station_raw = 'x'").count() == 1001
+
+
+def test_unknown_store_is_scanned(spark):
+    paths = spark.createDataFrame([("nosuch://host/a.csv",)], "path string")
+    assert not trips._readable(paths)
+
+
+HOURLY = "station_short_name string, hour_ts timestamp_ntz, departures bigint"
+
+
+def test_months_that_are_missing(spark, tmp_path):
+    rows = [("a", datetime(2026, m, 1, 8), 60) for m in (1, 2, 3)]
+    tables.cache_month(spark.createDataFrame(rows, HOURLY), str(tmp_path / "m"))
+    stored = tables.cached_month(spark, str(tmp_path / "m"))
+    two = tables.load_hourly(stored, ["202601", "202603"], None, Params())
+    assert {r.hour_ts.month for r in two.collect()} == {1, 3}
+    with pytest.warns(UserWarning, match="202604"):
+        assert tables.load_hourly(stored, ["202602", "202604"], None, Params()).count() == 1
+    with pytest.raises(ValueError, match="202505"):
+        tables.load_hourly(stored, ["202505", "202504"], None, Params())
+
+
+def test_a_file_replaces_its_own_part_only(spark, tmp_path):
+    path = str(tmp_path / "parts")
+
+    def counts(file, *rows):
+        return spark.createDataFrame([(file, s, h, n) for s, h, n in rows], f"file string, {HOURLY}")
+
+    eight, march = datetime(2026, 2, 1, 8), datetime(2026, 3, 1, 8)
+    tables.store_parts(counts("x", ("a", eight, 5), ("a", march, 7)).unionByName(counts("y", ("a", eight, 1))), path)
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "parts").rglob("*.parquet")}
+
+    def total():
+        return {(r.station_short_name, r.hour_ts): r.departures for r in lb.merge_hourly([tables.stored_parts(spark, path)]).collect()}
+
+    before = files()
+    assert total() == {("a", eight): 6, ("a", march): 7}
+    tables.store_parts(counts("x", ("a", eight, 2)), path)  # corrected: the march hour was wrong
+    assert total() == {("a", eight): 3}
+    assert len([p for p, t in files().items() if before.get(p) == t]) == 1
+    tables.drop_part(spark, path, "y")
+    assert total() == {("a", eight): 2}
+
+
+def test_label_window(spark):
+    true = spark.createDataFrame([("a", datetime(2026, 1, 1), 9)], HOURLY)
+    proxy = spark.createDataFrame([("a", datetime(2026, 1, 1), 1), ("a", datetime(2026, 3, 1), 2), ("a", datetime(2026, 3, 31), 3)], HOURLY)
+    found = {(r.hour_ts.month, r.hour_ts.day): r.departures for r in lb.select_labels(true, proxy, "blend", 60).collect()}
+    assert found == {(1, 1): 9, (3, 1): 2, (3, 31): 3}
+    assert {r.departures for r in lb.select_labels(true, proxy, "live", 10).collect()} == {3}
+    assert lb.select_labels(true, proxy, "live").count() == 3
