@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from demandspark.functions.ordered import add_rank, long_values, quantiles_of_counts, running_totals, value_counts
 from demandspark.functions.times import hours_before
 from demandspark.params import Params
+from demandspark.session import materialise
 
 NON_FEATURES = {"entity_id", "hour_ts", "departures", "target_hour_ts"}
 NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
@@ -43,44 +44,94 @@ def side_weights() -> dict[str, Column]:
     return {"n_ref": F.col("_r"), "n_cur": F.col("_c")}
 
 
-def psi_from_counts(counts: DataFrame, features: Sequence[str], bins: int, n_buckets: int) -> DataFrame:
-    """``(feature, psi)`` from rows or counted values ``(feature, value, n_ref, n_cur)``.
+#: Stands for the rows themselves among the counted features.
+ROWS = "*rows*"
 
-    Bins are counted where the rows are; only the values near the wanted quantiles of the reference are shuffled.
-    Edges are the distinct reference quantiles with open ends; bins are closed on the left. Shares
-    are smoothed by half a row, over the number of edges. Fewer than two rows on a side or fewer
-    than three edges give 0.
-    """
-    spark = counts.sparkSession
-    quantiles = quantiles_of_counts(counts, "n_ref", [i / bins for i in range(bins + 1)], n_buckets=n_buckets)
-    edges = quantiles.select("feature", F.array_distinct("quantiles").alias("edges"))
+
+def _binned(rows: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(feature, bin, by..., n)`` of ``(feature, value, n_rows, by...)``, counted where the rows are."""
     # One short array per feature: bounded by the schema.
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    edges = edges.select("feature", F.size("edges").alias("n_edges"), inner.alias("_inner"))
-    binned = add_rank(counts.join(F.broadcast(edges), "feature"), "bin", "value", "_inner", bins, inclusive=True)
-    cells = binned.groupBy("feature", "n_edges", "bin").agg(
-        F.sum("n_ref").alias("r"), F.sum("n_cur").alias("c")
-    )
-    # At most `bins` cells per feature are gathered; a bin without rows still has its smoothed share.
-    gathered = cells.groupBy("feature", "n_edges").agg(
-        F.collect_list(F.struct("r", "c")).alias("cells"), F.sum("r").alias("all_n_ref"), F.sum("c").alias("all_n_cur")
-    )
+    cuts = edges.select("feature", inner.alias("_inner"), F.size("edges").alias("_size"))
+    longest = edges.agg(F.max(F.size("edges"))).first()[0] or 0
+    placed = add_rank(rows.join(F.broadcast(cuts), "feature"), "bin", "value", "_inner", max(longest, 1), inclusive=True)
+    return placed.groupBy("feature", "bin", *by).agg(F.sum("n_rows").alias("n"))
+
+
+def profile(ref: DataFrame, features: Sequence[str], bins: int = 10, n_buckets: int = 256) -> DataFrame:
+    """``(feature, edges, counts)`` of reference rows: their distinct exact quantiles and the rows in each bin.
+
+    The first and last edge are open; bins are closed on the left. A feature without known values has no edges. One row
+    counts all rows under the name :data:`ROWS`. This is all that drift measures need of the reference, so it is stored
+    when a model goes live and read by every later cycle in place of the training rows. The result is written to the
+    shared folder.
+    """
+    rows = long_values(ref.withColumn(ROWS, F.lit(0.0)), [*features, ROWS], {"n_rows": F.lit(1)})
+    quantiles = quantiles_of_counts(rows.where(F.col("feature") != ROWS), "n_rows", [i / bins for i in range(bins + 1)], n_buckets=n_buckets)
+    edges = quantiles.select("feature", F.array_distinct("quantiles").alias("edges"))
+    names = ref.sparkSession.createDataFrame([(f,) for f in [*features, ROWS]], "feature string")
+    none = F.array().cast("array<double>")
+    edges = materialise(names.join(edges, "feature", "left").select("feature", F.coalesce("edges", none).alias("edges")), "edges")
+    # At most `bins` cells per feature are gathered.
+    cells = _binned(rows, edges).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("cells"))
+    last = F.greatest(F.size("edges") - 2, F.lit(0))
+    counts = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.col("cells")[i], F.lit(0)))
+    return materialise(edges.join(cells, "feature", "left").select("feature", "edges", counts.alias("counts")), "profile")
+
 
-    def term(r: Column, c: Column) -> Column:
-        ref_share = (r + 0.5) / (F.col("all_n_ref") + F.col("n_edges") * 0.5)
-        cur_share = (c + 0.5) / (F.col("all_n_cur") + F.col("n_edges") * 0.5)
+def served_counts(rows: DataFrame, reference: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(feature, bin, by..., n)`` of served rows in the bins of a stored profile, in one scan.
+
+    Counts are additive: those of one day can be stored and summed over any window later.
+    """
+    weights = {"n_rows": F.lit(1), **{c: F.col(c) for c in by}}
+    long = long_values(rows.withColumn(ROWS, F.lit(0.0)), [*features, ROWS], weights)
+    return _binned(long, reference.select("feature", "edges"), by)
+
+
+def psi_of_counts(reference: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(feature, psi)`` of a profile and counts in its bins.
+
+    Shares are smoothed by half a row, over the number of edges. Fewer than two rows on a side or fewer than three edges
+    give 0.
+    """
+    cells = counts.groupBy("feature", "bin").agg(F.sum("n").alias("n")).groupBy("feature").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("served")
+    )
+    both = reference.where(F.col("feature") != ROWS).join(cells, "feature", "left")
+    served = F.transform("counts", lambda _, i: F.coalesce(F.col("served")[i], F.lit(0)))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    both = both.withColumn("served", served).withColumns({"n_edges": F.size("edges"), "n_ref": total("counts")})
+    both = both.withColumn("n_cur", total("served"))
+
+    def term(x: Column) -> Column:
+        ref_share = (x["counts"] + 0.5) / (F.col("n_ref") + F.col("n_edges") * 0.5)
+        cur_share = (x["served"] + 0.5) / (F.col("n_cur") + F.col("n_edges") * 0.5)
         return (cur_share - ref_share) * F.log(cur_share / ref_share)
 
-    filled = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + term(x["r"], x["c"]))
-    empty = (F.col("n_edges") - 1 - F.size("cells")) * term(F.lit(0), F.lit(0))
-    enough = (F.col("all_n_ref") >= 2) & (F.col("all_n_cur") >= 2) & (F.col("n_edges") >= 3)
-    scored = gathered.select("feature", F.when(enough, filled + empty).alias("psi"))
-    names = spark.createDataFrame([(f,) for f in features], "feature string")
-    return names.join(scored, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+    summed = F.aggregate(F.arrays_zip("counts", "served"), F.lit(0.0), lambda acc, x: acc + term(x))
+    enough = (F.col("n_ref") >= 2) & (F.col("n_cur") >= 2) & (F.col("n_edges") >= 3)
+    return both.select("feature", F.when(enough, summed).otherwise(0.0).alias("psi"))
 
 
 def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10, n_buckets: int = 256) -> DataFrame:
-    return psi_from_counts(long_values(both_sides(ref, cur, features), features, side_weights()), features, bins, n_buckets)
+    """``(feature, psi)`` of two frames; the current rows are scanned once."""
+    reference = profile(ref, features, bins, n_buckets)
+    return psi_of_counts(reference, served_counts(cur, reference, features))
+
+
+def profile_drift(reference: DataFrame, served: DataFrame, params: Params) -> DataFrame:
+    """One row as of :func:`summarise_drift`, from a stored profile and the served rows: no reference row is read, and
+    the served ones are read once."""
+    # The names in the profile, bounded by the schema.
+    known = [r.feature for r in reference.select("feature").collect() if r.feature != ROWS]
+    features = [f for f in known if f in served.columns and f not in set(params.drift_exclude_features)]
+    counts = materialise(served_counts(served, reference, features), "served")
+    scored = psi_of_counts(reference.where(F.col("feature").isin(features)), counts)
+    report = scored.withColumn("drifted", F.col("psi") > params.psi_threshold)
+    n_ref = reference.where(F.col("feature") == ROWS).agg(F.coalesce(F.sum(F.col("counts")[0]), F.lit(0))).scalar()
+    n_cur = counts.where(F.col("feature") == ROWS).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return _summary(report, n_ref, n_cur, params)
 
 
 def kolmogorov_p(distance: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -151,8 +202,11 @@ def summarise_drift(report: DataFrame, ref: DataFrame, cur: DataFrame, params: P
     ``report`` is ``(feature, drifted)`` and a size of the drift, ``psi`` from :func:`drift_report` or ``value`` from
     :func:`test_verdicts`; drifted features are named by falling size.
     """
+    return _summary(report, ref.agg(F.count("*")).scalar(), cur.agg(F.count("*")).scalar(), params)
+
+
+def _summary(report: DataFrame, n_ref: Column, n_cur: Column, params: Params) -> DataFrame:
     size = F.col("psi") if "psi" in report.columns else F.col("value")
-    n_ref, n_cur = ref.agg(F.count("*")).scalar(), cur.agg(F.count("*")).scalar()
     row = report.agg(
         F.count("*").alias("n_all"),
         F.count_if("drifted").alias("n_drift"),

@@ -42,11 +42,16 @@ _LAGGED = f"lagged AS (SELECT entity_id, hour_ts, departures, {tb.lags_sql()} FR
 _JUDGED = (*_MATCHED, _CANDS, _RECENT)
 
 
-def _live_model(spark: SparkSession, d: str) -> DataFrame:
+def _panel(spark: SparkSession, d: str) -> DataFrame:
+    """The feature rows that were served, written once."""
+    return materialise(ft.lagged_panel(spark, d), "panel")
+
+
+def _live_model(spark: SparkSession, lagged: DataFrame) -> DataFrame:
     """The registry after the first promotion: the best naive forecast, with the window it was judged to train on."""
-    lagged = ft.lagged_panel(spark, d)
-    split = ev.chronological_split(pn.known_target(pn.drop_warmup(lagged, P)), P)
-    cands = _candidates(spark, d).withColumns(
+    hours = lagged.where("departures is not null").select("hour_ts")
+    split = ev.chronological_split(pn.known_target(pn.drop_warmup(lagged, P, lagged.select("hour_ts"))), P, hours)
+    cands = _scored(lagged).withColumns(
         {"path": F.concat(F.lit("models/"), "name"), "kind": F.col("name"), "score_in_process": F.col("mae"), "label_provenance": F.lit("trip_csv")}
     )
     registry = spark.createDataFrame([], TABLES["model_registry"])
@@ -76,7 +81,7 @@ def rolling_accuracy(spark: SparkSession, d: str) -> DataFrame:
 )
 def breach_verdict(spark: SparkSession, d: str) -> DataFrame:
     """The recorded error of the live model is the measure of the rolling one."""
-    out = _accuracy(spark, d, _live_model(spark, d))
+    out = _accuracy(spark, d, _live_model(spark, _panel(spark, d)))
     return tb.rounded(out, 6, "rolling_mae", "holdout_mae").select("n_samples", "rolling_mae", "holdout_mae", "breached", "breach_reason")
 
 
@@ -257,8 +262,9 @@ _DP = P.but(drift_share_threshold=0.15)
 
 
 def _drift(spark: SparkSession, d: str) -> DataFrame:
+    """The early rows' profile, as it is stored when a model goes live, against the late rows."""
     ref, cur = _halves(spark, d)
-    return dr.summarise_drift(dr.drift_report(ref, cur, _DP), ref, cur, _DP)
+    return dr.profile_drift(dr.profile(ref, list(_FEATURES), _DP.psi_bins, _DP.rank_buckets), cur, _DP)
 
 
 @query(
@@ -285,13 +291,17 @@ def drift_report(spark: SparkSession, d: str) -> DataFrame:
     + "), " + _PSI + "SELECT feature, round(psi, 6) AS psi, psi > 0.25 AS drifted FROM psi",
 )
 def feature_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Features of the live model's training window, as its registry row has it, against those of the last days."""
-    lagged = ft.lagged_panel(spark, d)
-    champion = _live_model(spark, d)
+    """At promotion the live model's training window is stored as a profile; monitoring compares the features of the
+    last days with it, from counts per day, and reads no training row."""
+    lagged = _panel(spark, d)
+    champion = _live_model(spark, lagged)
     start, end = (champion.select(f"champion.train_{side}").scalar() for side in ("start", "end"))
-    ref = lagged.where((F.col("hour_ts") >= start) & (F.col("hour_ts") <= end))
-    cur = dr.current_features(lagged, mo.local_now(tb.NOW, P), 72)
-    return tb.rounded(dr.drift_report(ref, cur, P), 6, "psi")
+    trained = lagged.where((F.col("hour_ts") >= start) & (F.col("hour_ts") <= end))
+    reference = dr.profile(trained, P.lag_features, P.psi_bins, P.rank_buckets)
+    served = dr.current_features(lagged, mo.local_now(tb.NOW, P), 72).withColumn("day", F.to_date("hour_ts"))
+    per_day = dr.served_counts(served, reference, P.lag_features, ["day"])
+    scored = dr.psi_of_counts(reference, per_day).withColumn("drifted", F.col("psi") > P.psi_threshold)
+    return tb.rounded(scored, 6, "psi")
 
 
 @query(
@@ -308,7 +318,7 @@ FROM txt""",
 )
 def retrain_decision(spark: SparkSession, d: str) -> DataFrame:
     """The decision as it is read back from the monitoring log that it was appended to."""
-    live = _live_model(spark, d)
+    live = _live_model(spark, _panel(spark, d))
     model = (live.select("champion.model_name").scalar(), live.select("champion.version").scalar())
     out = mo.retrain_decision(_accuracy(spark, d, live), _drift(spark, d), mo.cooldown_left(_history(spark, d), tb.NOW, P), _DP, tb.NOW, model)
     path = scratch(spark, "metrics")
@@ -321,14 +331,17 @@ def retrain_decision(spark: SparkSession, d: str) -> DataFrame:
 _PANELS = (tb.HOURLY, tb.SMAP, tb.ENTITY_HOURS, tb.dense("entity_hours"), _LAGGED)
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    lagged = ft.lagged_panel(spark, d)
+def _scored(lagged: DataFrame) -> DataFrame:
     newest = lagged.agg(F.timestamp_add("HOUR", F.lit(-336), F.max("hour_ts"))).scalar()
     test = lagged.where(F.col("hour_ts") >= newest).where("departures is not null")
     long = test.unpivot(["entity_id", "hour_ts", "departures"], ["lag_24h", "lag_168h", "lag_1h"], "name", "predicted")
     return ev.regression_metrics(long, "departures", "predicted", ["name"])
 
 
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(ft.lagged_panel(spark, d))
+
+
 def _registry(spark: SparkSession, d: str) -> DataFrame:
     """Versions that went live earlier; the newest one scored twice the mean hourly demand of its segment."""
     seg = tb.entity_hours(spark, d).groupBy("entity_id").agg(F.avg("departures").alias("m"), F.count("*").alias("n"))

@@ -106,7 +106,7 @@ def _headers_by_scan(spark: SparkSession, paths: Sequence[str], pattern: str, fo
 
 
 def headers(spark: SparkSession, paths: Sequence[str], pattern: str = "*.csv*") -> dict[tuple[str, ...], list[str]]:
-    """Files by their first line; files without one are listed under an empty header.
+    """Files by their first line; files of no bytes have none and are left out.
 
     Of each file only its first block is read, by the executors. What comes to the driver is the file names, which a
     scan of them keeps there anyway.
