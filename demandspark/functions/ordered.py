@@ -141,8 +141,14 @@ def quantiles_of_counts(
     spans = F.sort_array(F.collect_list(F.struct(F.col("_last").alias("last"), F.col(value).alias("v"))))
     found = hit.groupBy(by, size.alias("n")).agg(spans.alias("spans"))
 
+    return found.select(by, "n", interpolated(probabilities).alias("quantiles"))
+
+
+def interpolated(probabilities: Sequence[float]) -> Column:
+    """Quantiles from ``spans``, the sorted ``(last, v)`` of values on the wanted ranks, and the number ``n`` of all."""
+
     def at(position: Column) -> Column:
-        return F.element_at(F.filter("spans", lambda s: s["last"] >= position), 1)["v"]
+        return F.try_element_at(F.filter("spans", lambda s: s["last"] >= position), F.lit(1))["v"]
 
     def blend(p: Column) -> Column:
         position = p * (F.col("n") - 1)
@@ -155,7 +161,67 @@ def quantiles_of_counts(
         return F.when(x["t"] >= 0.5, x["b"] - gap * (1 - x["t"])).otherwise(x["a"] + gap * x["t"])
 
     asked = F.array(*[F.lit(float(p)) for p in probabilities])
-    return found.select(by, "n", F.transform(F.transform(asked, blend), value_of).alias("quantiles"))
+    return F.transform(F.transform(asked, blend), value_of)
+
+
+def bracketed_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float], accuracy: int = 20_000) -> DataFrame:
+    """``(feature, n, quantiles, below)`` in two scans: exact quantiles, and how many values lie below each of them.
+
+    The first scan sketches all columns at once and brackets every quantile by values that are twice the sketch's error
+    away on either side. The second counts the rows between the brackets and keeps the values within them, about
+    4 / accuracy of the rows per quantile; only these are shuffled and sorted, each bracket apart. The result does not
+    depend on the sketch: a rank outside its bracket would be missing, and then :func:`quantiles_of_counts` is asked.
+    Features without known values have no row.
+    """
+    spark = df.sparkSession
+    typed = df.select(*[F.col(c).cast("double").alias(c) for c in features])
+    known = typed.select(*[F.when(~F.isnan(c), F.col(c) + F.lit(0.0)).alias(c) for c in features])
+    error = 2.0 / accuracy
+    around = [min(max(p + side * error, 0.0), 1.0) for p in probabilities for side in (-1, 1)]
+    sketch = known.agg(*[F.percentile_approx(c, around, accuracy).alias(c) for c in features]).first()
+    # One row per feature with two numbers per probability.
+    found = [(c, sorted(sketch[c][0::2]), sorted(sketch[c][1::2])) for c in features if sketch[c] is not None]
+    brackets = F.broadcast(spark.createDataFrame(found, "feature string, _lows array<double>, _highs array<double>"))
+    long = known.unpivot([], list(features), "feature", "value").where("value is not null")
+    k = len(probabilities)
+    placed = add_rank(add_rank(long.join(brackets, "feature"), "_opened", "value", "_lows", k, inclusive=True), "_closed", "value", "_highs", k)
+    kept = F.when(F.col("_opened") > F.col("_closed"), F.col("value")).alias("value")
+    # Rows between two brackets become one; they come before the values of the bracket behind them.
+    cells = materialise(placed.groupBy("feature", "_closed", kept).agg(F.count("*").alias("n")), "brackets")
+    per = cells.groupBy("feature", "_closed").agg(F.sum("n").alias("_sum"))
+    across = Window.partitionBy("feature").orderBy("_closed")
+    offsets = per.select(
+        "feature", "_closed", F.coalesce(F.sum("_sum").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_sum").over(Window.partitionBy("feature")).alias("all"),
+    )
+    upto = Window.partitionBy("feature", "_closed").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = cells.join(F.broadcast(offsets), ["feature", "_closed"]).withColumn("last", F.sum("n").over(upto) + F.col("_off") - 1)
+    marks = F.array(*[F.lit(float(p)) for p in probabilities])
+    first = F.col("last") - F.col("n") + 1
+    wanted = F.exists(marks, lambda p: (first <= F.floor(p * (F.col("all") - 1)) + 1) & (F.floor(p * (F.col("all") - 1)) <= F.col("last")))
+    hits = ranked.where(F.col("value").isNotNull() & wanted)
+    spans = F.sort_array(F.collect_list(F.struct("last", F.col("value").alias("v"), first.alias("first"))))
+    found = hits.groupBy("feature", F.col("all").alias("n")).agg(spans.alias("spans"))
+    below = F.transform("quantiles", lambda q: F.try_element_at(F.filter("spans", lambda s: s["v"] >= q), F.lit(1))["first"])
+    out = found.withColumn("quantiles", interpolated(probabilities)).withColumn("below", below)
+    # A rank between brackets shows as a neighbour of it that is not among the spans.
+    lows = F.transform(marks, lambda p: F.floor(p * (F.col("n") - 1)))
+    has = lambda r: F.exists("spans", lambda s: (s["first"] <= r) & (r <= s["last"]))
+    missed = ~F.forall(lows, lambda r: has(r) & has(F.least(r + 1, F.col("n") - 1)))
+    out = materialise(out.select("feature", "n", "quantiles", "below", missed.alias("missed")), "quantiles")
+    if out.where("missed").isEmpty():
+        return out.drop("missed")
+    counts = value_counts(df, features, {"n_rows": F.lit(1)})
+    exact = quantiles_of_counts(counts, "n_rows", probabilities)
+    cuts = F.broadcast(exact.select("feature", F.array_sort("quantiles").alias("_cuts")))
+    under = add_rank(counts.join(cuts, "feature"), "_bin", "value", "_cuts", k, inclusive=True).groupBy("feature", "_bin").agg(F.sum("n_rows").alias("m"))
+    listed = under.groupBy("feature").agg(F.collect_list(F.struct("_bin", "m")).alias("bins"))
+
+    def less(q: Column) -> Column:
+        at = F.array_position(F.array_sort("quantiles"), q)  # bins below the first equal cut hold smaller values
+        return F.aggregate("bins", F.lit(0).cast("long"), lambda acc, b: acc + F.when(b["_bin"] < at, b["m"]).otherwise(0))
+
+    return exact.join(listed, "feature").select("feature", "n", "quantiles", F.transform("quantiles", less).alias("below"))
 
 
 def exact_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float], n_buckets: int = 256) -> DataFrame:

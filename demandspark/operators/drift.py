@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.functions.ordered import add_rank, long_values, quantiles_of_counts, running_totals, value_counts
+from demandspark.functions.ordered import add_rank, bracketed_quantiles, long_values, running_totals, value_counts
 from demandspark.functions.times import hours_before
 from demandspark.params import Params
 from demandspark.session import materialise
@@ -52,13 +52,13 @@ def _binned(rows: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFr
     """``(feature, bin, by..., n)`` of ``(feature, value, n_rows, by...)``, counted where the rows are."""
     # One short array per feature: bounded by the schema.
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    cuts = edges.select("feature", inner.alias("_inner"), F.size("edges").alias("_size"))
-    longest = edges.agg(F.max(F.size("edges"))).first()[0] or 0
-    placed = add_rank(rows.join(F.broadcast(cuts), "feature"), "bin", "value", "_inner", max(longest, 1), inclusive=True)
+    cuts = edges.select("feature", inner.alias("_inner"))
+    longest = edges.agg(F.max(F.size("edges"))).first()[0] or 1
+    placed = add_rank(rows.join(F.broadcast(cuts), "feature"), "bin", "value", "_inner", longest, inclusive=True)
     return placed.groupBy("feature", "bin", *by).agg(F.sum("n_rows").alias("n"))
 
 
-def profile(ref: DataFrame, features: Sequence[str], bins: int = 10, n_buckets: int = 256) -> DataFrame:
+def profile(ref: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
     """``(feature, edges, counts)`` of reference rows: their distinct exact quantiles and the rows in each bin.
 
     The first and last edge are open; bins are closed on the left. A feature without known values has no edges. One row
@@ -66,17 +66,21 @@ def profile(ref: DataFrame, features: Sequence[str], bins: int = 10, n_buckets:
     when a model goes live and read by every later cycle in place of the training rows. The result is written to the
     shared folder.
     """
-    rows = long_values(ref.withColumn(ROWS, F.lit(0.0)), [*features, ROWS], {"n_rows": F.lit(1)})
-    quantiles = quantiles_of_counts(rows.where(F.col("feature") != ROWS), "n_rows", [i / bins for i in range(bins + 1)], n_buckets=n_buckets)
-    edges = quantiles.select("feature", F.array_distinct("quantiles").alias("edges"))
-    names = ref.sparkSession.createDataFrame([(f,) for f in [*features, ROWS]], "feature string")
+    spark = ref.sparkSession
+    found = bracketed_quantiles(ref, features, [i / bins for i in range(bins + 1)])
+    marks = F.array_distinct(F.arrays_zip("quantiles", "below"))
+    # Values below every inner edge, then all: their differences are the bins.
+    inner = F.transform(F.slice("marks", F.lit(2), F.greatest(F.size("marks") - 2, F.lit(0))), lambda m: m["below"])
+    upto = F.concat(F.array(F.lit(0).cast("long")), inner, F.array("n"))
+    counts = F.zip_with(F.slice(upto, F.lit(2), F.size(upto) - 1), F.slice(upto, F.lit(1), F.size(upto) - 1), lambda b, a: b - a)
+    known = found.withColumn("marks", marks).select("feature", F.col("marks.quantiles").alias("edges"), counts.alias("counts"))
     none = F.array().cast("array<double>")
-    edges = materialise(names.join(edges, "feature", "left").select("feature", F.coalesce("edges", none).alias("edges")), "edges")
-    # At most `bins` cells per feature are gathered.
-    cells = _binned(rows, edges).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("cells"))
-    last = F.greatest(F.size("edges") - 2, F.lit(0))
-    counts = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.col("cells")[i], F.lit(0)))
-    return materialise(edges.join(cells, "feature", "left").select("feature", "edges", counts.alias("counts")), "profile")
+    names = spark.createDataFrame([(f,) for f in features], "feature string")
+    listed = names.join(known, "feature", "left").select(
+        "feature", F.coalesce("edges", none).alias("edges"), F.coalesce("counts", F.array(F.lit(0).cast("long"))).alias("counts")
+    )
+    rows = ref.agg(F.array(F.count("*")).alias("counts")).select(F.lit(ROWS).alias("feature"), none.alias("edges"), "counts")
+    return materialise(listed.unionByName(rows), "profile")
 
 
 def served_counts(rows: DataFrame, reference: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -114,9 +118,9 @@ def psi_of_counts(reference: DataFrame, counts: DataFrame) -> DataFrame:
     return both.select("feature", F.when(enough, summed).otherwise(0.0).alias("psi"))
 
 
-def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10, n_buckets: int = 256) -> DataFrame:
+def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
     """``(feature, psi)`` of two frames; the current rows are scanned once."""
-    reference = profile(ref, features, bins, n_buckets)
+    reference = profile(ref, features, bins)
     return psi_of_counts(reference, served_counts(cur, reference, features))
 
 
@@ -192,7 +196,7 @@ def drift_report(ref: DataFrame, cur: DataFrame, params: Params) -> DataFrame:
     features = shared_features(ref, cur, params.drift_exclude_features)
     if not features:
         return ref.sparkSession.createDataFrame([], "feature string, psi double, drifted boolean")
-    scored = psi(ref, cur, features, params.psi_bins, params.rank_buckets)
+    scored = psi(ref, cur, features, params.psi_bins)
     return scored.withColumn("drifted", F.col("psi") > params.psi_threshold)
 
 

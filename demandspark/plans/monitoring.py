@@ -216,7 +216,7 @@ psi AS (SELECT feature, sum((cs - rs) * ln(cs / rs)) AS psi FROM shares GROUP BY
 @query("MON-03", tb.with_(_LONG, _PSI) + "SELECT feature, round(psi, 6) AS psi FROM psi")
 def psi_by_feature(spark: SparkSession, d: str) -> DataFrame:
     ref, cur = _halves(spark, d)
-    return tb.rounded(dr.psi(ref, cur, list(_FEATURES), n_buckets=P.rank_buckets), 6, "psi")
+    return tb.rounded(dr.psi(ref, cur, list(_FEATURES)), 6, "psi")
 
 
 _KS = """vals AS (SELECT feature, v, count(*) FILTER (WHERE is_ref) AS r, count(*) FILTER (WHERE NOT is_ref) AS c FROM long GROUP BY 1, 2),
@@ -264,7 +264,7 @@ _DP = P.but(drift_share_threshold=0.15)
 def _drift(spark: SparkSession, d: str) -> DataFrame:
     """The early rows' profile, as it is stored when a model goes live, against the late rows."""
     ref, cur = _halves(spark, d)
-    return dr.profile_drift(dr.profile(ref, list(_FEATURES), _DP.psi_bins, _DP.rank_buckets), cur, _DP)
+    return dr.profile_drift(dr.profile(ref, list(_FEATURES), _DP.psi_bins), cur, _DP)
 
 
 @query(
@@ -297,7 +297,7 @@ def feature_drift(spark: SparkSession, d: str) -> DataFrame:
     champion = _live_model(spark, lagged)
     start, end = (champion.select(f"champion.train_{side}").scalar() for side in ("start", "end"))
     trained = lagged.where((F.col("hour_ts") >= start) & (F.col("hour_ts") <= end))
-    reference = dr.profile(trained, P.lag_features, P.psi_bins, P.rank_buckets)
+    reference = dr.profile(trained, P.lag_features, P.psi_bins)
     served = dr.current_features(lagged, mo.local_now(tb.NOW, P), 72).withColumn("day", F.to_date("hour_ts"))
     per_day = dr.served_counts(served, reference, P.lag_features, ["day"])
     scored = dr.psi_of_counts(reference, per_day).withColumn("drifted", F.col("psi") > P.psi_threshold)

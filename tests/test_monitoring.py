@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from demandspark.functions.ordered import describe, exact_quantiles
+from demandspark.functions import ordered
+from demandspark.functions.ordered import bracketed_quantiles, describe, exact_quantiles
 from demandspark.operators import drift as dr
 from demandspark.operators import evaluate as ev
 from demandspark.operators import monitor as mo
@@ -38,7 +39,7 @@ def test_psi_equals_brute_force(spark):
     moved = {"temperature_c": RNG.normal(32, 4, 700), "lag_1h": RNG.poisson(80, 700), "constant": np.ones(700)}
     same = {"temperature_c": RNG.normal(18, 4, 700), "lag_1h": RNG.poisson(30, 700), "constant": np.ones(700)}
     for cur, check in ((moved, lambda x: x > 0.25), (same, lambda x: x < 0.1)):
-        got = {r["feature"]: r["psi"] for r in dr.psi(table(spark, **ref), table(spark, **cur), list(ref), n_buckets=16).collect()}
+        got = {r["feature"]: r["psi"] for r in dr.psi(table(spark, **ref), table(spark, **cur), list(ref)).collect()}
         for f in ref:
             assert got[f] == pytest.approx(numpy_psi(ref[f], cur[f]), abs=1e-9)
         assert check(got["temperature_c"]) and check(got["lag_1h"]) and got["constant"] == 0.0
@@ -222,3 +223,24 @@ def test_stored_profile_equals_direct_psi(spark, tmp_path):
     by_profile = dr.profile_drift(stored, cur, P).first()
     direct = dr.summarise_drift(dr.drift_report(ref.drop("day"), cur.drop("day"), P), ref, cur, P).first()
     assert by_profile == direct and by_profile.reference_rows == 900 and by_profile.current_rows == 400
+
+
+@pytest.mark.parametrize("accuracy", [20, 20_000])
+@pytest.mark.parametrize("missed", [False, True])
+def test_bracketed_quantiles(spark, monkeypatch, accuracy, missed):
+    """Exact whatever the sketch's accuracy, and also where its brackets miss the wanted ranks."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.full(1000, 5.0), rng.exponential(10, 1500), rng.integers(0, 4, 500)])
+    table_ = spark.createDataFrame([(float(a), float(b), None if b > 0.5 else float(a), 2.0, None) for a, b in zip(x, rng.normal(size=3000), strict=True)], "x double, y double, z double, one double, bare double")
+    if missed:
+        real = ordered.F.percentile_approx
+        monkeypatch.setattr(ordered.F, "percentile_approx", lambda c, ps, a: real(c, [p / 2 for p in ps], a) if isinstance(ps, list) and len(ps) == 14 else real(c, ps, a))
+    probs = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.99, 1.0]
+    found = {r.feature: r for r in bracketed_quantiles(table_, ["x", "y", "z", "one", "bare"], probs, accuracy).collect()}
+    assert sorted(found) == ["one", "x", "y", "z"]
+    values = table_.toPandas()
+    for f, r in found.items():
+        v = values[f].dropna().to_numpy()
+        assert r.n == len(v)
+        np.testing.assert_allclose(r.quantiles, np.quantile(v, probs), rtol=1e-12)
+        assert r.below == [int((v < q).sum()) for q in r.quantiles]
