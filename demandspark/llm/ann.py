@@ -15,6 +15,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,26 +41,24 @@ class Settings:
 
 
 def usable(vectors: DataFrame, vector: str) -> DataFrame:
-    """``(vec_id, v)``: one packed double vector per id. Null and zero vectors, those with a null or non-finite
-    component, those of another length than most, and rows without an id take no part; of rows that repeat an id the
+    """``(vec_id, d, v)``: one packed double vector per id and length ``d``. Null and zero vectors, those with a null or
+    non-finite component and rows without an id take no part; of rows that repeat an id with vectors of one length the
     smallest vector counts."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head(1)
-    if sizes:
-        rows = rows.where(F.size("v") == sizes[0].d)
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    out = pa.schema([("vec_id", pa.int64()), ("v", pa.binary())])
+    rows = rows.groupBy("vec_id", F.size("v").alias("d")).agg(F.min("v").alias("v"))
+    out = pa.schema([("vec_id", pa.int64()), ("d", pa.int32()), ("v", pa.binary())])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                flat = column(batch, "v").flatten().to_numpy().reshape(batch.num_rows, -1)
-                yield batch_of(out, column(batch, "vec_id"), [x.tobytes() for x in flat])
+                flat, sizes = column(batch, "v").flatten().to_numpy(), column(batch, "d").to_numpy()
+                parts = np.split(flat, np.cumsum(sizes)[:-1])
+                yield batch_of(out, column(batch, "vec_id"), column(batch, "d"), [x.tobytes() for x in parts])
 
-    return materialise(rows.mapInArrow(pack, "vec_id long, v binary"), "vectors")
+    return materialise(rows.mapInArrow(pack, "vec_id long, d int, v binary"), "vectors")
 
 
 def matrix(values: list[bytes]) -> np.ndarray:
@@ -200,14 +199,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "em
     """``(query_id, rank, vec_id, score)``: per query the ``k`` nearest rows found by Euclidean distance, its own id
     left out, ties to the smaller id; all candidates if there are fewer.
 
-    Which rows take part is said at ``usable``; queries are those of them that meet ``is_query``. An empty table gives
-    an empty result; other columns are ignored.
+    Which rows take part is said at ``usable``; queries are those of them that meet ``is_query``. Vectors of different
+    lengths have no distance: each length has an index of its own, one after the other, so lengths are to be as few as
+    the models that made the vectors. An empty table gives an empty result; other columns are ignored.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors, vector)
-    n = rows.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = [
+        nearest_of_length(rows.where(F.col("d") == r.d).drop("d"), r.n, is_query, k, s)
+        for r in rows.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").collect()
+    ]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, parts)
+
+
+def nearest_of_length(rows: DataFrame, n: int, is_query: Column, k: int, s: Settings) -> DataFrame:
+    """:func:`nearest` among ``n`` packed vectors of one length."""
+    spark = rows.sparkSession
     book = fit_codebook(rows, n, s)
     shared = spark.sparkContext.broadcast(book)
     placed = pa.schema([("vec_id", pa.int64()), ("cell", pa.int64()), ("v", pa.binary())])

@@ -768,18 +768,22 @@ def linked_pairs(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_bytes
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the smallest id. Documents without words and
-    rows without an id stay; of repeated rows of one id the first by text stays."""
-    found = materialise(near_duplicates(docs, **how), "near")
-    other = F.coalesce((F.col("component_id") != F.col("doc_id")) & (F.col("n_shingles") > 0), F.lit(False))
-    gone = found.groupBy("doc_id").agg(F.bool_and(other).alias("gone")).where("gone").select("doc_id")
-    kept = docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = materialise(repeated, "repeated")
-    if not repeated.head(1):
-        return kept
-    order = Window.partitionBy("doc_id").orderBy("text")
-    several = kept.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(several.select(docs.columns))
+    rows without an id stay. Rows that share an id are documents of their own: a group keeps one of them, and where
+    their texts are no near duplicates all stay."""
+    own = "_row"
+    while own in docs.columns:
+        own += "_"
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1").isEmpty():
+        keyed = docs.withColumn(own, F.col("doc_id"))
+    else:
+        # Numbers that rise with the id, and tell rows of one id apart; written, since they depend on the partitions.
+        order = ["doc_id", F.xxhash64("text")]
+        number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+        keyed = materialise(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(own, number), "numbered")
+    found = near_duplicates(keyed.select(F.col(own).alias("doc_id"), "text"), **how)
+    gone = found.where((F.col("component_id") != F.col("doc_id")) & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias(own))
+    return keyed.join(materialise(gone, "gone"), own, "left_anti").select(docs.columns)
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -51,3 +51,14 @@ def test_walk_is_in_order():
     cells = list(book.walk(q))
     sums = [((q[:3] - book.halves[0][c // 5]) ** 2).sum() + ((q[3:] - book.halves[1][c % 5]) ** 2).sum() for c in cells]
     assert sorted(cells) == list(range(35)) and np.allclose(sums, sorted(sums))
+
+
+def test_every_length_has_its_index(spark):
+    """No length is left out, as query or candidate, whichever is the most frequent; an id may come in two lengths."""
+    rng = np.random.default_rng(3)
+    by = {d: {i: rng.normal(size=d).tolist() for i in ids} for d, ids in ((2, range(90, 140)), (3, [200, 4, 5]), (1, [300, 7]), (5, [400]))}
+    by[3][100] = [0.5, 0.5, 0.5]
+    rows = [(i, v, 0) for part in by.values() for i, v in part.items()]
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 100 == 0).collect())
+    want = [w[:3] for d, queries in ((2, [100]), (3, [100, 200]), (1, [300])) for w in exact(by[d], queries, 10)]
+    assert got == sorted(want)

@@ -142,3 +142,19 @@ def test_the_query_counts_links(spark, tmp_path):
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_links for r in nj.op7_ngram_join(spark, str(tmp_path)).collect()}
     assert got == {r[0]: k for r, k in zip(rows, all_pairs(rows, 3, 90)[0], strict=True)}
+
+
+def test_rows_of_a_reused_id_are_documents_of_their_own(spark):
+    long = [" ".join(f"w{k}_{i}" for i in range(60)) for k in range(5)]
+    near = long[0] + " more"
+    rows = [
+        (7, long[0], "en", "a", 1), (7, long[1], "en", "a", 1),  # both clean
+        (8, near, "en", "a", 1), (8, long[2], "en", "a", 1),  # one repeats document 7
+        (9, long[3], "en", "a", 1), (9, long[3], "en", "a", 1),  # repeated row
+        (5, long[4], "en", "a", 1), (6, long[4], "en", "a", 1), (10, "", "en", "a", 0), (10, None, "en", "a", 0), (None, long[4], "en", "a", 1),
+    ]
+    docs = documents(spark, rows).withColumn("_row", F.lit("other"))
+    kept = nj.drop_near_duplicates(docs, n=5, percent=80)
+    assert kept.columns == docs.columns and {r["_row"] for r in kept.collect()} == {"other"}
+    want = [(7, long[0]), (7, long[1]), (8, long[2]), (9, long[3]), (5, long[4]), (10, ""), (10, None), (None, long[4])]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
