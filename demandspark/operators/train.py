@@ -184,30 +184,3 @@ def candidate_table(spark: SparkSession, results: Mapping[str, tuple[str, float,
     return spark.createDataFrame(
         rows, "name string, path string, kind string, mae double, score_in_process double, label_provenance string"
     )
-
-
-def sequence_summary(seq: DataFrame) -> DataFrame:
-    """Sequences reduced to a few level and shape numbers, as inputs for a tree model."""
-    values = F.col("sequence")
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return seq.select(
-        "entity_id", "hour_ts", F.col("target").alias("departures"),
-        (total / n).alias("seq_mean"),
-        F.element_at(values, -1).alias("seq_last"),
-        F.element_at(values, F.greatest(n - 23, F.lit(1))).alias("seq_day_ago"),
-        F.element_at(values, 1).alias("seq_first"),
-        F.array_max(values).alias("seq_max"),
-        F.array_min(values).alias("seq_min"),
-    )
-
-
-SEQUENCE_INPUTS = ("seq_mean", "seq_last", "seq_day_ago", "seq_first", "seq_max", "seq_min")
-
-
-def fit_sequence_forest(train: DataFrame, params: Params, trees: int = 10, depth: int = 6) -> PipelineModel:
-    """Forest over :func:`sequence_summary`; sequences are complete, so nothing is imputed."""
-    forest = RandomForestRegressor(
-        featuresCol="inputs", labelCol="departures", predictionCol="raw", numTrees=trees, maxDepth=depth, seed=params.seed
-    )
-    return _fit([VectorAssembler(inputCols=list(SEQUENCE_INPUTS), outputCol="inputs"), forest], train)

@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from demandspark.operators import boost
+from demandspark.operators import sequence as sq
 from demandspark.operators import train as tr
 from demandspark.params import Params
 
@@ -81,3 +82,48 @@ def test_pipeline_handles_missing_values_and_storage(spark, tmp_path):
     assert here == there and min(here) > 0
     top = tr.importance(model, 1).first()
     assert top.feature == names[1]
+
+
+def sequences(spark, seed, entities, hours, length=168):
+    """Weekly and daily waves at very different levels, with noise that lasts a few hours."""
+    rng = np.random.default_rng(seed)
+    data = []
+    for level in entities:
+        t = np.arange(hours + length)
+        noise = np.convolve(rng.normal(size=hours + length + 5), np.ones(6) / 6, "valid")
+        wave = 1 + 0.6 * np.sin(2 * np.pi * t / 24) + 0.3 * np.sin(2 * np.pi * t / 168) + 0.6 * noise
+        x = level * np.clip(wave, 0, None)
+        data += [(x[i : i + length].tolist(), float(x[i + length])) for i in range(hours)]
+    return spark.createDataFrame(data, "sequence array<double>, target double").repartition(3)
+
+
+def test_sequence_model_beats_last_week(spark, tmp_path):
+    train, valid, test = (sequences(spark, s, (5, 300), 250) for s in (1, 2, 3))
+    model = sq.fit(train, valid, 168, n_kernels=24)
+    model.save(spark, str(tmp_path / "m"))
+    assert sq.SequenceModel.load(spark, str(tmp_path / "m")) == model
+    scored = model.transform(test).toPandas()
+    week = np.array([s[0] for s in scored.sequence])
+    assert len(scored) == 500
+    assert (scored.raw - scored.target).abs().mean() < 0.7 * np.abs(week - scored.target).mean()
+
+
+def test_ridge_equals_a_direct_solution(spark):
+    train = sequences(spark, 4, (10,), 120, length=30)
+    kernels = sq.Kernels(30, 5, 1)
+    rows = train.toPandas()
+    x, level = kernels.inputs(np.stack(rows.sequence))
+    y = rows.target.to_numpy() / level
+    inputs = x[:, :-1]
+    z = (inputs - inputs.mean(0)) / inputs.std(0)
+    w = np.linalg.solve(z.T @ z / len(z) + 0.1 * np.eye(z.shape[1]), z.T @ (y - y.mean()) / len(z))
+    got = sq.ridge(sq.gram(train, kernels), 0.1)
+    assert x @ got == pytest.approx(z @ w + y.mean(), abs=1e-8)
+
+
+def test_short_constant_and_no_sequences(spark):
+    flat = spark.createDataFrame([([0.0] * 5, 0.0)] * 20, "sequence array<double>, target double")
+    model = sq.fit(flat, flat, 5)
+    assert {round(r.raw, 9) for r in model.transform(flat).collect()} == {0.0}
+    with pytest.raises(ValueError, match="no complete sequence"):
+        sq.fit(flat.limit(0), flat, 5)
