@@ -61,17 +61,101 @@ def _rules(day: Column) -> list[tuple[Column, str]]:
     return rules
 
 
+# Public holidays of other countries. Fixed dates are (month, day, first year, name); movable ones are days
+# after Easter Sunday with first year and name; floating ones as for the United States.
+OTHER_COUNTRIES = {
+    "DE": {
+        "fixed": (
+            (1, 1, 1949, "Neujahr"), (5, 1, 1949, "Tag der Arbeit"), (10, 3, 1990, "Tag der Deutschen Einheit"),
+            (12, 25, 1949, "Erster Weihnachtstag"), (12, 26, 1949, "Zweiter Weihnachtstag"),
+        ),
+        "easter": ((-2, 1949, "Karfreitag"), (1, 1949, "Ostermontag"), (39, 1949, "Christi Himmelfahrt"), (50, 1949, "Pfingstmontag")),
+        "once": ((date(2017, 10, 31), "Reformationstag"),),
+    },
+    "FR": {
+        "fixed": (
+            (1, 1, 1811, "Jour de l'an"), (5, 1, 1919, "Fête du Travail"), (5, 8, 1982, "Fête de la Victoire"),
+            (7, 14, 1880, "Fête nationale"), (8, 15, 1802, "Assomption"), (11, 1, 1802, "Toussaint"),
+            (11, 11, 1922, "Armistice"), (12, 25, 1802, "Noël"),
+        ),
+        "easter": ((1, 1886, "Lundi de Pâques"), (39, 1802, "Ascension"), (50, 1886, "Lundi de Pentecôte")),
+    },
+    "GB": {  # England; days that fall on a weekend are made up for on the next working days
+        "fixed": ((1, 1, 1975, "New Year's Day"), (12, 25, 1871, "Christmas Day"), (12, 26, 1871, "Boxing Day")),
+        "easter": ((-2, 1871, "Good Friday"), (1, 1871, "Easter Monday")),
+        "floating": (
+            (5, 0, 1, 1978, "Early May Bank Holiday"), (5, 0, -1, 1971, "Spring Bank Holiday"), (8, 0, -1, 1971, "Late Summer Bank Holiday"),
+        ),
+        "substitutes": True,
+        "moved": (date(1995, 5, 1), date(2002, 5, 27), date(2012, 5, 28), date(2020, 5, 4), date(2022, 5, 30)),
+        "once": (
+            (date(1977, 6, 7), "Silver Jubilee"), (date(1981, 7, 29), "Royal Wedding"), (date(1995, 5, 8), "Early May Bank Holiday"),
+            (date(1999, 12, 31), "Millennium"), (date(2002, 6, 3), "Golden Jubilee"), (date(2002, 6, 4), "Spring Bank Holiday"),
+            (date(2011, 4, 29), "Royal Wedding"), (date(2012, 6, 4), "Spring Bank Holiday"), (date(2012, 6, 5), "Diamond Jubilee"),
+            (date(2020, 5, 8), "Early May Bank Holiday"), (date(2022, 6, 2), "Spring Bank Holiday"), (date(2022, 6, 3), "Platinum Jubilee"),
+            (date(2022, 9, 19), "State Funeral"), (date(2023, 5, 8), "Coronation"),
+        ),
+    },
+}
+COUNTRIES = ("US", *OTHER_COUNTRIES)
+
+
+def easter(year: Column) -> Column:
+    """Easter Sunday of a Gregorian year, by the computus."""
+
+    def whole(x: Column, n: int) -> Column:
+        return F.floor(x / n)
+
+    century, golden = whole(year, 100), year % 19
+    # Age of the moon on 21 March less the corrections of the centuries, then the way to the Sunday behind the full moon.
+    epact = (19 * golden + century - whole(century, 4) - whole(century - whole(century + 8, 25) + 1, 3) + 15) % 30
+    to_sunday = (32 + 2 * (century % 4) + 2 * whole(year % 100, 4) - epact - (year % 100) % 4) % 7
+    late = whole(golden + 11 * epact + 22 * to_sunday, 451)
+    since_march = (epact + to_sunday - 7 * late + 22).cast("int")  # as a day of March
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(1)), since_march - 1)
+
+
+def _substitute(month: int, dom: int, day: Column) -> Column:
+    """The next working day for a fixed date on a weekend; the second of two neighbours waits for the first."""
+    key, dow = F.month(day) * 100 + F.dayofmonth(day), F.weekday(day)
+    if (month, dom) == (12, 25):  # Saturday to Monday 27; Sunday to Tuesday 27, since Monday is the 26th
+        return (key == 1227) & dow.isin(0, 1)
+    if (month, dom) == (12, 26):  # Saturday to Monday 28; Sunday to Tuesday 28, since Monday makes up for the 25th
+        return (key == 1228) & dow.isin(0, 1)
+    return ((key == _shifted(month, dom, 2)) | (key == _shifted(month, dom, 1))) & (dow == 0)
+
+
+def _other_rules(day: Column, country: str) -> list[tuple[Column, str]]:
+    rules = OTHER_COUNTRIES[country]
+    key, year = F.month(day) * 100 + F.dayofmonth(day), F.year(day)
+    held = ~day.isin(*rules["moved"]) if rules.get("moved") else F.lit(True)
+    out = [(day == F.lit(on), label) for on, label in rules.get("once", ())]
+    out += [((key == month * 100 + dom) & (year >= since), label) for month, dom, since, label in rules["fixed"]]
+    after = F.datediff(day, easter(year))
+    out += [((after == days) & (year >= since), label) for days, since, label in rules["easter"]]
+    for month, weekday, nth, since, label in rules.get("floating", ()):
+        out.append((_occurs(day, month, weekday, nth) & (year >= since) & held, label))
+    if rules.get("substitutes"):
+        out += [(_substitute(month, dom, day) & (year >= since), label + " (substitute)") for month, dom, since, label in rules["fixed"]]
+    return out
+
+
+def known_country(country: str) -> str:
+    if country not in COUNTRIES:
+        raise ValueError(f"no holiday rules for {country!r}; known are {', '.join(COUNTRIES)}")
+    return country
+
+
 def holiday_name(day: Column, country: str = "US") -> Column:
-    """Name of the public holiday on a date, including weekend substitutes, or NULL."""
-    if country != "US":
-        return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(rule, label) for rule, label in _rules(day)])
+    """Name of the public holiday on a date, including weekend substitutes, or NULL. An unknown country is an error."""
+    rules = _rules(day) if known_country(country) == "US" else _other_rules(day, country)
+    return F.coalesce(*[F.when(rule, label) for rule, label in rules])
 
 
 def is_holiday(day: Column, country: str = "US") -> Column:
     """The same test without names: fixed dates are looked up together, which keeps the generated code small."""
-    if country != "US":
-        return F.lit(False)
+    if known_country(country) != "US":
+        return reduce(Column.__or__, [rule for rule, _ in _other_rules(day, country)])
     key, dow = F.month(day) * 100 + F.dayofmonth(day), F.weekday(day)
     hits = []
     for since in sorted({s for _, _, s, _ in FIXED_HOLIDAYS}):

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from demandspark.functions.calendar import add_seasonal, daylight_hours, holiday_dim, is_holiday
+from demandspark.functions.calendar import add_seasonal, daylight_hours, easter, holiday_dim, holiday_name, is_holiday
 from demandspark.operators import entities as ent
 from demandspark.operators import evaluate as ev
 from demandspark.operators import panel as pn
@@ -167,3 +167,38 @@ def test_entity_mapping(spark, tmp_path):
         ent.fit_entities(info, None, P.but(granularity="block"))
     with pytest.raises(ValueError, match="no stations"):
         ent.fit_entities(info.limit(0), None, P)
+
+
+def test_easter_sundays(spark):
+    known = {1818: "03-22", 1943: "04-25", 1961: "04-02", 2000: "04-23", 2008: "03-23", 2011: "04-24", 2019: "04-21", 2024: "03-31", 2025: "04-20", 2026: "04-05", 2038: "04-25"}
+    rows = spark.createDataFrame([(y,) for y in known], "y int").select("y", easter(F.col("y")).cast("string").alias("d")).collect()
+    assert {r.y: r.d[5:] for r in rows} == known
+
+
+# Public holidays as published by the countries' authorities.
+PUBLISHED = {
+    ("DE", 2024): "01-01 03-29 04-01 05-01 05-09 05-20 10-03 12-25 12-26",
+    ("DE", 2017): "01-01 04-14 04-17 05-01 05-25 06-05 10-03 10-31 12-25 12-26",
+    ("FR", 2024): "01-01 04-01 05-01 05-08 05-09 05-20 07-14 08-15 11-01 11-11 12-25",
+    ("GB", 2020): "01-01 04-10 04-13 05-08 05-25 08-31 12-25 12-26 12-28",
+    ("GB", 2021): "01-01 04-02 04-05 05-03 05-31 08-30 12-25 12-26 12-27 12-28",
+    ("GB", 2022): "01-01 01-03 04-15 04-18 05-02 06-02 06-03 08-29 09-19 12-25 12-26 12-27",
+    ("GB", 2023): "01-01 01-02 04-07 04-10 05-01 05-08 05-29 08-28 12-25 12-26",
+    ("GB", 2024): "01-01 03-29 04-01 05-06 05-27 08-26 12-25 12-26",
+}
+
+
+@pytest.mark.parametrize("country", ["DE", "FR", "GB"])
+def test_holidays_of_other_countries(spark, country):
+    years = [y for c, y in PUBLISHED if c == country]
+    found = holiday_dim(spark, years, country).select(F.col("date").cast("string").alias("d")).collect()
+    assert sorted(r.d for r in found) == sorted(f"{y}-{d}" for y in years for d in PUBLISHED[country, y].split())
+    days = spark.range(366 * 3).select(F.date_add(F.lit("2022-01-01").cast("date"), F.col("id").cast("int")).alias("date"))
+    named = holiday_name(F.col("date"), country).isNotNull()
+    assert days.where(is_holiday(F.col("date"), country) != named).isEmpty()
+
+
+def test_unknown_country():
+    for fn in (holiday_name, is_holiday):
+        with pytest.raises(ValueError, match="XX"):
+            fn(F.col("date"), "XX")
