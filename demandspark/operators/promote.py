@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandspark.functions.stats import LOWER_IS_BETTER
 from demandspark.params import Params
+from demandspark.schemas import TABLES
 
 PRODUCTION = "production"
 
@@ -100,3 +105,64 @@ def record(
         F.current_timestamp().alias("recorded_at"),
     )
 
+
+def _create(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False where it is there already. Of several callers one succeeds."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    if files.getUri().getScheme() == "file":
+        # Hadoop's local file system looks first and creates then; the operating system does both at once.
+        try:
+            os.close(os.open(files.makeQualified(place).toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        files.create(place, False).close()
+    except Py4JJavaError as failed:
+        if not files.exists(place):
+            raise failed
+        return False
+    return True
+
+
+def claim_version(spark: SparkSession, root: str) -> int:
+    """A version number that no one else holds: the next free one, claimed by creating its file.
+
+    Claims are never given back, so numbers rise and a promotion that fails afterwards leaves a gap.
+    """
+    jvm = spark.sparkContext._jvm
+    claims = jvm.org.apache.hadoop.fs.Path(f"{root}/claims")
+    files = claims.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # One file per version ever promoted.
+    held = [int(f.getPath().getName()) for f in files.listStatus(claims) if f.getPath().getName().isdigit()] if files.exists(claims) else []
+    version = max(held, default=0) + 1
+    while not _create(spark, f"{root}/claims/{version}"):
+        version += 1
+    return version
+
+
+def publish(row: DataFrame, root: str) -> int | None:
+    """Store the registry row of a positive decision under a version claimed for it; None for no row.
+
+    Promotions may run at the same time: each gets a version of its own, and the highest one is live.
+    """
+    spark = row.sparkSession
+    if row.isEmpty():
+        return None
+    version = claim_version(spark, root)
+    numbered = row.withColumn("version", F.lit(version).cast("int")).select(*row.columns)
+    numbered.coalesce(1).write.mode("errorifexists").parquet(f"{root}/rows/{version}")
+    return version
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """All registry rows; none where nothing has been published."""
+    try:
+        return spark.read.schema(TABLES["model_registry"]).option("recursiveFileLookup", True).parquet(f"{root}/rows")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], TABLES["model_registry"])

@@ -21,7 +21,6 @@ from demandspark.params import TRUE_LABEL
 from demandspark.plans import features as ft
 from demandspark.plans import testbed as tb
 from demandspark.plans.registry import query
-from demandspark.schemas import TABLES
 from demandspark.session import materialise, scratch
 from demandspark.sinks import tables as sk
 
@@ -209,12 +208,12 @@ def score_batch(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "ML-11 ML-12 ML-08 TOP-05",
     tb.with_(*_SPLIT)
-    + f"""SELECT CAST(1 AS INTEGER) AS version, 'production' AS stage, '{P.promotion_metric}' AS metric, '{TRUE_LABEL}' AS label_provenance, true AS as_fitted,
+    + f"""SELECT CAST(1 AS INTEGER) AS version, (SELECT count(*) FROM smap) AS n_mapped, 'production' AS stage, '{P.promotion_metric}' AS metric, '{TRUE_LABEL}' AS label_provenance, true AS as_fitted,
 min(hour_ts) AS train_start, max(hour_ts) AS train_end, '{P.granularity}' AS granularity, CAST({P.seed} AS BIGINT) AS seed FROM split WHERE split = 'train'""",
 )
 def promotion_round(spark: SparkSession, d: str) -> DataFrame:
-    """Two candidates fitted, judged as served, the better one recorded as the first production version, with the window
-    and the settings it was trained with."""
+    """Two candidates fitted, judged as served, the better one published under a claimed version, with the window and the
+    settings it was trained with and the station map that serving loads."""
     data = _training(spark, d)
     test = data.where("split = 'test'")
     results = {}
@@ -225,7 +224,17 @@ def promotion_round(spark: SparkSession, d: str) -> DataFrame:
         served = tr.as_served(spark, path, test, mae).first()["mae"]
         results[kind] = (path, served, mae, TRUE_LABEL)
     candidates = tr.candidate_table(spark, results)
-    registry = spark.createDataFrame([], TABLES["model_registry"])
-    row = pr.record(pr.decide(candidates, registry, P), candidates, registry, P, window=tr.training_window(data))
+    base = scratch(spark, "registry")
+    ent.save_mapping(tb.station_entity(spark, d), tb.entities(spark, d), f"{base}/mapping", P)
+    registry = pr.published(spark, base)
+    row = pr.record(
+        pr.decide(candidates, registry, P), candidates, registry, P, window=tr.training_window(data), mapping_path=f"{base}/mapping"
+    )
+    pr.publish(row, base)
+    live = pr.current_champion(pr.published(spark, base)).first().champion
+    mapping, _ = ent.load_mapping(spark, live.mapping_path, P)
     same = F.abs(F.col("score_as_served") - F.col("score_in_process")) < 1e-9
-    return row.select("version", "stage", "metric", "label_provenance", same.alias("as_fitted"), "train_start", "train_end", "granularity", "seed")
+    return pr.published(spark, base).select(
+        "version", "stage", "metric", "label_provenance", same.alias("as_fitted"), "train_start", "train_end", "granularity", "seed",
+        mapping.agg(F.count("*")).scalar().alias("n_mapped"),
+    )

@@ -1,3 +1,4 @@
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -244,3 +245,20 @@ def test_bracketed_quantiles(spark, monkeypatch, accuracy, missed):
         assert r.n == len(v)
         np.testing.assert_allclose(r.quantiles, np.quantile(v, probs), rtol=1e-12)
         assert r.below == [int((v < q).sum()) for q in r.quantiles]
+
+
+def test_promotions_at_the_same_time_get_versions_of_their_own(spark, tmp_path):
+    root = str(tmp_path / "registry")
+    assert pr.published(spark, root).count() == 0
+    candidates = spark.createDataFrame([("a", "models/a", "a", 9.0, 9.0, "trip_csv")], "name string, path string, kind string, mae double, score_in_process double, label_provenance string")
+    empty = pr.published(spark, root)
+    row = pr.record(pr.decide(candidates, empty, P), candidates, empty, P, mapping_path="maps/1")
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda _: pr.publish(row, root), range(6)))
+    assert sorted(versions) == [1, 2, 3, 4, 5, 6]
+    stored = pr.published(spark, root)
+    assert sorted(r.version for r in stored.collect()) == [1, 2, 3, 4, 5, 6]
+    champion = pr.current_champion(stored).first().champion
+    assert champion.version == 6 and champion.mapping_path == "maps/1"
+    assert pr.publish(row.where("version < 0"), root) is None
+    assert not pr._create(spark, f"{root}/claims/3") and pr.claim_version(spark, root) == 7
