@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from demandspark.functions.coerce import safe_ratio
 from demandspark.functions.stats import METRICS
+from demandspark.functions.times import utc_wall
 from demandspark.operators import drift as dr
 from demandspark.operators import evaluate as ev
 from demandspark.operators import monitor as mo
@@ -21,6 +22,8 @@ from demandspark.plans.registry import query
 from demandspark.schemas import TABLES
 from demandspark.session import materialise, scratch
 from demandspark.sources import tables as tbl
+from demandspark.streaming import snapshots as ss
+from demandspark.streaming.matching import match_stream
 
 # Fewer pairs per day than a real network has, so the limits are lowered to match.
 P = tb.PARAMS.but(min_samples=40, mae_threshold=1000.0, mae_degradation_ratio=1.02, rank_buckets=64)
@@ -74,6 +77,41 @@ def rolling_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return tb.rounded(mo.rolling_accuracy(ft.matched(spark, d), tb.NOW, P), 6, "rolling_mae", "rolling_rmse")
 
 
+def _landed_weekly(spark: SparkSession, rows: DataFrame, hour: str, name: str, closing: dict) -> str:
+    """Rows landed as files, the weeks in order and unordered within; then one row far later, which closes all others."""
+    path = scratch(spark, name)
+    first = rows.agg(F.min(F.to_date(hour))).scalar()
+    weeks = rows.withColumn("_week", F.floor(F.datediff(F.to_date(hour), first) / 7))
+    for week in range((weeks.agg(F.max("_week")).first()[0] or 0) + 1):
+        weeks.where(F.col("_week") == week).drop("_week").repartition(4, hour).write.mode("append").parquet(path)
+    last = rows.agg(F.timestamp_add("DAY", F.lit(60), F.max(hour)).alias(hour))
+    fields = [F.col(hour) if f.name == hour else F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema]
+    last.select(*fields).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query(
+    "MON-01 JOIN-09 WIN-07",
+    tb.with_(*_MATCHED)
+    + """SELECT s.entity_id, s.target_hour_ts, s.predicted, s.model_version, o.departures AS actual
+FROM served s LEFT JOIN entity_hours o ON o.entity_id = s.entity_id AND o.hour_ts = s.target_hour_ts""",
+)
+def stream_match(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions and station-hours as two streams: every predicted hour leaves once, with its demand or without."""
+    made, seen = materialise(tb.predictions(spark, d), "predictions"), materialise(tb.hourly(spark, d), "hourly")
+    landed = [
+        _landed_weekly(spark, made, "target_hour_ts", "made", {"entity_id": "closing", "predicted": 0.0}),
+        _landed_weekly(spark, seen, "hour_ts", "seen", {"station_short_name": "closing", "departures": 0}),
+    ]
+    streams = [ss.table_stream(spark, p, df.schema, 16) for p, df in zip(landed, (made, seen), strict=True)]
+    out = scratch(spark, "matched-out")
+    # A week's files may be read in any order, so hours may come a week late.
+    stream = match_stream(*streams, tb.station_entity(spark, d), "8 days")
+    ss.require_complete(ss.run_available(stream, out, f"{out}-state"))
+    rows = spark.read.parquet(out)
+    return rows.select("entity_id", utc_wall(rows, "target_hour_ts").alias("target_hour_ts"), "predicted", "model_version", "actual")
+
+
 @query(
     "MON-02",
     tb.with_(*_JUDGED)

@@ -68,6 +68,7 @@ class Tally:
         seen = progress.observedMetrics.get(COUNTERS)
         found = Counter(
             batches=1, rows=progress.numInputRows, dropped=sum(op.numRowsDroppedByWatermark for op in progress.stateOperators),
+            state_rows=sum(op.numRowsTotal for op in progress.stateOperators),
             **{name: seen[name] or 0 for name in DOCUMENTS if seen is not None},
         )
         if progress.batchId > self.batch:

@@ -8,12 +8,16 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from demandspark.functions.times import utc_wall
+from demandspark.operators import evaluate as ev
+from demandspark.operators import monitor as mo
 from demandspark.operators import proxy as px
 from demandspark.params import Params
 from demandspark.streaming import intervals as si
 from demandspark.streaming import ordered as so
 from demandspark.streaming import rederive as sr
 from demandspark.streaming import snapshots as ss
+from demandspark.streaming.matching import match_stream
 
 P = Params(late_snapshot_delay="3 hours")
 START = datetime(2026, 8, 1, 12)
@@ -112,6 +116,126 @@ def test_replayed_snapshots_take_the_last_value(spark, tmp_path):
     assert as_set(got, "hour_ts", "departures") == as_set(expected, "hour_ts", "departures")
 
 
+def _log_of(spark, tmp_path, batches, p=P, info=None):
+    base = str(tmp_path / "t")
+    read = info or (lambda s: spark.createDataFrame([(x, f"s{x}") for x in "abcdef"], "station_id string, short_name string"))
+    process = sr.rederive_batch(f"{base}/snapshots", f"{base}/hourly", read, p)
+    for i, batch in enumerate(batches):
+        process(batch, i)
+    return spark.read.parquet(f"{base}/hourly")
+
+
+def test_a_batch_writes_only_what_it_touches(spark, tmp_path):
+    """Six stations over ten hours; one late snapshot of one station then concerns two of its hours at most."""
+    whole = reduce(lambda a, b: a.union(b), [minutes(spark, s, 0, 600, 2) for s in "abcdef"])
+    late = minutes(spark, "c", 121, 122)
+    log = _log_of(spark, tmp_path, [whole, late], P.but(derive_lookback_hours=24))
+    written = log.where("batch = 1").select("station_short_name", "hour_ts").collect()
+    assert {r.station_short_name for r in written} == {"sc"} and 1 <= len(written) <= 2
+    # The first hour lacks its first interval and so is not covered; the last one is open.
+    assert log.where("batch = 0 and departures is not null").count() == 6 * 8
+    info = spark.createDataFrame([(x, f"s{x}") for x in "abcdef"], "station_id string, short_name string")
+    all_rows = whole.union(late)
+    expected = px.drop_open_hour(px.hourly_proxy(px.interval_departures(all_rows, P), info, P), px.newest_snapshot_hour(all_rows, P))
+    names = ("station_short_name", "hour_ts", "departures", "n_intervals")
+    assert as_set(sr.current_hours(log), *names) == as_set(expected, *names)
+
+
+def test_a_wide_gap_is_derived_again_on_its_far_side(spark, tmp_path):
+    """A late snapshot in the middle of a usable gap of hours changes the hour at the end of the gap."""
+    p = P.but(max_gap_minutes=300.0, max_staleness_minutes=600.0, sample_spacing_seconds=3600.0)
+    rows = minutes(spark, "a", 0, 1000, 240)
+    late = minutes(spark, "a", 130, 131)
+    log = _log_of(spark, tmp_path, [rows, late, minutes(spark, "b", 2000, 2001)], p)
+    info = spark.createDataFrame([("a", "sa"), ("b", "sb")], "station_id string, short_name string")
+    whole = rows.union(late).union(minutes(spark, "b", 2000, 2001))
+    expected = px.drop_open_hour(px.hourly_proxy(px.interval_departures(whole, p.but(slice_minutes=600)), info, p), px.newest_snapshot_hour(whole, p))
+    names = ("station_short_name", "hour_ts", "departures", "n_intervals")
+    assert as_set(sr.current_hours(log), *names) == as_set(expected, *names) and expected.count() == 5
+
+
+def test_an_hour_that_loses_its_cover_is_withdrawn(spark, tmp_path):
+    closed = minutes(spark, "a", 0, 60).withColumn("is_renting", F.lit(0))
+    batches = [minutes(spark, "a", 0, 180), closed]
+    assert sr.current_hours(_log_of(spark, tmp_path, batches[:1])).count() == 2
+    left = sr.current_hours(_log_of(spark, tmp_path / "again", batches))
+    assert {r.hour_ts for r in left.collect()} == {START - timedelta(hours=4) + timedelta(hours=1)}
+
+
+def test_renamed_stations_are_derived_over_the_look_back(spark, tmp_path):
+    calls = []
+
+    def info(s):
+        calls.append(1)
+        return spark.createDataFrame([("a", "sa"), *([("b", "sb")] if len(calls) > 1 else [])], "station_id string, short_name string")
+
+    batches = [minutes(spark, "a", 0, 200).union(minutes(spark, "b", 0, 200)), minutes(spark, "a", 200, 201)]
+    log = _log_of(spark, tmp_path, batches, P.but(derive_lookback_hours=24), info)
+    assert log.where("batch = 0 and station_short_name = 'sb'").count() == 0
+    assert log.where("batch = 1 and station_short_name = 'sb' and departures is not null").count() == 3
+
+
+def test_expired_hours_are_left_alone(spark, tmp_path):
+    base = str(tmp_path / "t")
+    first = minutes(spark, "a", 0, 300)
+    log = _log_of(spark, tmp_path, [first])
+    before = as_set(sr.current_hours(log), "hour_ts", "departures")
+    sr.expire_snapshots(spark, f"{base}/snapshots", START + timedelta(minutes=200), P.but(snapshot_retention_hours=0.001))
+    process = sr.rederive_batch(f"{base}/snapshots", f"{base}/hourly", lambda s: spark.createDataFrame([("a", "sa")], "station_id string, short_name string"), P)
+    process(minutes(spark, "a", 30, 31), 1)
+    after = as_set(sr.current_hours(spark.read.parquet(f"{base}/hourly")), "hour_ts", "departures")
+    assert after == before and len(after) == 4
+
+
+def _match(spark, tmp_path, made, seen, delay="3 hours"):
+    """The streams' output; later parts land as later files."""
+    out = str(tmp_path / "out")
+    for name, parts in (("made", made), ("seen", seen)):
+        land(str(tmp_path / name), *parts)
+    streams = [ss.table_stream(spark, str(tmp_path / n), p[0].schema, 1) for n, p in (("made", made), ("seen", seen))]
+    smap = spark.createDataFrame([("s1", "x"), ("s2", "x"), ("s3", "y")], "station_short_name string, entity_id string")
+    tally = ss.run_available(match_stream(*streams, smap, delay), out, f"{out}-state")
+    rows = spark.read.parquet(out)
+    return rows.withColumn("target_hour_ts", utc_wall(rows, "target_hour_ts")), smap, tally
+
+
+def test_matched_stream_equals_batch_and_keeps_what_never_came(spark, tmp_path):
+    hour = lambda h: datetime(2026, 8, 1) + timedelta(hours=h)
+    made_schema = "entity_id string, target_hour_ts timestamp_ntz, predicted double, model_version string, predicted_at timestamp_ntz"
+    seen_schema = "station_short_name string, hour_ts timestamp_ntz, departures long"
+    predict = lambda hs, v, lead: spark.createDataFrame(
+        [(e, hour(h), float(h + len(v)), v, hour(h - lead)) for h in hs for e in ("x", "y", "z")], made_schema
+    )
+    observe = lambda hs: spark.createDataFrame(
+        [(s, hour(h), h + 1) for h in hs for s in ("s1", "s2", "s3", "unknown") if not (s == "s3" and h % 5 == 0)], seen_schema
+    )
+    # The second hour's demand comes last within the delay; the served version is made later but lands first.
+    made = [predict(range(0, 20), "late", 1), predict(range(0, 30), "early", 2), predict([2000], "end", 1)]
+    seen = [observe([0, 2, 3]), observe([1]), observe(range(4, 25)), observe([2000])]
+    got, smap, tally = _match(spark, tmp_path, made, seen)
+    ss.require_complete(tally)
+    all_made = reduce(lambda a, b: a.union(b), made[:2])
+    batch = ev.match_predictions(all_made, reduce(lambda a, b: a.union(b), seen[:3]), smap)
+    names = ("entity_id", "target_hour_ts", "predicted", "model_version", "actual")
+    assert as_set(got.where("actual is not null"), *names) == as_set(batch, *names) and batch.count() > 30
+    # One row per predicted entity and hour in all, those without demand included.
+    assert got.count() == got.select("entity_id", "target_hour_ts").distinct().count() == 30 * 3
+    p = P.but(min_samples=5, timezone="UTC")
+    known = got.where("actual is not null")
+    assert mo.rolling_accuracy(known, hour(24), p).collect() == mo.rolling_accuracy(batch, hour(24), p).collect()
+
+
+def test_state_of_the_match_ends_with_the_watermark(spark, tmp_path):
+    """However long the streams, what is held is a horizon's worth of hours."""
+    hour = lambda h: datetime(2026, 8, 1) + timedelta(hours=h)
+    made = [spark.createDataFrame([("x", hour(h), 1.0, hour(h - 1)) for h in range(a, a + 24)], "entity_id string, target_hour_ts timestamp_ntz, predicted double, predicted_at timestamp_ntz") for a in range(0, 240, 24)]
+    seen = [spark.createDataFrame([("s1", hour(h), 1) for h in range(a, a + 24)], "station_short_name string, hour_ts timestamp_ntz, departures long") for a in range(0, 240, 24)]
+    got, _, tally = _match(spark, tmp_path, made, seen)
+    assert got.count() >= 230 and ss.late_rows(tally) == 0
+    # After each batch at most a landed day and the delay are still open, in each of the three states.
+    assert tally.totals["state_rows"] <= tally.totals["batches"] * 4 * (24 + 3 + 1) * 2
+
+
 def test_feed_stream_survives_broken_documents(spark, tmp_path):
     landing, out = tmp_path / "feed", str(tmp_path / "out")
     landing.mkdir()
