@@ -1,11 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
 Every rule measures one number per document. Labelled documents are split in two by their id: the first part proposes
-cutoffs for every rule and stratum, the second part, the holdout, tests them. A cutoff is certified if the exact binomial
-test says that it rejects at most a share ``risk / number of rules`` of the good documents of its stratum, at a level
-that is divided by the number of all tests (Bonferroni). Of a rule's certified cutoffs the strictest is used; a rule
-without one rejects nothing in that stratum. With probability ``1 - delta`` at least, all strata at once keep a share of
-``1 - risk`` of their good documents.
+cutoffs for every rule and stratum, the second part, the holdout, tests them. The proposals form a fixed path of nested
+rule sets, from loose to strict: one rule after the other is added at its loosest cutoff, then tightened. A rule set is
+certified if the exact binomial test says that all its rules together reject at most a share ``risk`` of the stratum's
+good documents. Sets are tested along the path until one fails, which needs no correction for their number; the level
+``delta`` is divided among the strata (Bonferroni). The last certified set is used, none where the first one fails. With
+probability ``1 - delta`` at least, all strata at once keep a share of ``1 - risk`` of their good documents.
+
+A stratum needs ``log(delta / strata) / log(1 - risk)`` good holdout documents for its first certificate: 90 with five
+strata and the default risk.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 RULES = ("symbol_share", "repeat_share", "dup_line_share", "upper_share")
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(0x41, 0x5B))
-#: Shares of the good documents of the fitting part at which cutoffs are proposed.
-QUANTILES = (0.995, 0.999, 1.0)
+#: Shares of the good documents of the fitting part at which cutoffs are proposed, from loose to strict.
+QUANTILES = (1.0, 0.999, 0.995)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -108,43 +112,38 @@ def smallest_failures(n: int, p: float, level: float) -> int:
 def certified_cutoffs(
     labelled: DataFrame, stratum: str, risk: float, delta: float, quantiles: Sequence[float]
 ) -> DataFrame:
-    """``(stratum, cut_<rule>...)``, one row per stratum of labelled documents.
+    """``(stratum, cut_<rule>...)``, one row per stratum of labelled documents; a cutoff that is not certified is null.
 
     ``labelled`` holds the rule values, the stratum, ``good`` (boolean) and ``_holdout`` (boolean).
     """
-    share = risk / len(RULES)
+    shares = sorted(map(float, quantiles), reverse=True)
+    path = [(r, i) for i in range(len(shares)) for r in RULES]
     fit = labelled.where(~F.col("_holdout") & F.col("good"))
-    proposed = fit.groupBy(stratum).agg(*[F.percentile_approx(r, [float(q) for q in quantiles], 10000).alias(f"grid_{r}") for r in RULES])
+    proposed = fit.groupBy(stratum).agg(*[F.percentile_approx(r, shares, 10000).alias(f"grid_{r}") for r in RULES])
     # One row per stratum and a few numbers per rule. Settled, as the sketch can differ when it is computed anew.
     proposed = materialise(proposed, "cutoffs").withColumnRenamed(stratum, "_stratum")
     held = labelled.where(F.col("_holdout") & F.col("good"))
     tested = held.join(proposed, held[stratum].eqNullSafe(F.col("_stratum")))
-    counts = tested.groupBy(F.col("_stratum").alias("stratum")).agg(
+    # The sets are nested, so a document is rejected from its first rejecting step on.
+    first = F.least(*[F.when(F.col(r) > F.get(F.col(f"grid_{r}"), i), F.lit(k)) for k, (r, i) in enumerate(path)])
+    counts = tested.withColumn("_first", first).groupBy(F.col("_stratum").alias("stratum")).agg(
         F.count("*").alias("n"),
-        *[
-            F.sum((F.col(r) > F.get(F.col(f"grid_{r}"), i)).cast("long")).alias(f"over_{r}_{i}")
-            for r in RULES
-            for i in range(len(quantiles))
-        ],
+        F.array(*[F.count_if(F.col("_first") <= k) for k in range(len(path))]).alias("rejected"),
         *[F.first(f"grid_{r}").alias(f"grid_{r}") for r in RULES],
     )
     counts = materialise(counts, "rejections")
-    n_tests = max(1, counts.count()) * len(RULES) * len(quantiles)
+    level = delta / max(1, counts.count())
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            allowed = [smallest_failures(r["n"], share, delta / n_tests) for r in rows]
-            cuts = {"_stratum": column(batch, "stratum")}
-            for rule in RULES:
-                cuts[f"cut_{rule}"] = pa.array(
-                    [
-                        min((c for i, c in enumerate(r[f"grid_{rule}"]) if r[f"over_{rule}_{i}"] <= most), default=None)
-                        for r, most in zip(rows, allowed, strict=True)
-                    ],
-                    pa.float64(),
-                )
-            yield pa.RecordBatch.from_pydict(cuts)
+            cuts: dict[str, list] = {rule: [] for rule in RULES}
+            for r in batch.to_pylist():
+                most = smallest_failures(r["n"], risk, level)
+                certified = path[: sum(n <= most for n in r["rejected"])]
+                for rule in RULES:
+                    cuts[rule].append(min((r[f"grid_{rule}"][i] for name, i in certified if name == rule), default=None))
+            columns = {f"cut_{rule}": pa.array(found, pa.float64()) for rule, found in cuts.items()}
+            yield pa.RecordBatch.from_pydict({"_stratum": column(batch, "stratum"), **columns})
 
     kind = counts.schema["stratum"].dataType.simpleString()
     return counts.mapInArrow(decide, f"_stratum {kind}, " + ", ".join(f"cut_{r} double" for r in RULES))
@@ -184,7 +183,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **learning)
     """The columns of ``docs`` plus measures, rule values, ``base_failed`` and ``kept`` (never null), one row per row.
 
     Null and empty texts have no words and fail the base rules. Repeated rows are judged alike. A null stratum is a
-    stratum of its own. Without labels nothing is certified and only the base rules reject.
+    stratum of its own. In a stratum without enough labels nothing is certified and only the base rules reject.
     """
     narrow = materialise(with_measures(docs.select("doc_id", stratum, "text")).drop("text"), "measures")
     return with_verdict(with_measures(docs), learn_cutoffs(narrow, labels, stratum, **learning), stratum)

@@ -1,9 +1,13 @@
+import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from demandspark.llm.quality import MEASURES, binomial_tail, judge, measure, smallest_failures, with_measures
+from demandspark.llm.quality import (
+    MEASURES, QUANTILES, RULES, binomial_tail, certified_cutoffs, judge, measure, smallest_failures, with_measures,
+)
 from tests.llm.fixtures import awkward, documents, with_clashes
 
 WHITE = set(" \t\n\x0b\x0c\r")
@@ -68,6 +72,51 @@ def test_nothing_is_certified_without_enough_labels(spark):
     assert judge(docs, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_a_rare_stratum_is_judged(spark):
+    """Some 110 good holdout documents carry a certificate; those of the frequent stratum do not speak for them."""
+    docs, labels = labelled(spark)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") < 200, "rare").otherwise("en"))
+    out = judge(docs, labels).join(labels, "doc_id").where("lang = 'rare'").groupBy("quality", "kept").count().collect()
+    assert {(r.quality, r.kept): r["count"] for r in out} == {(1, True): 160, (0, False): 40}
+
+
+def plain_cutoffs(rows, risk, delta):
+    """Certification in plain Python: (stratum, holdout, values) of good documents to cutoffs per stratum."""
+    strata = {s for s, held, _ in rows if not held} & {s for s, held, _ in rows if held}
+    out = {}
+    for s in strata:
+        fit, held = ([v for t, h, v in rows if t == s and h == part] for part in (False, True))
+        n, cuts = len(held), [math.inf] * len(RULES)
+        for q in (1.0, 0.999, 0.995):
+            for i in range(len(RULES)):
+                tried = list(cuts)
+                tried[i] = sorted(v[i] for v in fit)[math.ceil(q * len(fit)) - 1]
+                bad = sum(any(x > c for x, c in zip(v, tried, strict=True)) for v in held)
+                tail = sum(math.comb(n, k) * risk**k * (1 - risk) ** (n - k) for k in range(bad + 1))
+                if tail > delta / len(strata):
+                    break
+                cuts = tried
+            else:
+                continue
+            break
+        out[s] = [None if math.isinf(c) else c for c in cuts]
+    return out
+
+
+def test_certification_equals_a_plain_version(spark):
+    rng = random.Random(5)
+    rows = []
+    for stratum, n, tail in (("a", 900, 0.0), ("b", 260, 0.3), (None, 60, 0.0), ("d", 500, 0.0)):
+        for _ in range(n):
+            held = rng.random() < 0.7
+            spread = 3.0 if held and stratum == "d" else 1.0
+            rows.append((stratum, held, [round(rng.random() ** 3 * spread * (1 + tail * i), 4) for i in range(len(RULES))]))
+    data = spark.createDataFrame([(s, h, True, *v) for s, h, v in rows], f"s string, _holdout boolean, good boolean, {', '.join(f'{r} double' for r in RULES)}")
+    got = {r["_stratum"]: [r[f"cut_{x}"] for x in RULES] for r in certified_cutoffs(data, "s", 0.05, 0.05, QUANTILES).collect()}
+    want = plain_cutoffs(rows, 0.05, 0.05)
+    assert got == want and None not in want["a"] and want[None] == [None] * len(RULES)
+
+
 def test_awkward_rows(spark):
     docs = with_clashes(documents(spark))
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, None), (999, 1, 0)], "doc_id long, quality int, toxic int")
