@@ -42,15 +42,13 @@ def uniform(key: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, max_copies: int) -> DataFrame:
-    """``(source, source_size, target, mean_weight)``: weights repeat over the sources in code point order, null last.
+    """``(source, source_size, target)``: weights repeat over the sources in code point order, null last.
 
     The budget is shared by weight, and targets stop at ``max_copies`` times the source; what is over is shared again
     among the others. In order of the share at which a source fills up, the filled sources come first: the common level
     is found from running sums, without iterating.
     """
-    per = sizes.groupBy("source").agg(
-        F.sum("_size").alias("source_size"), F.try_divide(F.sum(F.col("_w") * F.col("_size")), F.sum("_size")).alias("mean_weight")
-    )
+    per = sizes.groupBy("source").agg(F.sum("_size").alias("source_size"))
     # One row per source from here on.
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     listed = F.array(*[F.lit(float(w)) for w in weights])
@@ -69,7 +67,50 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, ma
     # The level of the first source that does not fill up holds for it and all after it.
     level = F.first(F.when(~F.col("filled"), F.col("level")), ignorenulls=True).over(everything)
     target = F.least(F.col("cap"), F.coalesce(F.col("weight") * level, F.col("cap")))
-    return per.select("source", "source_size", target.alias("target"), F.coalesce("mean_weight", F.lit(1.0)).alias("mean_weight"))
+    return per.select("source", "source_size", target.alias("target"))
+
+
+def first_open(rows: DataFrame, bin_of: Column, max_copies: int) -> DataFrame:
+    """The heaviest bin of weights, per source, that ``max_copies`` of all its documents would not fit into the target.
+
+    ``rows`` carry ``_above``, the words of heavier documents that are full, and ``_below``, the weighted words of all
+    lighter ones. Documents of weight w are full if the target holds what the level ``max_copies / w`` would take.
+    """
+    bins = rows.groupBy("source", bin_of.alias("_bin")).agg(
+        F.sum("_size").alias("_words"), F.sum(F.col("_w") * F.col("_size")).alias("_mass"), F.min("_w").alias("_low"),
+        F.max("_w").alias("_high"), *[F.first(c).alias(c) for c in ("_above", "_below", "target")],
+    )
+    order = Window.partitionBy("source").orderBy(F.col("_bin").desc())
+    above = F.col("_above") + F.coalesce(F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.col("_below") + F.coalesce(F.sum("_mass").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    bins = bins.withColumns({"_above": above, "_below": below})
+    takes = max_copies * (F.col("_above") + F.col("_words") + F.col("_below") / F.col("_low"))
+    found = F.max_by(F.struct("_bin", "_above", "_below", "_mass", "_low", "_high"), "_bin")
+    out = bins.where(takes > F.col("target")).groupBy(F.col("source").alias("_s")).agg(found.alias("_open"))
+    return materialise(out.select("_s", "_open.*"), "open")
+
+
+def with_levels(targets: DataFrame, sizes: DataFrame, max_copies: int) -> DataFrame:
+    """``targets`` plus ``level``, the copies per unit of weight at which the documents of a source, none taken more than
+    ``max_copies`` times, reach its target; null where even all full ones do not.
+
+    What the heaviest documents may not take is thereby shared by weight among the others. The lightest full weight is
+    searched within bins of equal ratio, then within 4096 bins, then among the weights that are left: no source is sorted.
+    """
+    on = F.col("source").eqNullSafe(F.col("_s"))
+    rows = sizes.where((F.col("_w") > 0) & (F.col("_size") > 0)).select("source", "_size", "_w")
+    rows = rows.join(targets.select(F.col("source").alias("_s"), "target"), on).drop("_s")
+    octave = F.floor(F.log2("_w") * 8)
+    at = first_open(rows.withColumns({"_above": F.lit(0).cast("long"), "_below": F.lit(0.0)}), octave, max_copies)
+    rows = rows.join(at, on & (octave == F.col("_bin"))).drop("_s", "_bin")
+    fine = F.least(F.floor(F.coalesce(F.try_divide(F.col("_w") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)) * BINS), F.lit(BINS - 1))
+    rows = rows.select("source", "_size", "_w", "target", "_above", "_below", fine.alias("_fine"))
+    at = first_open(rows, F.col("_fine"), max_copies)
+    rows = rows.drop("_above", "_below").join(at, on & (F.col("_fine") == F.col("_bin"))).drop("_s", "_bin")
+    at = first_open(rows, F.col("_w"), max_copies)
+    level = (F.col("target") - max_copies * F.col("_above")) / (F.col("_mass") + F.col("_below"))
+    out = targets.join(at, on, "left").withColumn("level", level)
+    return materialise(out.select(*targets.columns, "level"), "levels")
 
 
 def ranked(rows: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
@@ -77,7 +118,10 @@ def ranked(rows: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
     null where nothing is left to draw."""
     on = targets.withColumnRenamed("source", "_source")
     out = rows.join(on, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * (F.col("_w") / F.col("mean_weight")))
+    if "level" in targets.columns:
+        wanted = F.when(F.col("_w") > 0, F.coalesce(F.col("level") * F.col("_w"), F.lit(float(max_copies))))
+    else:
+        wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
     out = out.withColumn("_wanted", F.least(F.coalesce(wanted, F.lit(0.0)), F.lit(float(max_copies))))
     out = out.withColumn("_certain", F.floor("_wanted"))
     out = out.withColumn("_p", F.col("_wanted") - F.col("_certain"))
@@ -133,16 +177,20 @@ def mix_sources(
 ) -> DataFrame:
     """The columns of ``docs`` plus ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (= copies x size).
 
-    ``doc_weight`` names a column by which the documents of a source are favoured; without it all are alike. A source
-    misses its target by half of the document at its cut at most. Null texts have size 0 and are never sampled; null
+    ``doc_weight`` names a column by which the documents of a source are favoured; without it all are alike. What a
+    favoured document may not take beyond ``max_copies`` is shared by weight among the others; null, negative and zero
+    weights take nothing. A source misses its target by half of the document at its cut at most, unless its documents of
+    positive weight cannot fill it. Null texts have size 0 and are never sampled; null
     sources are one source. Rows with the same id in a source, repeated rows included, are drawn together; rows without
     an id are drawn by their text. An empty table gives an empty result. Columns named like the added ones are replaced.
     """
-    weight = F.coalesce(F.col(doc_weight).cast("double"), F.lit(0.0)) if doc_weight else F.lit(1.0)
+    weight = F.greatest(F.col(doc_weight).cast("double"), F.lit(0.0)) if doc_weight else F.lit(1.0)
     facts = {"_size": word_count(F.col("text")), "_u": uniform(ticket(seed)), "_tie": ticket(seed), "_w": weight}
     rows = docs.withColumns(facts)
     sizes = materialise(rows.select("source", *facts), "sizes")
     targets = materialise(source_targets(sizes, weights, budget, max_copies), "targets")
+    if doc_weight:
+        targets = with_levels(targets, sizes, max_copies)
     cuts = cut_points(sizes, targets, max_copies)
     drawn = ranked(rows.drop(*ADDED), cuts, max_copies)
     here = F.struct(F.col("_x").alias("x"), F.col("_tie").alias("tie"))

@@ -63,6 +63,30 @@ def test_weighted_documents(spark):
     assert n[3] / n[1] == pytest.approx(3, rel=0.2) and n[2] / n[1] == pytest.approx(2, rel=0.2)
 
 
+def test_excess_of_a_heavy_document_is_shared_again(spark):
+    rows = [(i, "word", "s", 100.0 if i == 0 else 1.0) for i in range(10)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, w double"), doc_weight="w").collect()
+    assert sum(r.taken for r in out) == 15 and {r.copies for r in out if r.doc_id == 0} == {2}
+
+
+def test_weighted_sources_reach_their_targets(spark):
+    """Weights over many orders of magnitude, ties, zeros and nulls: every source ends within its cut document."""
+    i = F.col("id")
+    docs = spark.range(9000).select(
+        i.alias("doc_id"), F.repeat(F.lit("w "), (i % 13).cast("int")).alias("text"), (i % 3).cast("string").alias("source"),
+        F.when(i % 7 == 0, 0.0).when(i % 11 != 0, F.pow(F.lit(1.01), (i * 7919) % 2000)).alias("w"),
+    )
+    out = mix_sources(docs, weights=(3, 1, 2), budget=1.2, doc_weight="w")
+    per = out.groupBy("source").agg(
+        F.sum("taken").alias("t"), F.max("target").alias("want"), F.sum(F.when(F.col("w") > 0, F.col("size"))).alias("usable"),
+        F.count_if((F.coalesce("w", F.lit(0.0)) <= 0) & (F.col("taken") > 0)).alias("wrong"),
+    ).collect()
+    assert len(per) == 3
+    for r in per:
+        assert r.wrong == 0 and abs(r.t - min(r.want, 2 * r.usable)) <= 7
+    assert any(r.want < 2 * r.usable for r in per) and any(r.want > 2 * r.usable for r in per)
+
+
 def test_no_python_on_the_main_path(spark):
     plan = mix_sources(documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("LogicalRDD", ""))
