@@ -2,8 +2,8 @@
 
 Character 1- to 3-grams are hashed into a fixed number of features and weighted by TF-IDF; document frequencies are
 counted over all training documents. Weights are learned by follow-the-regularised-leader with L1 and L2 penalties
-(FTRL-proximal): shards of a bounded training sample run it side by side on the executors, and the shards' weights are
-averaged after every pass. A part of the sample is held back to fit one temperature that calibrates the scores.
+(FTRL-proximal): shards of a bounded training sample run it side by side on the executors, and the sums ``z`` and ``n``
+that FTRL keeps, of which the weights are a function, are averaged after every pass and carried into the next one. A part of the sample is held back to fit one temperature that calibrates the scores.
 """
 
 from __future__ import annotations
@@ -68,14 +68,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Ftrl:
-    """FTRL-proximal state of one shard: the weights follow from the sums ``z`` and ``n`` and are exactly 0 within L1."""
+    """FTRL-proximal state: the weights follow from the sums ``z`` and ``n`` and are exactly 0 within L1."""
 
-    def __init__(self, weights: np.ndarray, s: Settings):
-        self.s = s
-        self.n = np.ones_like(weights)
-        # The state whose weights are the given ones.
-        scale = (s.beta + 1.0) / s.alpha + s.l2
-        self.z = -weights * scale - np.sign(weights) * s.l1
+    def __init__(self, z: np.ndarray, n: np.ndarray, s: Settings):
+        self.z, self.n, self.s = z.copy(), n.copy(), s
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z, s = self.z[at], self.s
@@ -142,9 +138,9 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     languages = tuple(r.lang for r in counts)
     df, n_docs = document_frequency(usable, s)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    weights = np.zeros((s.features, len(languages)))
+    z, n = (np.zeros((s.features, len(languages))) for _ in range(2))
     if not languages:
-        return Model(s, (), idf, weights, 1.0)
+        return Model(s, (), idf, z, 1.0)
     # Sampled by hash; each language may fill an equal part of the bound, so that rare ones are learned too.
     share = -(-s.max_train // len(languages))
     chance = F.lit(float(share)) / F.get(F.array(*[F.lit(float(r["count"])) for r in counts]), F.col("label"))
@@ -175,30 +171,39 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
         for shard, label, at, x in zip(*(column(batch, c).to_pylist() for c in ("shard", "label", "at", "x")), strict=True):
             yield shard, label, np.frombuffer(at, np.int32), np.frombuffer(x, np.float32).astype(np.float64)
 
+    n_fit = data.where("shard >= 0").count()
     for _ in range(s.passes):
-        start = spark.sparkContext.broadcast(weights)
+        start = spark.sparkContext.broadcast((z, n))
 
         def learn(batches: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            out = pa.schema([("weights", pa.binary()), ("n", pa.int64())])
-            state, current, n = None, None, 0
+            out = pa.schema([("at", pa.binary()), ("dz", pa.binary()), ("dn", pa.binary()), ("rows", pa.int64())])
+            state, current, rows, met = None, None, 0, None
+
+            def moved() -> pa.RecordBatch:
+                """How far the shard has moved the features that it has met; the others are not sent."""
+                at = np.flatnonzero(met)
+                dz, dn = state.z[at] - start.value[0][at], state.n[at] - start.value[1][at]
+                return batch_of(out, [at.astype(np.int64).tobytes()], [dz.tobytes()], [dn.tobytes()], [rows])
+
             for batch in batches:
                 for shard, label, at, x in unpack(batch):
                     if shard != current:
                         if state is not None:
-                            yield batch_of(out, [state.weights().tobytes()], [n])
-                        state, current, n = Ftrl(start.value, s), shard, 0
+                            yield moved()
+                        state, current, rows, met = Ftrl(*start.value, s), shard, 0, np.zeros(s.features, bool)
                     state.learn(at, x, label)
-                    n += 1
+                    met[at] = True
+                    rows += 1
             if state is not None:
-                yield batch_of(out, [state.weights().tobytes()], [n])
+                yield moved()
 
-        # At most `shards` rows of features x languages numbers.
-        parts = fit.mapInArrow(learn, "weights binary, n long").collect()
-        if parts:
-            total = sum(p.n for p in parts)
-            parts = sorted((p.n, bytes(p.weights)) for p in parts)
-            weights = sum(np.frombuffer(w).reshape(weights.shape) * (n / total) for n, w in parts)
+        # One row per shard, one after the other, in the order of the shards.
+        for part in fit.mapInArrow(learn, "at binary, dz binary, dn binary, rows long").toLocalIterator():
+            at = np.frombuffer(bytes(part.at), np.int64)
+            for total, moved in ((z, part.dz), (n, part.dn)):
+                total[at] += np.frombuffer(bytes(moved)).reshape(len(at), -1) * (part.rows / n_fit)
 
+    weights = Ftrl(z, n, s).weights()
     final = spark.sparkContext.broadcast(weights)
 
     def logits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
