@@ -5,11 +5,16 @@ segment runs two Bloom filters: a hash that the once-seen filter already holds g
 pass looks every line up in the twice-seen filters; only the suspected repeats are shuffled, as whole keys, to be
 counted exactly and to find each key's first occurrence. False positives of the filters cost a few extra rows in that
 shuffle and never change the result; there are no false negatives.
+
+Filters that are small enough are broadcast for the second pass. Larger ones stay where they are: packed hashes are sent
+to their segment, which sends the suspected ones back to their documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -89,23 +94,73 @@ def repeat_filters(docs: DataFrame, n_segments: int, once_bits: int, twice_bits:
 
 def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[tuple[bytes, bytes]]]]:
     """Rows of a sorted stream by segment, handed on as they come: a segment's packed hashes are never held together."""
-    current: list = [None]
     rows = (
         (s, a, b)
         for batch in batches
         for s, a, b in zip(*(column(batch, n).to_pylist() for n in ("segment", "single", "several")), strict=True)
     )
-    row = next(rows, None)
+    for segment, found in groupby(rows, key=itemgetter(0)):
+        yield (segment,), ((a, b) for _, a, b in found)
+
 
-    def same() -> Iterator[tuple[bytes, bytes]]:
-        nonlocal row
-        while row is not None and row[0] == current[0]:
-            yield row[1], row[2]
-            row = next(rows, None)
+def identity(batch: pa.RecordBatch) -> list[tuple]:
+    """What a document is known by: whether it has no id, its id, and a hash of its text."""
+    ids = column(batch, "doc_id").to_pylist()
+    return [(i is None, i or 0, xxhash.xxh3_64_intdigest(t) >> 1) for i, t in zip(ids, texts(batch), strict=True)]
 
-    while row is not None:
-        current[0] = row[0]
-        yield (row[0],), same()
+
+def found_in_segments(docs: DataFrame, filters: DataFrame, n_segments: int, n_bits: int, min_chars: int, spread: int) -> DataFrame:
+    """``(no_id, id, mark, suspects)``: the hashes of a document's lines that the twice-seen filters hold.
+
+    Hashes travel packed, once per document, with the numbers of their owners. A segment whose hashes stand in very many
+    documents is spread over ``spread`` tasks by document, each with a copy of the filter, and none holds what it looks up.
+    """
+    # Filter rows come first within a segment and part, so their owner columns are null.
+    schema = pa.schema([("segment", pa.int32()), ("part", pa.int32()), ("filter", pa.binary()), ("hashes", pa.binary()), ("owners", pa.binary())])
+    ddl = "segment int, part int, filter binary, hashes binary, owners binary"
+    out = pa.schema([("no_id", pa.bool_()), ("id", pa.int64()), ("mark", pa.int64()), ("hash", pa.int64())])
+
+    def asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, owners = [], []
+            for who, text in zip(identity(batch), texts(batch), strict=True):
+                h = [xxhash.xxh3_64_intdigest(k) for k in set(keys_of(text, min_chars)) if k is not None]
+                hashes.append(np.array(h, np.uint64))
+                owners.append(np.tile(np.array(who, np.int64), (len(h), 1)))
+            hashes, owners = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*owners, np.zeros((0, 3), np.int64)])
+            segment, part = (hashes % np.uint64(n_segments)).astype(np.int64), owners[:, 2] % spread
+            order = np.lexsort((part, segment))
+            place = segment[order] * spread + part[order]
+            rows = [
+                (int(segment[at[0]]), int(part[at[0]]), None, hashes[at].tobytes(), owners[at].tobytes())
+                for at in np.split(order, np.flatnonzero(np.diff(place)) + 1) if len(at)
+            ]
+            yield batch_of(schema, *(list(zip(*rows, strict=True)) or [[]] * 5))
+
+    def answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bits = None, None
+        for batch in batches:
+            for s, p, filter_, hashes, owners in zip(*(column(batch, n).to_pylist() for n in schema.names), strict=True):
+                if filter_ is not None:
+                    held, bits = (s, p), np.frombuffer(filter_, np.uint8)
+                elif held == (s, p):
+                    h = np.frombuffer(hashes, np.uint64)
+                    hit = in_filter(bits, positions(h // np.uint64(n_segments), n_bits))
+                    who = np.frombuffer(owners, np.int64).reshape(-1, 3)[hit]
+                    yield batch_of(out, pa.array(who[:, 0] != 0), *[pa.array(np.ascontiguousarray(x)) for x in (who[:, 1], who[:, 2], h[hit].view(np.int64))])
+
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("hashes", "owners")]
+    parts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    copies = filters.select("segment", parts.alias("part"), F.col("bits").alias("filter"), *nothing)
+    rows = copies.union(docs.mapInArrow(asked, ddl)).withColumn("_late", F.col("filter").isNull())
+    rows = rows.repartition("segment", "part").sortWithinPartitions("segment", "part", "_late").drop("_late")
+    hits = rows.mapInArrow(answered, "no_id boolean, id long, mark long, hash long")
+    # Bounded by the lines of one document.
+    return hits.groupBy("no_id", "id", "mark").agg(F.collect_set("hash").alias("suspects"))
+
+
+def in_filter(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7) & 1).all(axis=1)
 
 
 class Suspects:
@@ -125,17 +180,35 @@ class Suspects:
 
 
 def suspected(batch: pa.RecordBatch, test: Suspects | None, min_chars: int) -> Iterator[list[tuple[int, bytes]]]:
-    """Per document of the batch, ``(line number, key)`` of the lines that may be repeats; all where there is no test."""
+    """Per document of the batch, ``(line number, key)`` of the lines that may be repeats: those that the test finds, or
+    whose hashes came back from the segments with the document."""
     keys = [keys_of(t, min_chars) for t in texts(batch)]
+    hashes = np.array([xxhash.xxh3_64_intdigest(k or b"") for ks in keys for k in ks], np.uint64)
     if test is None:
-        hit = iter(np.ones(sum(map(len, keys)), bool).tolist())
+        returned = column(batch, "suspects").to_pylist()
+        of = iter(hashes.view(np.int64).tolist())
+        hit = iter([next(of) in held for ks, r in zip(keys, returned, strict=True) for held in (frozenset(r or ()),) for _ in ks])
     else:
-        hashes = np.array([xxhash.xxh3_64_intdigest(k or b"") for ks in keys for k in ks], np.uint64)
         hit = iter(test(hashes).tolist())
     for ks in keys:
         yield [(i, k) for i, k in enumerate(ks) if next(hit) and k is not None]
 
 
+def known_by(docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``facts`` for their ``(no_id, id, mark)``, null where it has none."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield replace_columns(batch, {"_mark": pa.array([x[2] for x in identity(batch)], pa.int64())})
+
+    marked = docs.mapInArrow(mark, f"{fields}, _mark long")
+    told = [c for c in facts.columns if c not in ("no_id", "id", "mark")]
+    facts = facts.select(F.when(~F.col("no_id"), F.col("id")).alias("_id"), F.col("mark").alias("_m"), *told)
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m"))
+    return marked.join(facts, on, "left").drop("_id", "_m", "_mark")
+
+
 def dedup_lines(
     docs: DataFrame,
     min_docs: int = 2,
@@ -144,6 +217,7 @@ def dedup_lines(
     bits_per_line: int = 10,
     segment_lines: int = 1 << 20,
     broadcast_bytes: int = 64 << 20,
+    spread: int = 32,
 ) -> DataFrame:
     """Drop lines whose key (trimmed, A-Z lower-cased) stands in at least ``min_docs`` documents.
 
@@ -155,8 +229,8 @@ def dedup_lines(
     text is one empty line; a document that loses all lines keeps its row with an empty text. Keys under ``min_chars``
     code points are never dropped. An empty table gives an empty result.
 
-    Filters, and the confirmed keys, are broadcast while they are within ``broadcast_bytes``. Beyond it, all keys are
-    confirmed by the shuffle, and the decisions reach the documents by a join.
+    Filters, and the confirmed keys, are broadcast while they are within ``broadcast_bytes``. Beyond it, hashes are looked
+    up in their segments, and suspects as well as decisions reach the documents by a join.
     """
     if keep not in ("first", "none"):
         raise ValueError(f"keep must be 'first' or 'none', not {keep!r}")
@@ -165,19 +239,21 @@ def dedup_lines(
     n_segments = max(1, -(-n_lines // segment_lines))
     per_segment = -(-n_lines // n_segments)
     once_bits, twice_bits = power_of_two(bits_per_line * per_segment), power_of_two(bits_per_line * per_segment / 4)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    filters = repeat_filters(docs, n_segments, once_bits, twice_bits, min_chars)
     test = None
     if n_segments * twice_bits // 8 <= broadcast_bytes:
-        rows = repeat_filters(docs, n_segments, once_bits, twice_bits, min_chars).toLocalIterator()
+        rows = filters.toLocalIterator()
         test = spark.sparkContext.broadcast(Suspects({r.segment: bytes(r.bits) for r in rows}, n_segments, twice_bits))
+    else:
+        suspects = found_in_segments(narrow, materialise(filters, "filters"), n_segments, twice_bits, min_chars, spread)
+        # Read twice, for the counts and for the places; only documents with a suspected line are kept.
+        narrow = materialise(known_by(narrow, suspects).where(F.col("suspects").isNotNull()), "suspects")
 
     counted = pa.schema(
         [("key", pa.binary()), ("n_docs", pa.int64()), ("no_id", pa.bool_()), ("id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32())]
     )
 
-    def identity(batch: pa.RecordBatch) -> list[tuple]:
-        ids = column(batch, "doc_id").to_pylist()
-        return [(i is None, i or 0, xxhash.xxh3_64_intdigest(t) >> 1) for i, t in zip(ids, texts(batch), strict=True)]
-
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, list] = {}
@@ -190,7 +266,6 @@ def dedup_lines(
             rows = [(k, n, *first) for k, (n, first, _) in found.items()]
             yield batch_of(counted, *(list(zip(*rows, strict=True)) or [[]] * 6))
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = narrow.mapInArrow(count, "key binary, n_docs long, no_id boolean, id long, mark long, line int")
     confirmed = seen.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min(F.struct("no_id", "id", "mark", "line")).alias("first"))
     confirmed = materialise(confirmed.where(F.col("n_docs") >= min_docs).select("key", "first.*"), "repeats")
@@ -233,26 +308,20 @@ def dedup_lines(
             rows = [(k, *who, i) for who, lines in zip(identity(batch), hits, strict=True) for i, k in lines]
             yield batch_of(where, *(list(zip(*rows, strict=True)) or [[]] * 5))
 
-    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield replace_columns(batch, {"_mark": pa.array([x[2] for x in identity(batch)], pa.int64())})
-
     places = narrow.mapInArrow(place, "key binary, no_id boolean, id long, mark long, line int")
     known = confirmed.select("key", F.struct("no_id", "id", "mark", "line").alias("first"))
     drops = places.distinct().join(known, "key")
     if first_stays:
         drops = drops.where(F.struct("no_id", "id", "mark", "line") != F.col("first"))
     drops = materialise(drops.groupBy("no_id", "id", "mark").agg(F.collect_list("line").alias("_drop")), "drops")
-    marked = plain.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(mark, f"{fields}, _mark long")
-    drops = drops.select(F.when(~F.col("no_id"), F.col("id")).alias("_id"), F.col("mark").alias("_m"), "_drop")
-    joined = marked.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")), "left")
+    joined = known_by(plain.withColumn("doc_id", F.col("doc_id").cast("long")), drops)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dropped = [set(d or ()) for d in column(batch, "_drop").to_pylist()]
             yield rewritten(batch.drop_columns(["_drop"]), dropped)
 
-    return joined.drop("_id", "_m", "_mark").mapInArrow(cut, f"{fields}, n_lines long, n_dropped long")
+    return joined.mapInArrow(cut, f"{fields}, n_lines long, n_dropped long")
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from demandspark.llm.lines import Suspects, dedup_lines, positions
+from demandspark.llm import lines
+from demandspark.llm.lines import Suspects, dedup_lines, found_in_segments, positions, repeat_filters
 from tests.llm.fixtures import awkward, documents, with_clashes
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -40,6 +42,21 @@ def test_equals_brute_force(spark, keep, min_docs, broadcast_bytes):
     assert result(got) == sorted(brute(rows, min_docs, keep), key=str)
 
 
+def test_filters_too_large_to_send_still_decide(spark, monkeypatch):
+    """Beyond the broadcast bound the segments look the hashes up: lines seen once never leave their documents, and with
+    filters that hold nothing no line is dropped."""
+    rows = [(i, f"shared by all\nonly here {i}\npair {i // 2}", "s", "en", 0) for i in range(60)]
+    docs = documents(spark, rows)
+    asked = found_in_segments(docs, repeat_filters(docs, 4, 1 << 14, 1 << 14, 1), 4, 1 << 14, 1, 3)
+    found = {r.id: len(r.suspects) for r in asked.collect()}
+    assert set(found) == set(range(60)) and sum(found.values()) <= 60 * 2 + 2
+    far = dict(segment_lines=20, broadcast_bytes=-1, spread=3)
+    assert {r.text for r in dedup_lines(docs, 10, "none", **far).collect()} == {f"only here {i}\npair {i // 2}" for i in range(60)}
+    none = lambda *a: repeat_filters(*a).withColumn("bits", F.unhex(F.repeat(F.lit("00"), F.length("bits"))))
+    monkeypatch.setattr(lines, "repeat_filters", none)
+    assert {r.n_dropped for r in dedup_lines(docs, 2, "none", **far).collect()} == {0}
+
+
 def test_columns_and_empty_table(spark):
     docs = with_clashes(documents(spark))
     out = dedup_lines(docs, 2)
