@@ -176,14 +176,14 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
         start = spark.sparkContext.broadcast((z, n))
 
         def learn(batches: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            out = pa.schema([("at", pa.binary()), ("dz", pa.binary()), ("dn", pa.binary()), ("rows", pa.int64())])
+            out = pa.schema([("shard", pa.int32()), ("at", pa.binary()), ("dz", pa.binary()), ("dn", pa.binary()), ("rows", pa.int64())])
             state, current, rows, met = None, None, 0, None
 
             def moved() -> pa.RecordBatch:
                 """How far the shard has moved the features that it has met; the others are not sent."""
                 at = np.flatnonzero(met)
                 dz, dn = state.z[at] - start.value[0][at], state.n[at] - start.value[1][at]
-                return batch_of(out, [at.astype(np.int64).tobytes()], [dz.tobytes()], [dn.tobytes()], [rows])
+                return batch_of(out, [current], [at.astype(np.int64).tobytes()], [dz.tobytes()], [dn.tobytes()], [rows])
 
             for batch in batches:
                 for shard, label, at, x in unpack(batch):
@@ -197,8 +197,9 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
             if state is not None:
                 yield moved()
 
-        # One row per shard, one after the other, in the order of the shards.
-        for part in fit.mapInArrow(learn, "at binary, dz binary, dn binary, rows long").toLocalIterator():
+        # One row per shard, learned side by side, then added one after the other in the order of the shards.
+        moves = materialise(fit.mapInArrow(learn, "shard int, at binary, dz binary, dn binary, rows long"), "moves")
+        for part in moves.orderBy("shard").toLocalIterator():
             at = np.frombuffer(bytes(part.at), np.int64)
             for total, moved in ((z, part.dz), (n, part.dn)):
                 total[at] += np.frombuffer(bytes(moved)).reshape(len(at), -1) * (part.rows / n_fit)
