@@ -1,10 +1,10 @@
 """License scans over a positional rare-token index.
 
-The index holds, for each word of the licence templates and phrases, where it stands in them. A file's licence words are
-ranked by IDF, which is measured over the whole corpus. The rarest of each template are looked up: each occurrence in the
-file and each place in the template give a relative position, and where several different words agree on it the template
-is a candidate, as it is where a mandatory phrase stands. It is accepted if its mandatory key phrases stand where that position puts them. Key phrases are found the
-same way, from the rarest word of each, so that every place of a phrase is seen, whatever else a file holds.
+The index holds, for each word of the licence templates, the templates and the places where it stands in them. A file's
+licence words are looked up from rare to frequent, by an IDF measured over the whole corpus. Each occurrence in the file
+and each place in a template give a relative position; where several different words agree on it, and only there, the
+template's mandatory key phrases are verified at their places. Base phrases of the contract are sought from the rarest
+word of each, so that every place is counted.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,92 +56,116 @@ TEMPLATES = (
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ("redistribution and use in source and binary forms", "permitted provided that the following conditions are met")),
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("for any purpose with or without fee is hereby granted",)),
     Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ("terms of the mozilla public license v 2 0",)),
+    Template("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.", ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce the above copyright notice")),
+    Template("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("to endorse or promote products derived from this software without specific prior written permission",)),
+    Template("mit-whole", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", ("permission is hereby granted free of charge", "shall be included in all copies or substantial portions of the software")),
+    Template("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", ("permission is granted to anyone to use this software for any purpose including commercial applications",)),
+    Template("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software", ("use reproduce display distribute execute and transmit the software",)),
     Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution",)),
     Template("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ("free and unencumbered software released into the public domain",)),
 )
 
 
+def read_templates(folder: str | Path, key_words: int = 8) -> tuple[Template, ...]:
+    """Whole licence texts, a file each, labelled by file name; the first words (the title) are the mandatory phrase."""
+    files = sorted(f for f in Path(folder).iterdir() if f.is_file())
+    texts_ = [(f.name.lower(), f.read_text(errors="replace")) for f in files]
+    titles = [b" ".join(words_of(text.encode())[:key_words]).decode() for _, text in texts_]
+    return tuple(Template(n, text, (title,)) for (n, text), title in zip(texts_, titles, strict=True) if title)
+
+
 class Index:
-    """Postings of templates and phrases, with the IDF of their words."""
+    """Postings of licence words over all templates, with the IDF of the words.
+
+    A template can only stand where its key phrase (the mandatory one of the highest IDF) does, whose words then agree
+    on one position whatever else the file holds. Looking words up in IDF order until ``agree`` of the key phrase and
+    ``n_rare`` of the template are among them thus finds every place: no other words can crowd a template out.
+    """
 
     def __init__(self, base: dict[str, str], templates: tuple[Template, ...], df: dict[bytes, int], n_docs: int,
                  n_rare: int = 12, agree: int = 3, slack: int = 8):
-        self.base, self.n_rare, self.agree, self.slack = base, n_rare, agree, slack
-        self.labels = [t.label for t in templates]
-        self.texts = [words_of(t.text.encode()) for t in templates]
+        self.base, self.n_rare, self.slack = {p: (label, words_of(p.encode())) for p, label in base.items()}, n_rare, slack
         self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) for w in vocabulary(base, templates)}
-        #: Of each template, its words with their places in it, and the words from rare to frequent.
-        self.postings: list[dict[bytes, list[int]]] = []
-        for ws in self.texts:
-            own: dict[bytes, list[int]] = defaultdict(list)
+        self.labels = [t.label for t in templates]
+        #: Each word's templates, with its places in them.
+        self.postings: dict[bytes, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.weight: list[float] = []
+        #: Of each template, the words of its mandatory phrases and of the key phrase, and the phrases with their places
+        #: and rarest words.
+        self.needed: list[set[bytes]] = []
+        self.key: list[set[bytes]] = []
+        self.mandatory: list[list[tuple[list[bytes], int, int]]] = []
+        for t, template in enumerate(templates):
+            ws = words_of(template.text.encode())
             for i, w in enumerate(ws):
-                own[w].append(i)
-            self.postings.append(dict(own))
-        self.ranked = [sorted(own, key=lambda w: (-self.idf[w], w)) for own in self.postings]
-        self.weight = [sum(self.idf[w] for w in set(ws)) for ws in self.texts]
-        phrases = dict.fromkeys([*base, *(m for t in templates for m in t.mandatory)])
-        self.phrases = {p: words_of(p.encode()) for p in phrases}
-        #: Rarest word of each phrase to the phrases and its place in them.
-        self.anchors: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
-        for p, ws in self.phrases.items():
-            i = max(range(len(ws)), key=lambda i, ws=ws: (self.idf[ws[i]], -i))
-            self.anchors[ws[i]].append((p, i))
-        #: Of each template, its mandatory phrases and their places in it.
-        self.mandatory = [[(m, place(self.texts[t], self.phrases[m])) for m in x.mandatory] for t, x in enumerate(templates)]
-
-    def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
+                self.postings[w][t].append(i)
+            self.weight.append(sum(self.idf[w] for w in sorted(set(ws))))
+            phrases = [words_of(m.encode()) for m in template.mandatory]
+            self.mandatory.append([(p, place(ws, p), self.rarest(p)) for p in phrases])
+            self.needed.append({w for p in phrases for w in p})
+            self.key.append(max((set(p) for p in phrases), key=lambda ws: sum(self.idf[w] for w in sorted(ws))))
+        #: How many different words have to agree on a position.
+        self.votes = [min(agree, len(key)) for key in self.key]
+        self.postings = {w: dict(own) for w, own in self.postings.items()}
+
+    def rarest(self, phrase: list[bytes]) -> int:
+        return max(range(len(phrase)), key=lambda i: (self.idf[phrase[i]], -i))
+
+    def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float, float]:
         words = words_of(text)
         at: dict[bytes, list[int]] = defaultdict(list)
         idf = self.idf
         for i, w in enumerate(words):
             if w in idf:
                 at[w].append(i)
-        if not at:
-            return len(words), 0, None, None, "", "", 0.0
-        places: dict[str, list[int]] = defaultdict(list)
-        for w in at:
-            for p, shift in self.anchors.get(w, ()):
-                ws = self.phrases[p]
-                places[p] += [i - shift for i in at[w] if i >= shift and words[i - shift : i - shift + len(ws)] == ws]
-        base = [(p, s) for p in self.base for s in places.get(p, ())]
-        labels = {self.base[p] for p, _ in base}
+        starts, labels = [], set()
+        for label, phrase in self.base.values():
+            if found := list(stands(words, at, phrase, self.rarest(phrase), 0, len(words))):
+                starts += found
+                labels.add(label)
         base_labels = ",".join(sorted(labels))
-        score = 0.5 if base else 0.0
-        for label, share in self.matches(at, places):
-            labels.add(label)
-            score = max(score, 0.5 + 0.5 * share)
-        starts = [s for _, s in base]
-        return (len(words), len(base), min(starts, default=None), max(starts, default=None), base_labels, ",".join(sorted(labels)), score)
-
-    def matches(self, at: dict[bytes, list[int]], places: dict[str, list[int]]) -> Iterator[tuple[str, float]]:
+        matches = dict(self.matches(words, at)) if at else {}
+        covered = max(matches.values(), default=0.0)
+        score = 0.5 + 0.5 * covered if matches else 0.5 if starts else 0.0
+        first, last = min(starts, default=None), max(starts, default=None)
+        return len(words), len(starts), first, last, base_labels, ",".join(sorted(labels | {*matches})), score, covered
+
+    def positions(self, at: dict[bytes, list[int]]) -> Iterator[tuple[int, int]]:
+        """Templates with the positions, in bins of ``slack`` words, that enough of the file's rarest words agree on."""
+        open_ = {t: [0, 0] for t, needed in enumerate(self.needed) if needed <= at.keys()}
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        seeds: set[tuple[int, int]] = set()
-        for t, phrases in enumerate(self.mandatory):
-            # Words of one template never take the place of another's.
-            for w in [w for w in self.ranked[t] if w in at][: self.n_rare]:
-                for i in self.postings[t][w]:
-                    for pos in at[w]:
-                        # Neighbouring bins overlap, so that words a few places apart can agree across a border.
-                        bin_ = (pos - i) // self.slack
-                        votes[t, bin_].add(w)
-                        votes[t, bin_ + 1].add(w)
-            # A place of a mandatory phrase is a candidate too, if enough different words stand around it.
-            for p, i in phrases:
-                for s in places.get(p, ()):
-                    seeds |= {(t, (s - i) // self.slack), (t, (s - i) // self.slack + 1)}
-        for t, bin_ in seeds:
-            low, high = (bin_ - 2) * self.slack, (bin_ + 2) * self.slack
-            votes[t, bin_] |= {w for w, own in self.postings[t].items() if w in at and near(at[w], own, low, high)}
+        for w in sorted(at, key=lambda w: (-self.idf[w], w)) if open_ else ():
+            for t, own in self.postings.get(w, {}).items():
+                if (done := open_.get(t)) is None or (done[0] >= self.n_rare and done[1] >= self.votes[t]):
+                    continue
+                done[0] += 1
+                done[1] += w in self.key[t]
+                # Neighbouring bins overlap, so that words a few places apart can agree across a border.
+                for bin_ in {(pos - i) // self.slack for pos in at[w] for i in own}:
+                    votes[t, bin_].add(w)
+                    votes[t, bin_ + 1].add(w)
+        return (place_ for place_, ws in votes.items() if len(ws) >= self.votes[place_[0]])
+
+    def matches(self, words: list[bytes], at: dict[bytes, list[int]]) -> Iterator[tuple[str, float]]:
+        """Labels of the templates whose key phrases stand at such a position, with the IDF share of the words there."""
         best: dict[int, float] = {}
-        for (t, bin_), ws in votes.items():
-            if len(ws) < min(self.agree, len(set(self.texts[t]))):
-                continue
+        for t, bin_ in self.positions(at):
             low, high = (bin_ - 2) * self.slack, (bin_ + 2) * self.slack
-            if all(any(low <= s - i < high for s in places.get(p, ())) for p, i in self.mandatory[t]):
-                found = {w for w, own in self.postings[t].items() if w in at and near(at[w], own, low, high)}
-                best[t] = max(best.get(t, 0.0), sum(sorted(self.idf[w] for w in found)) / (self.weight[t] or 1.0))
-        for t, share in best.items():
-            yield self.labels[t], min(share, 1.0)
+            if all(any(s >= 0 for s in stands(words, at, p, r, low + i, high + i)) for p, i, r in self.mandatory[t]):
+                found = (self.idf[w] for w in sorted(at) if near(at[w], self.postings.get(w, {}).get(t, ()), low, high))
+                best[t] = max(best.get(t, 0.0), min(sum(found) / (self.weight[t] or 1.0), 1.0))
+        return ((self.labels[t], share) for t, share in best.items())
+
+
+def stands(words: list[bytes], at: dict[bytes, list[int]], phrase: list[bytes], rarest: int, low: int, high: int) -> Iterator[int]:
+    """Starts of a phrase from ``low`` to before ``high``, found from the places of its rarest word."""
+    places = at.get(phrase[rarest], ())
+    for k in range(bisect_left(places, low + rarest), len(places)):
+        start = places[k] - rarest
+        if start >= high:
+            return
+        if start >= 0 and words[start : start + len(phrase)] == phrase:
+            yield start
 
 
 def near(at: list[int], own: list[int], low: int, high: int) -> bool:
@@ -176,11 +201,12 @@ def document_frequencies(docs: DataFrame, vocab: set[bytes]) -> tuple[dict[bytes
 def scan_licences(
     docs: DataFrame, base: dict[str, str] | None = None, templates: tuple[Template, ...] = TEMPLATES, **tuning
 ) -> DataFrame:
-    """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)``, one row per row of ``docs``.
+    """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, covered)``, one row per
+    row of ``docs``.
 
     ``n_base`` counts all places of base phrases, ``first_word`` and ``last_word`` are their smallest and largest start
     (null without any). ``labels`` adds those of matched templates. ``score`` is 0 without a label, 0.5 for a phrase
-    alone, and up to 1 by the IDF share of a matched template that stands at its place. Null and empty texts have no
+    alone, and up to 1 by ``covered``, the largest IDF share of a matched template that stands at its place. Null and empty texts have no
     words; repeated rows are scanned alike; other columns are ignored.
     """
     base = BASE_PHRASES if base is None else base
@@ -188,16 +214,16 @@ def scan_licences(
     index = docs.sparkSession.sparkContext.broadcast(Index(base, templates, df, n_docs, **tuning))
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()),
-         ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]
+         ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("covered", pa.float64())]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = index.value.scan
         for batch in batches:
-            cols = list(zip(*map(scan, texts(batch)), strict=True)) or [[]] * 7
+            cols = list(zip(*map(scan, texts(batch)), strict=True)) or [[]] * 8
             yield batch_of(schema, column(batch, "doc_id"), *cols)
 
-    ddl = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    ddl = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, covered double"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
 
 

@@ -1,6 +1,9 @@
+import random
 import re
 
-from demandspark.llm.licences import BASE_PHRASES, TEMPLATES, scan_licences
+import pytest
+
+from demandspark.llm.licences import BASE_PHRASES, TEMPLATES, Index, read_templates, scan_licences, words_of
 from tests.llm.fixtures import awkward, documents, with_clashes
 
 
@@ -70,3 +73,62 @@ def test_templates_do_not_crowd_each_other_out(spark):
         assert t.label in got[2 + i].labels.split(",") and got[2 + i].score > 0.9, t.label
     short = "\n".join([TEMPLATES[0].text, filler, "Licensed under the Apache License, Version 2.0"])
     assert "apache-2.0" in check(spark, [(1, short, None, None, None)])[1].labels.split(",")
+
+
+def brute_labels(text):
+    """Templates whose mandatory phrases all stand within a window around one position, tried at every position."""
+    words, found = words_of(text.encode()), set()
+
+    def starts(phrase, ws):
+        p = words_of(phrase.encode())
+        return [i for i in range(len(ws)) if ws[i : i + len(p)] == p]
+
+    for t in TEMPLATES:
+        own = words_of(t.text.encode())
+        offsets = [{s - starts(m, own)[0] for s in starts(m, words)} for m in t.mandatory]
+        if all(any(any(abs(o - x) <= 8 for x in other) for other in offsets[1:]) or len(offsets) == 1 for o in offsets[0]) and offsets[0]:
+            found.add(t.label)
+    return found
+
+
+def damaged(n):
+    rng = random.Random(5)
+    vocab = sorted({w for t in TEMPLATES for w in t.text.split()})
+    for _ in range(n):
+        parts = []
+        for t in rng.sample(TEMPLATES, rng.randint(0, 4)):
+            ws = t.text.split()
+            lost = rng.randrange(len(ws) + 1) if rng.random() < 0.5 else None
+            parts.append(" ".join(w for i, w in enumerate(ws) if i != lost))
+            parts.append(" ".join(rng.choices(vocab, k=rng.randint(30, 200))))
+        yield "\n".join(parts)
+
+
+def test_lookup_finds_what_trying_every_position_does():
+    index = Index(BASE_PHRASES, TEMPLATES, {}, 100)
+    for text in damaged(150):
+        got = set(filter(None, index.scan(text.encode())[5].split(",")))
+        assert brute_labels(text) <= got
+
+
+@pytest.mark.parametrize("t", TEMPLATES, ids=lambda t: t.label)
+def test_only_the_lookup_proposes_templates(t):
+    index = Index(BASE_PHRASES, TEMPLATES, {}, 100)
+    assert t.label in index.scan(t.text.encode())[5].split(",")
+    index.postings = {}
+    assert t.label not in index.scan(t.text.encode())[5].split(",")
+
+
+def test_whole_texts_from_a_folder(spark, tmp_path):
+    body = " ".join(f"clause{i}" for i in range(400))
+    for name in ("First-1.0", "Second-2.0"):
+        (tmp_path / name).write_text(f"The {name} Public Terms of Use, as of May\n{body} {name}")
+    (tmp_path / "empty").write_text("")
+    made = read_templates(tmp_path)
+    assert [t.label for t in made] == ["first-1.0", "second-2.0"]
+    whole, half = made[0].text, made[1].text[: len(made[1].text) // 2]
+    rows = [(1, f"before {whole} after", None, None, None), (2, half, None, None, None), (3, body, None, None, None)]
+    rows += [(10 + i, "other words", None, None, None) for i in range(50)]  # what all documents hold has no weight
+    got = {r.doc_id: r for r in scan_licences(documents(spark, rows), templates=made).collect()}
+    assert [got[i].labels for i in (1, 2, 3)] == ["first-1.0", "second-2.0", ""]
+    assert got[1].covered > 0.99 and 0.2 < got[2].covered < 0.8 and got[3].covered == 0
