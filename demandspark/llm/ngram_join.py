@@ -10,7 +10,8 @@ cutting it gives fragments. Work goes fragment by fragment and partial counts ar
 3. Families are cut into blocks. For a pair of blocks every fragment counts its part of the overlaps as a matrix; the
    matrices are summed per pair of documents and compared with the threshold. Of the links only a spanning forest
    leaves the task, so that large groups of near copies give few rows, and blocks that are already connected are not
-   compared any more. Where links are counted or listed, all pairs of blocks are compared instead (``compare_all``).
+   compared any more. Where links are counted or listed, all pairs of blocks are compared instead (``compare_all``), and
+   a fragment's matrix has numbers only for the pairs that bounds on the overlap leave open.
 
 Equal sets are one class and are compared once. Links are joined to components at the end.
 """
@@ -517,31 +518,36 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-PACKED = pa.schema(
-    [("family", pa.int64()), ("block", pa.int64())] + [(c, pa.binary()) for c in ("names", "n", "copies", "lengths", "tokens")]
-)
-PACKED_DDL = "family long, block long, names binary, n binary, copies binary, lengths binary, tokens binary"
-SENT = ("names", "n", "copies", "held", "lengths", "tokens", "parts")
-BLOCK = pa.schema([("family", pa.int64()), ("block", pa.int64())] + [(c, pa.binary()) for c in (*SENT, "counts", "a", "b")])
-BLOCK_DDL = "family long, block long, " + ", ".join(f"{c} binary" for c in (*SENT, "counts", "a", "b"))
-CROSSED = pa.schema([("family", pa.int64()), ("block", pa.int64()), ("counts", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+def schema_of(numbers: str, binaries: str) -> pa.Schema:
+    return pa.schema([(c, pa.int64()) for c in numbers.split()] + [(c, pa.binary()) for c in binaries.split()])
+
+
+def ddl_of(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
+
+
+PACKED = schema_of("family block", "names copies n lengths tokens")
+#: A block's n-grams within a fragment; ``about`` has the numbers of :class:`Block`.
+PIECE = schema_of("family block fragment", "about lengths tokens")
+#: A fragment's counts for a pair of blocks; the first one also tells which blocks they are.
+PARTIAL = schema_of("family b1 b2 fragment", "one two parts1 parts2 counts")
+COMPARED = schema_of("family block", "names parts counts a b")
 
 
 @dataclass(frozen=True)
 class Block:
-    """Sets of a family, each as what it and the family's core do not share."""
+    """Sets of a family: names, copies, sizes, how many shared n-grams they hold, and in how many of these or of the
+    family's core they and the core differ."""
 
     names: np.ndarray
-    n: np.ndarray
     copies: np.ndarray
+    n: np.ndarray
     held: np.ndarray
-    tokens: list[np.ndarray]
-    parts: np.ndarray
+    apart: np.ndarray
 
     @classmethod
-    def read(cls, row: dict) -> Block:
-        names, n, copies, held, lengths, parts = (np.frombuffer(row[c], np.int64) for c in ("names", "n", "copies", "held", "lengths", "parts"))
-        return cls(names, n, copies, held, cut_up(row["tokens"], lengths), parts)
+    def read(cls, about: bytes) -> Block:
+        return cls(*np.frombuffer(about, np.int64).reshape(5, -1))
 
 
 def cut_up(tokens: bytes, lengths: np.ndarray) -> list[np.ndarray]:
@@ -554,36 +560,43 @@ def by_row(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def linked(one: Block, two: Block, percent: int) -> np.ndarray:
-    """Which sets of two blocks are similar, as a matrix.
+def bounds(one: Block, two: Block, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least overlap of each two sets, 100 + percent times the overlap that a link asks for, and which pairs these
+    leave open.
 
     With D for what a set and the core do not share, ``2 * |A & B| = |A| + |B| - |DA| - |DB| + 2 * |DA & DB|``. The last
-    term is only counted for sets with a pair that its bounds, 0 and the smaller D, leave open.
+    term lies between 0 and the smaller D, and is counted for open pairs only.
     """
-    d1, d2 = (np.array([len(t) for t in x.tokens], np.int64) for x in (one, two))
-    overlap = ((one.held - d1)[:, None] + (two.held - d2)[None, :]) // 2
+    least = ((one.held - one.apart)[:, None] + (two.held - two.apart)[None, :]) // 2
     asked_for = percent * (one.n[:, None] + two.n[None, :])
-    most = overlap + np.minimum(d1[:, None], d2[None, :])
-    unsure = ((100 + percent) * overlap < asked_for) & ((100 + percent) * most >= asked_for)
-    rows, cols = np.flatnonzero(unsure.any(axis=1)), np.flatnonzero(unsure.any(axis=0))
-    if len(rows):
-        left = [one.tokens[i] for i in rows]
-        overlap[np.ix_(rows, cols)] += in_parts(left, left if one is two else [two.tokens[i] for i in cols])
-    return (100 + percent) * overlap >= asked_for
+    most = least + np.minimum(one.apart[:, None], two.apart[None, :])
+    return least, asked_for, ((100 + percent) * least < asked_for) & ((100 + percent) * most >= asked_for)
 
 
-def in_parts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of large blocks are counted fragment by fragment and summed."""
-    if sum(map(len, left)) + sum(map(len, right)) <= BATCH_TOKENS:
-        return overlap_counts(left, right)
-    borders = np.arange(1, VERIFY_FRAGMENTS, dtype=np.uint64) * np.uint64((1 << TOKEN_BITS) // VERIFY_FRAGMENTS)
-    ours = [np.split(t, np.searchsorted(t, borders)) for t in left]
-    theirs = ours if left is right else [np.split(t, np.searchsorted(t, borders)) for t in right]
-    total = np.zeros((len(left), len(right)), np.uint32)
-    for k in range(VERIFY_FRAGMENTS):
-        a = [x[k] for x in ours]
-        total += overlap_counts(a, a if left is right else [x[k] for x in theirs])
-    return total
+def fragment_counts(one: Block, two: Block, ours: list[np.ndarray], theirs: list[np.ndarray], same: bool, percent: int) -> np.ndarray:
+    """How many n-grams of a fragment the open pairs of two blocks share, each pair of one block once."""
+    unsure = bounds(one, two, percent)[2]
+    if same:
+        np.fill_diagonal(unsure, False)
+    rows, cols = np.flatnonzero(unsure.any(axis=1)), np.flatnonzero(unsure.any(axis=0))
+    left = [ours[i] for i in rows]
+    counts = overlap_counts(left, left if same else [theirs[i] for i in cols]) if len(rows) else np.zeros((0, 0), np.uint32)
+    wanted = np.triu(unsure) if same else unsure
+    return counts[wanted[np.ix_(rows, cols)]]
+
+
+def matched(one: Block, two: Block, counts: list[np.ndarray], same: bool, percent: int) -> np.ndarray:
+    """Which sets of two blocks are linked, from the sum of the counts of all fragments."""
+    overlap, asked_for, unsure = bounds(one, two, percent)
+    if same:
+        np.fill_diagonal(unsure, False)
+        unsure = np.triu(unsure)
+    overlap[unsure] += sum((c.astype(np.int64) for c in counts), np.zeros(int(unsure.sum()), np.int64))
+    match = (100 + percent) * overlap >= asked_for
+    if same:
+        match = np.triu(match, 1)
+        match |= match.T
+    return match
 
 
 def cores(held: DataFrame, placed: DataFrame) -> DataFrame:
@@ -606,46 +619,71 @@ def cores(held: DataFrame, placed: DataFrame) -> DataFrame:
 def compare_all(held: DataFrame, members: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
     """``(name, linked)``, the number of documents in other classes that a class is linked to, and ``(a, b)``, its links.
 
-    ``members`` is ``(family, name, n, copies)``. All blocks of a family whose sizes allow a link are compared with each
-    other. Counts leave a task as one number per set and not per link, and are summed by block. Links are all of them if
-    ``every``, else those that connect the same sets.
+    ``members`` is ``(family, name, n, copies)``. Every block of a family is compared with itself, then with all those
+    whose sizes allow a link. For a pair of blocks every fragment of the n-gram order counts its part of the overlaps in
+    a task of its own; the parts are summed per pair and compared with the threshold. Counts leave a task as one number
+    per set and not per link, and are summed by block. Links are all of them if ``every``, else those that connect the
+    same sets.
     """
     placed = in_blocks(members, "n", "name")
+    pair = ["family", "b1", "b2"]
+    borders = np.arange(1, VERIFY_FRAGMENTS, dtype=np.uint64) * np.uint64((1 << TOKEN_BITS) // VERIFY_FRAGMENTS)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (family, block), rows in runs(batches, ["family", "block"]):
             tokens = rows.column("tokens").to_pylist()
-            numbers = [rows.column(c).to_numpy().astype(np.int64).tobytes() for c in ("name", "n", "copies")]
+            numbers = [rows.column(c).to_numpy().astype(np.int64).tobytes() for c in ("name", "copies", "n")]
             lengths = np.array([len(t) // 8 for t in tokens], np.int64)
             yield batch_of(PACKED, [family], [block], *[[x] for x in numbers], [lengths.tobytes()], [b"".join(tokens)])
 
-    def within(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def into_fragments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in by_row(batches):
             core = np.frombuffer(row["core"] or b"", np.uint64)
-            names, n, copies, lengths = (np.frombuffer(row[c], np.int64) for c in ("names", "n", "copies", "lengths"))
-            tokens = [np.setxor1d(t, core, assume_unique=True) if len(core) else t for t in cut_up(row["tokens"], lengths)]
-            own = Block(names, n, copies, lengths, tokens, np.arange(len(names)))
-            match = linked(own, own, percent)
-            np.fill_diagonal(match, False)
-            a, b = np.nonzero(np.triu(match))
-            tree = np.array(forest(a, b), np.int64).reshape(-1, 2)
-            parts = parts_of(len(names), tree)
-            a, b = (a, b) if every else tree.T
-            sent = (names, n, copies, lengths, np.array([len(t) for t in tokens], np.int64), np.concatenate(tokens), parts)
-            yield batch_of(BLOCK, [row["family"]], [row["block"]], *[[x.tobytes()] for x in (*sent, weights(match, copies), names[a], names[b])])
-
-    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (family, b1, b2), rows in runs(batches, ["family", "b1", "b2"]):
-            one, two = map(Block.read, rows.sort_by("side").to_pylist())
-            match = linked(one, two, percent)
+            names, copies, n, lengths = (np.frombuffer(row[c], np.int64) for c in ("names", "copies", "n", "lengths"))
+            apart = [np.setxor1d(t, core, assume_unique=True) if len(core) else t for t in cut_up(row["tokens"], lengths)]
+            about = np.stack([names, copies, n, lengths, [len(t) for t in apart]]).astype(np.int64).tobytes()
+            cuts = [np.split(t, np.searchsorted(t, borders)) for t in apart]
+            for k in range(VERIFY_FRAGMENTS):
+                tokens = [c[k] for c in cuts]
+                sizes = np.array([len(t) for t in tokens], np.int64)
+                # The first fragment also stands for the block.
+                if k == 0 or sizes.any():
+                    yield batch_of(PIECE, [row["family"]], [row["block"]], [k], [about], [sizes.tobytes()], [np.concatenate(tokens).tobytes()])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (family, b1, b2, fragment), rows in runs(batches, [*pair, "fragment"]):
+            same, found = b1 == b2, rows.sort_by("side").to_pylist()
+            if len(found) < 2 and not same:
+                continue  # n-grams of one side only
+            one, two = Block.read(found[0]["about"]), Block.read(found[-1]["about"])
+            ours, theirs = (cut_up(r["tokens"], np.frombuffer(r["lengths"], np.int64)) for r in (found[0], found[-1]))
+            counts = fragment_counts(one, two, ours, theirs, same, percent)
+            first = [[r[c] if fragment == 0 else None] for c in ("about", "parts") for r in (found[0], found[-1])]
+            if fragment == 0 or counts.any():
+                yield batch_of(PARTIAL, [family], [b1], [b2], [fragment], *first, [counts.tobytes()])
+
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (family, b1, b2), rows in runs(batches, pair):
+            found = rows.sort_by("fragment").to_pylist()
+            one, two = Block.read(found[0]["one"]), Block.read(found[0]["two"])
+            match = matched(one, two, [np.frombuffer(r["counts"], np.uint32) for r in found], b1 == b2, percent)
+            if b1 == b2:
+                a, b = np.nonzero(np.triu(match))
+                tree = np.array(forest(a, b), np.int64).reshape(-1, 2)
+                a, b = (a, b) if every else tree.T
+                sent = (one.names, parts_of(len(one.names), tree), weights(match, one.copies), one.names[a], one.names[b])
+                yield batch_of(COMPARED, [family], [b1], *[[x.tobytes()] for x in sent])
+                continue
             a, b = np.nonzero(match)
             if not every:
                 # Sets of a block that are one component already are one node here.
-                nodes = np.unique(one.parts[a] * len(two.names) + two.parts[b])
+                parts1, parts2 = (np.frombuffer(found[0][c], np.int64) for c in ("parts1", "parts2"))
+                nodes = np.unique(parts1[a] * len(two.names) + parts2[b])
                 a, b = np.array(forest(nodes // len(two.names), len(one.names) + nodes % len(two.names)), np.int64).reshape(-1, 2).T
                 b = b - len(one.names)
             counts = [weights(match, two.copies).tobytes(), weights(match.T, one.copies).tobytes()]
-            yield batch_of(CROSSED, [family] * 2, [b1, b2], counts, [one.names[a].tobytes(), b""], [two.names[b].tobytes(), b""])
+            empty = [None, None]
+            yield batch_of(COMPARED, [family] * 2, [b1, b2], empty, empty, counts, [one.names[a].tobytes(), b""], [two.names[b].tobytes(), b""])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, ["family", "block"]):
@@ -657,22 +695,31 @@ def compare_all(held: DataFrame, members: DataFrame, percent: int, every: bool)
         for row in by_row(batches):
             yield batch_of(pa.schema([("a", pa.int64()), ("b", pa.int64())]), *[pa.array(np.frombuffer(row[c], np.int64)) for c in ("a", "b")])
 
+    def compared(sent: DataFrame, step: str) -> DataFrame:
+        """By block: its links with the other block of each pair, and with itself."""
+        sent = sent.select(*pair, "fragment", "side", "about", "lengths", "tokens", "parts")
+        sent = sent.repartition(*pair, "fragment").sortWithinPartitions(*pair, "fragment", "side")
+        partial = sent.mapInArrow(count, ddl_of(PARTIAL)).repartition(*pair).sortWithinPartitions(*pair)
+        return materialise(partial.mapInArrow(decide, ddl_of(COMPARED)), step)
+
     source = held.select("name", "tokens").join(placed, "name").repartition("family", "block")
     source = source.sortWithinPartitions("family", "block", "n", "name").select("family", "block", "name", "n", "copies", "tokens")
-    blocks = source.mapInArrow(pack, PACKED_DDL).join(cores(held, placed), "family", "left").mapInArrow(within, BLOCK_DDL)
-    blocks = materialise(blocks, "packed")
+    whole = source.mapInArrow(pack, ddl_of(PACKED)).join(cores(held, placed), "family", "left")
+    pieces = materialise(whole.mapInArrow(into_fragments, ddl_of(PIECE)), "pieces")
+    own = pieces.withColumns({"b1": F.col("block"), "b2": F.col("block"), "side": F.lit(0), "parts": F.lit(None).cast("binary")})
+    own = compared(own, "within")
     ends = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     one, two = (ends.select("family", *[F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high")]) for i in (1, 2))
     sized = (F.col("low2") * percent <= F.col("high1") * 100) & (F.col("low1") * percent <= F.col("high2") * 100)
     pairs = one.join(two, "family").where((F.col("block1") < F.col("block2")) & sized)
     pairs = materialise(pairs.select("family", F.col("block1").alias("b1"), F.col("block2").alias("b2")), "pairs")
     wanted = pairs.select("*", F.lit(0).alias("side"), F.col("b1").alias("block")).union(pairs.select("*", F.lit(1), F.col("b2")))
-    sent = wanted.join(blocks.select("family", "block", *SENT), ["family", "block"]).drop("block")
-    sent = sent.repartition("family", "b1", "b2").sortWithinPartitions("family", "b1", "b2", "side")
-    crossed = materialise(sent.mapInArrow(across, "family long, block long, counts binary, a binary, b binary"), "crossed")
-    tallies = blocks.select("family", "block", "names", "counts").union(crossed.select("family", "block", F.lit(None).cast("binary"), "counts"))
-    tallies = tallies.repartition("family", "block").sortWithinPartitions("family", "block")
-    links = blocks.select("a", "b").union(crossed.select("a", "b")).where(F.length("a") > 0)
+    parts = own.select("family", "block", F.lit(0).cast("long").alias("fragment"), "parts")
+    sent = pieces.join(parts, ["family", "block", "fragment"], "left")
+    crossed = compared(wanted.join(sent, ["family", "block"]), "crossed")
+    both = own.union(crossed)
+    tallies = both.select("family", "block", "names", "counts").repartition("family", "block").sortWithinPartitions("family", "block")
+    links = both.select("a", "b").where(F.length("a") > 0)
     return tallies.mapInArrow(add, "name long, linked long"), links.mapInArrow(unpack, "a long, b long")
 
 

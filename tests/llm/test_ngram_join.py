@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,40 @@ def test_rows_of_a_reused_id_are_documents_of_their_own(spark):
     assert kept.columns == docs.columns and {r["_row"] for r in kept.collect()} == {"other"}
     want = [(7, long[0]), (7, long[1]), (8, long[2]), (9, long[3]), (5, long[4]), (10, ""), (10, None), (None, long[4])]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("fragments", [1, 3, 16])
+def test_fragments_of_the_order_sum_to_the_same_links(spark, monkeypatch, fragments):
+    """Core, bounds and partial counts together give what whole sets do, however the order is cut."""
+    monkeypatch.setattr(nj, "VERIFY_FRAGMENTS", fragments)
+    monkeypatch.setattr(nj, "BLOCK_WEIGHT", nj.DOC_WEIGHT * 9)
+    rows = mutated(8, n_base=2, copies=25)
+    docs = documents(spark, rows)
+    links, pairs = all_pairs(rows, 3, 70)
+    assert {r.doc_id: r.n_links for r in nj.linked_documents(docs, 3, 70).collect()} == {r[0]: k for r, k in zip(rows, links, strict=True)}
+    assert sorted(map(tuple, nj.linked_pairs(docs, 3, 70).collect())) == pairs
+
+
+def test_a_task_counts_its_own_fragment_only():
+    rng = random.Random(2)
+    sets = [np.unique(np.array(rng.sample(range(60), rng.randint(25, 45)), np.uint64)) for _ in range(12)]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    block = nj.Block(np.arange(12), np.ones(12, np.int64), sizes, sizes, sizes)
+    cut = [[x[(x >= lo) & (x < lo + 20)] for x in sets] for lo in (0, 20, 40)]
+    parts = [nj.fragment_counts(block, block, c, c, True, 40) for c in cut]
+    match = nj.matched(block, block, parts, True, 40)
+    for a in range(12):
+        for b in range(12):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            assert match[a, b] == (a != b and 100 * common >= 40 * (sizes[a] + sizes[b] - common))
+    assert any(p.any() for p in parts) and not np.array_equal(match, nj.matched(block, block, parts[:1], True, 40))
+
+
+def test_clashing_names_and_no_rows_where_links_are_counted(spark):
+    rows = awkward()
+    got = nj.linked_documents(with_clashes(documents(spark, rows)), 3, 90).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=str) == brute(rows, 3, 90)
+    links = all_pairs(rows, 3, 90)[0]
+    want = [(r[0], k if r[0] is not None else None) for r, k in zip(rows, links, strict=True)]
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == sorted(want, key=str)
+    assert nj.linked_documents(documents(spark, [])).count() == 0
