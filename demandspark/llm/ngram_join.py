@@ -80,6 +80,12 @@ def name_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """So that a worker turns few texts into Python objects at a time."""
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def needed(n: int, percent: int) -> int:
     """Shared n-grams that a set of n needs at least, with any partner: ceil(percent * n / 100)."""
     return -(-percent * n // 100)
@@ -96,7 +102,7 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("name", pa.int64()), ("n_head", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), texts(batch), strict=True):
                 s = shingles(text, n)
@@ -138,14 +144,15 @@ def asked(sets: Iterator[tuple[int, np.ndarray]], fragment_bits: int) -> Iterato
     def flush() -> Iterator[tuple]:
         if not held:
             return
-        tokens = np.concatenate(held)
         owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(s) for s in held])
+        tokens = np.concatenate(held)
+        held.clear()  # the sets are not needed twice
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
+        del order
         new = np.ones(len(tokens), bool)
         new[1:] = tokens[1:] != tokens[:-1]
-        group = np.cumsum(new) - 1
-        shared = np.bincount(group)[group] > 1
+        shared = ~(new & np.append(new[1:], True))
         all_names = np.array(names, np.int64)
         # Answers to the owners of shared n-grams.
         o, t = owner[shared], tokens[shared]
@@ -156,12 +163,12 @@ def asked(sets: Iterator[tuple[int, np.ndarray]], fragment_bits: int) -> Iterato
             name = all_names[o[part[0]]]
             yield int(name), -1, t[part].tobytes(), b"", name.tobytes(), b""
         # Questions about the others.
-        fragment = (tokens >> np.uint64(TOKEN_BITS - fragment_bits)).astype(np.int64)
-        edges = np.flatnonzero(np.diff(fragment)) + 1
+        to_fragment = np.uint64(TOKEN_BITS - fragment_bits)
+        edges = np.flatnonzero(np.diff(tokens >> to_fragment)) + 1
         for start, end in zip([0, *edges], [*edges, len(tokens)], strict=True):
             t, o, s, first = tokens[start:end], owner[start:end], shared[start:end], new[start:end]
             local, index = np.unique(o[~s], return_inverse=True)
-            f = int(fragment[start])
+            f = int(tokens[start] >> to_fragment)
             yield f, f, to_six(t[~s]), index.astype(np.uint16).tobytes(), all_names[local].tobytes(), to_six(t[s & first])
 
     for name, s in sets:
@@ -215,8 +222,8 @@ def matched_in_head(docs: DataFrame, n: int, percent: int, fragment_bits: int) -
     counted = pa.schema([("name", pa.int64()), ("matched", pa.int64())])
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = (shingles(t, n) for batch in batches for t in texts(batch))
-        yield from packed(asked(((name_of(s), s[: np.searchsorted(s, limit)]) for s in sets), fragment_bits))
+        sets = (shingles(t, n) for batch in slices(batches) for t in texts(batch))
+        yield from packed(asked(((name_of(s), s[: np.searchsorted(s, limit)].copy()) for s in sets), fragment_bits))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fragment, rows in fragments(batches):
@@ -273,7 +280,7 @@ def shared_grams(docs: DataFrame, left: DataFrame, n: int, percent: int, fragmen
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets() -> Iterator[tuple[int, np.ndarray]]:
-            for batch in batches:
+            for batch in slices(batches):
                 keep = np.ones(batch.num_rows, bool)
                 if wanted is not None:
                     keep = np.isin(column(batch, "doc_id").to_numpy(zero_copy_only=False), wanted.value)
