@@ -56,6 +56,11 @@ def sum_hourly(hourly: DataFrame) -> DataFrame:
     """One row per station and hour. Where several labels are stored, one is chosen, not summed."""
     if "label_source" in hourly.columns:
         hourly = resolve_labels(hourly.select(*HOURLY, "label_source"))
+    # Dealt anew into all shuffle partitions: else the sums share their task, and its memory, with the counts they are
+    # taken of, in the few partitions that adaptive execution makes of well compressed rows. The other order of the keys
+    # keeps Spark from taking the rows as dealt already.
+    parts = int(hourly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hourly = hourly.repartition(parts, "hour_ts", "station_short_name")
     return hourly.groupBy("station_short_name", "hour_ts").agg(F.sum("departures").cast("double").alias("departures"))
 
 
