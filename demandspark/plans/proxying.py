@@ -129,6 +129,8 @@ def rederived_window(spark: SparkSession, d: str) -> DataFrame:
 
 # --- streams ------------------------------------------------------------------------------------
 
+# Some two million snapshots a micro-batch, whatever the number of files that a week lands in.
+TRIGGER_BYTES = 64 << 20
 SNAPSHOT_SCHEMA = "station_id string, snapshot_ts timestamp, num_bikes_available int, is_renting int, is_installed int, last_reported timestamp"
 
 
@@ -139,12 +141,15 @@ def _instants(spark: SparkSession, d: str) -> DataFrame:
 
 def _landed(spark: SparkSession, d: str, name: str, closing: bool = True, copies: int = 1) -> str:
     """Snapshots landed as files week by week, unordered within a week, so that no row is more than a week late however
-    long the table is; then, to let the last hours close, one far later snapshot."""
-    path = scratch(spark, name)
+    long the table is; then, to let the last hours close, one far later snapshot. The table is read once and parted by
+    week on the way, so that each week reads its own rows only."""
+    path, parted = scratch(spark, name), scratch(spark, f"{name}-weeks")
     snaps = _instants(spark, d)
     day = F.to_date(utc_wall(snaps, "snapshot_ts"))
     first = snaps.agg(F.min(day)).scalar()
-    weeks = snaps.withColumn("week", F.floor(F.datediff(day, first) / 7))
+    dated = snaps.where("snapshot_ts is not null").withColumn("week", F.floor(F.datediff(day, first) / 7))
+    dated.hint("rebalance", "week").write.partitionBy("week").parquet(parted)
+    weeks = spark.read.schema(dated.schema).parquet(parted)
     for week in range((weeks.agg(F.max("week")).first()[0] or 0) + 1):
         part = weeks.where(F.col("week") == week).drop("week").repartition("snapshot_ts")
         for _ in range(copies):
@@ -159,8 +164,8 @@ def _landed(spark: SparkSession, d: str, name: str, closing: bool = True, copies
     return path
 
 
-def _stream(spark: SparkSession, path: str, max_files: int = 16) -> DataFrame:
-    return ss.table_stream(spark, path, SNAPSHOT_SCHEMA, max_files)
+def _stream(spark: SparkSession, path: str) -> DataFrame:
+    return ss.table_stream(spark, path, SNAPSHOT_SCHEMA, max_bytes=TRIGGER_BYTES)
 
 
 @query(
@@ -258,7 +263,7 @@ def stream_rederive(spark: SparkSession, d: str) -> DataFrame:
     path, base = _landed(spark, d, "late", closing=False), scratch(spark, "late-out")
     process = sr.rederive_batch(f"{base}/snapshots", f"{base}/hourly", lambda s: _info(s, d), STREAM)
     started = (
-        _stream(spark, path, max_files=12).writeStream.foreachBatch(process).option("checkpointLocation", f"{base}/state")
+        _stream(spark, path).writeStream.foreachBatch(process).option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True).start()
     )
     started.awaitTermination()

@@ -63,13 +63,15 @@ def _bucket_start(utc: Column, timezone: str) -> Column:
 
 def touched_hours(snaps: DataFrame, params: Params) -> DataFrame:
     """``(station_id, hour_ts)`` whose intervals the snapshots can change: at most the hours within ``max_gap_minutes``
-    and half an hour after each. Half hours are counted once before they are spread out."""
+    and half an hour after each. Zones are asked once per half hour of the batch, not per station: few, whatever the
+    number of stations."""
     half = F.floor(micros(utc_wall(snaps, "snapshot_ts")) / F.lit(HALF_HOUR))
     starts = snaps.select("station_id", half.alias("_half")).distinct()
     steps = math.ceil(params.max_gap_minutes / 30) + 1
-    at = starts.select("station_id", F.explode(F.sequence("_half", F.col("_half") + steps)).alias("_half"))
-    utc = F.timestamp_add("MINUTE", (F.col("_half") * 30).cast("int"), F.expr(EPOCH))
-    return at.select("station_id", local_hour(utc, params.timezone).alias("hour_ts")).distinct()
+    at = starts.select("_half").distinct().select("_half", F.explode(F.sequence("_half", F.col("_half") + steps)).alias("_at"))
+    utc = F.timestamp_add("MINUTE", (F.col("_at") * 30).cast("int"), F.expr(EPOCH))
+    hours = at.select("_half", local_hour(utc, params.timezone).alias("hour_ts")).distinct()
+    return starts.join(F.broadcast(hours), "_half").select("station_id", "hour_ts").distinct()
 
 
 def read_slots(touched: DataFrame, params: Params) -> DataFrame:
@@ -77,7 +79,8 @@ def read_slots(touched: DataFrame, params: Params) -> DataFrame:
     start, end = (_to_utc(F.timestamp_add("HOUR", F.lit(n), "hour_ts"), params.timezone) for n in (0, 1))
     first = hour_index(hours_before(start, params.max_gap_minutes / 60))
     last = hour_index(F.timestamp_add("SECOND", F.lit(-1), end))
-    return touched.select("station_id", F.explode(F.sequence(first, last)).alias("slot")).distinct()
+    slots = touched.select("hour_ts").distinct().select("hour_ts", F.explode(F.sequence(first, last)).alias("slot"))
+    return touched.join(F.broadcast(slots), "hour_ts").select("station_id", "slot").distinct()
 
 
 def _renamed(spark: SparkSession, info: DataFrame, path: str, batch_id: int) -> DataFrame:
@@ -111,7 +114,9 @@ def rederive_batch(
         rows = latest_per_key(batch, SNAPSHOT_KEY, order).withColumns(
             {"day": F.to_date(utc_wall(batch, "snapshot_ts")), "batch": F.lit(batch_id)}
         )
-        _replace_own(rows, snapshots_path, ["day", "batch"])
+        # Dealt by day: else every task of the batch would leave a file of its own in each day, all of which later
+        # batches open again. Large days are split over several tasks.
+        _replace_own(rows.hint("rebalance", "day"), snapshots_path, ["day", "batch"])
         stored = spark.read.schema(rows.schema).parquet(snapshots_path).where(F.col("batch") <= batch_id)
         clock = utc_wall(stored, "snapshot_ts")
         own = stored.where(F.col("batch") == batch_id)

@@ -37,11 +37,18 @@ def snapshot_stream(spark: SparkSession, landing: str, max_files: int | None = N
     return parse_station_status(counted.where(offered > 0))
 
 
-def table_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None, pattern: str | None = None) -> DataFrame:
-    """Snapshot rows landing as parquet files."""
+def table_stream(
+    spark: SparkSession, path: str, schema: str, max_files: int | None = None, pattern: str | None = None, max_bytes: int | None = None
+) -> DataFrame:
+    """Snapshot rows landing as parquet files. A micro-batch takes at most ``max_files`` files or about ``max_bytes``.
+
+    Each micro-batch has a cost of its own, so where files may be many and small, bytes are the better limit.
+    """
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.parquet(path)

@@ -344,3 +344,30 @@ def test_state_is_bounded_by_lateness():
     seen += processor.handleExpiredTimer(("a",), store, None)
     assert [r.at for r in seen] == [m * 60_000_000 for m in range(1, 300)]
     assert all(r.before.at == r.at - 60_000_000 for r in seen) and store.value[1] == []
+
+
+def test_files_of_the_log_and_zone_lookups_do_not_grow_with_tasks_and_stations(spark, tmp_path):
+    rows = reduce(lambda a, b: a.union(b), [minutes(spark, f"s{i}", 0, 60 * 24 * 3, 90) for i in range(12)])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        info = spark.createDataFrame([(f"s{i}", f"n{i}") for i in range(12)], "station_id string, short_name string")
+        sr.rederive_batch(str(tmp_path / "log"), str(tmp_path / "hours"), lambda s: info, P)(rows, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    per_day = [len(list(day.glob("batch=0/*.parquet"))) for day in (tmp_path / "log").glob("day=*")]
+    assert len(per_day) == 4 and set(per_day) == {1}
+    plan = sr.touched_hours(rows, P)._jdf.queryExecution().optimizedPlan().toString()
+    # The zone is asked below the join of half hours, so never on a row that names a station.
+    asked = [line for line in plan.splitlines() if "convert_timezone" in line and "America/New_York" in line]
+    assert asked and not any("station_id" in line for line in asked)
+
+
+def test_micro_batches_by_bytes_take_many_small_files_at_once(spark, tmp_path):
+    path = str(tmp_path / "in")
+    land(path, *[minutes(spark, "a", m, m + 2) for m in range(0, 40, 2)])
+    size = sum(f.stat().st_size for f in (tmp_path / "in").glob("*.parquet"))
+    for limit, batches in ((size + 1, 1), (size // 2, 2)):
+        out = str(tmp_path / f"out{batches}")
+        tally = ss.run_available(ss.table_stream(spark, path, SCHEMA, max_bytes=limit), out, f"{out}-state")
+        assert tally.totals["rows"] == 40 and batches <= tally.totals["batches"] <= batches + 1
