@@ -16,7 +16,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Set
 from functools import lru_cache
 
 import numpy as np
@@ -25,17 +25,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.common import batch_of, column, replace_columns
+from demandspark.llm.common import batch_of, column, replace_columns, slices
 
 #: Words longer than this use the heap.
 SCAN_LIMIT = 256
 #: Words that a Python worker remembers, in each of two generations: as tuples of ids, and as packed ids.
 CACHE_WORDS = 1 << 16
-CACHE_PACKED = 1 << 18
+CACHE_PACKED = 1 << 16
 NO_RANK = 1 << 60
 #: Texts encoded together: at most so many, and no further one once they have so many characters.
 GROUP_TEXTS = 1 << 10
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 20
 #: Words per matrix, the most bytes of a word in one, and the fewest words that are worth one.
 MATRIX_WORDS = 1 << 11
 MATRIX_BYTES = 64
@@ -253,7 +253,7 @@ class Codec:
         found = self.latin_word.findall(text)
         return found if sum(map(len, found)) == len(text) else self.word.findall(text)
 
-    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+    def encode_words(self, words: Set[str]) -> dict[str, bytes]:
         """Packed ids of words that the young generation lacks; short ones are in it afterwards."""
         old = self.packed.old
         coded = {w: old[w] for w in words if w in old}
@@ -265,26 +265,32 @@ class Codec:
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; a word that they share is encoded once."""
         recall = self.packed.young.get
-        # Per text the words of its plain parts with what is known of them, and between them the special tokens.
+        lacking: dict[str, str] = {}
+
+        def plain(text: str) -> tuple[list, list]:
+            """What is known of the words, and those that lack, each held once for all texts."""
+            words = self.words_of(text)
+            known = list(map(recall, words))
+            return known, [lacking.setdefault(w, w) for w, ids in zip(words, known, strict=True) if ids is None] if None in known else []
+
+        # Per text its plain parts, and between them the special tokens.
         parted: list[list] = []
         for text in texts:
             parts, at = [], 0
             if self.split is not None:
                 for m in self.split.finditer(text):
-                    words = self.words_of(text[at : m.start()])
-                    parts += [(words, list(map(recall, words))), np.int32(self.special[m.group()]).tobytes()]
+                    parts += [plain(text[at : m.start()]), np.int32(self.special[m.group()]).tobytes()]
                     at = m.end()
-            words = self.words_of(text[at:] if at else text)
-            parts.append((words, list(map(recall, words))))
+            parts.append(plain(text[at:] if at else text))
             parted.append(parts)
-        lacking = {w for parts in parted for words, known in parts[::2] if None in known for w, ids in zip(words, known, strict=True) if ids is None}
-        new = self.encode_words(lacking)
+        new = self.encode_words(lacking.keys())
         out = []
         for parts in parted:
             for i in range(0, len(parts), 2):
-                words, known = parts[i]
-                if None in known:
-                    known = [ids or new[w] for w, ids in zip(words, known, strict=True)]
+                known, lacked = parts[i]
+                if lacked:
+                    rest = iter(lacked)
+                    known = [new[next(rest)] if ids is None else ids for ids in known]
                 parts[i] = b"".join(known)
             out.append(np.frombuffer(b"".join(parts), np.int32))
         return out
@@ -381,7 +387,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(spec.value)
-        for batch in batches:
+        for batch in slices(batches, GROUP_TEXTS):
             rows = []
             for group in groups(column(batch, "text").to_pylist()):
                 for ids in tool.encode_many(group):

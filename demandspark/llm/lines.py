@@ -13,7 +13,7 @@ to their segment, which sends the suspected ones back to their documents.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.common import SPACES, batch_of, column, replace_columns, texts, utf8
+from demandspark.llm.common import SPACES, batch_of, column, replace_columns, slices, texts, utf8
 from demandspark.session import materialise
 
 #: Bit positions per key in either filter.
@@ -63,8 +63,11 @@ def repeat_filters(docs: DataFrame, n_segments: int, once_bits: int, twice_bits:
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [xxhash.xxh3_64_intdigest(k) for t in texts(batch) for k in set(keys_of(t, min_chars)) if k is not None]
-            hashes, counts = np.unique(np.array(found, np.uint64), return_counts=True)
+            found = [
+                np.array([xxhash.xxh3_64_intdigest(k) for t in texts(part) for k in set(keys_of(t, min_chars)) if k is not None], np.uint64)
+                for part in slices([batch])
+            ]
+            hashes, counts = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             segment = (hashes % np.uint64(n_segments)).astype(np.int32)
             rows = []
             order = np.argsort(segment, kind="stable")
@@ -123,7 +126,7 @@ def found_in_segments(docs: DataFrame, filters: DataFrame, n_segments: int, n_bi
     def asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, owners = [], []
-            for who, text in zip(identity(batch), texts(batch), strict=True):
+            for who, text in ((w, t) for part in slices([batch]) for w, t in zip(identity(part), texts(part), strict=True)):
                 h = [xxhash.xxh3_64_intdigest(k) for k in set(keys_of(text, min_chars)) if k is not None]
                 hashes.append(np.array(h, np.uint64))
                 owners.append(np.tile(np.array(who, np.int64), (len(h), 1)))
@@ -199,7 +202,7 @@ def known_by(docs: DataFrame, facts: DataFrame) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield replace_columns(batch, {"_mark": pa.array([x[2] for x in identity(batch)], pa.int64())})
 
     marked = docs.mapInArrow(mark, f"{fields}, _mark long")
@@ -257,7 +260,8 @@ def dedup_lines(
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, list] = {}
-            for who, lines in zip(identity(batch), suspected(batch, test and test.value, min_chars), strict=True):
+            each = (zip(identity(part), suspected(part, test and test.value, min_chars), strict=True) for part in slices([batch]))
+            for who, lines in chain.from_iterable(each):
                 for i, k in lines:
                     entry = found.setdefault(k, [0, (*who, i), None])
                     if entry[2] is not lines:
@@ -289,7 +293,7 @@ def dedup_lines(
 
         def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             firsts = table.value
-            for batch in batches:
+            for batch in slices(batches):
                 ids = identity(batch) if first_stays else [()] * batch.num_rows
                 keys = (keys_of(t, min_chars) for t in texts(batch))
                 yield rewritten(
@@ -303,7 +307,7 @@ def dedup_lines(
     where = pa.schema([("key", pa.binary()), ("no_id", pa.bool_()), ("id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32())])
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hits = suspected(batch, test and test.value, min_chars)
             rows = [(k, *who, i) for who, lines in zip(identity(batch), hits, strict=True) for i, k in lines]
             yield batch_of(where, *(list(zip(*rows, strict=True)) or [[]] * 5))
@@ -317,7 +321,7 @@ def dedup_lines(
     joined = known_by(plain.withColumn("doc_id", F.col("doc_id").cast("long")), drops)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             dropped = [set(d or ()) for d in column(batch, "_drop").to_pylist()]
             yield rewritten(batch.drop_columns(["_drop"]), dropped)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandspark.llm.common import batch_of, column, components, mix64, read_table, runs, texts
+from demandspark.llm.common import batch_of, column, components, mix64, read_table, runs, slices, texts
 from demandspark.session import materialise
 
 TOKEN_BITS = 54
@@ -80,12 +80,6 @@ def name_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """So that a worker turns few texts into Python objects at a time."""
-    for batch in batches:
-        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
-
-
 def needed(n: int, percent: int) -> int:
     """Shared n-grams that a set of n needs at least, with any partner: ceil(percent * n / 100)."""
     return -(-percent * n // 100)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.common import SPACES, batch_of, column, read_table, replace_columns, texts
+from demandspark.llm.common import SPACES, batch_of, column, read_table, replace_columns, slices, texts
 from demandspark.session import materialise
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -80,7 +80,7 @@ def with_measures(docs: DataFrame) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(zip(*map(measure, texts(batch)), strict=True)) or [[]] * (len(MEASURES) + len(RULES))
             new = {m: pa.array(v, pa.int64()) for m, v in zip(MEASURES, rows, strict=False)}
             new |= {r: pa.array(v, pa.float64()) for r, v in zip(RULES, rows[len(MEASURES) :], strict=True)}
